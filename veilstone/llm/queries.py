@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary, packing, sharding
+from . import binary, packing, sharding, simhash, substrings
 from .common import table
 
 
@@ -31,5 +31,15 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary.read_tokens(manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES = {"op1_packing": op1_packing, "op8_sharding": op8_sharding, "op9_token_files": op9_token_files}
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = simhash.near_duplicates(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    return marked.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return substrings.without_repeats(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+QUERIES = {"op1_packing": op1_packing, "op3_simhash": op3_simhash, "op8_sharding": op8_sharding, "op9_token_files": op9_token_files, "op10_substrings": op10_substrings}
 ORACLES: dict[str, str] = {}
