@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary, decontaminate, packing, sharding, simhash, substrings
+from . import binary, decontaminate, packing, quality, sharding, simhash, substrings
 from .common import table
 
 
@@ -14,6 +14,11 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return marked.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -45,5 +50,5 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.without_repeats(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-QUERIES = {"op1_packing": op1_packing, "op3_simhash": op3_simhash, "op7_decontaminate": op7_decontaminate, "op8_sharding": op8_sharding, "op9_token_files": op9_token_files, "op10_substrings": op10_substrings}
+QUERIES = {"op1_packing": op1_packing, "op3_simhash": op3_simhash, "op4_quality": op4_quality, "op7_decontaminate": op7_decontaminate, "op8_sharding": op8_sharding, "op9_token_files": op9_token_files, "op10_substrings": op10_substrings}
 ORACLES: dict[str, str] = {}
