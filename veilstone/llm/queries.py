@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary, decontaminate, packing, quality, sharding, simhash, substrings
+from . import binary, decontaminate, licenses, packing, quality, sharding, simhash, substrings
 from .common import table
 
 
@@ -19,6 +19,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.summary(licenses.scan(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -50,5 +54,5 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.without_repeats(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-QUERIES = {"op1_packing": op1_packing, "op3_simhash": op3_simhash, "op4_quality": op4_quality, "op7_decontaminate": op7_decontaminate, "op8_sharding": op8_sharding, "op9_token_files": op9_token_files, "op10_substrings": op10_substrings}
+QUERIES = {"op1_packing": op1_packing, "op3_simhash": op3_simhash, "op4_quality": op4_quality, "op5_licenses": op5_licenses, "op7_decontaminate": op7_decontaminate, "op8_sharding": op8_sharding, "op9_token_files": op9_token_files, "op10_substrings": op10_substrings}
 ORACLES: dict[str, str] = {}
