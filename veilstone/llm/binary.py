@@ -42,7 +42,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, keeps_space: bool
                 continue
             if out is None:
                 store.create_dir(root, recursive=True)
-                out = [store.open_output_stream(f"{root}/{name}{x}") for x in (".bin", ".idx", ".doc")]
+                out = [store.open_output_stream(f"{root}/{name}{x}", compression=None) for x in (".bin", ".idx", ".doc")]
             ids = batch.column(0).fill_null(NULL_ID).to_numpy(zero_copy_only=False).astype("<i8")
             starts = np.zeros(batch.num_rows, "<i8")
             for i, got in enumerate(code.batches(batch.column(1).cast(pa.binary()).to_pylist())):

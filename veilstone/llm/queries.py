@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary, decontaminate, licenses, packing, quality, sharding, simhash, substrings
+from . import binary, decontaminate, licenses, packing, quality, sharding, simhash, substrings, warc
 from .common import table
 
 
@@ -23,6 +23,12 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.summary(licenses.scan(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = warc.write_archives(table(spark, sf_dir, "pages"))
+    read = warc.read_archives(warc.capture_history(manifest), manifest.count())
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -54,5 +60,25 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.without_repeats(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-QUERIES = {"op1_packing": op1_packing, "op3_simhash": op3_simhash, "op4_quality": op4_quality, "op5_licenses": op5_licenses, "op7_decontaminate": op7_decontaminate, "op8_sharding": op8_sharding, "op9_token_files": op9_token_files, "op10_substrings": op10_substrings}
-ORACLES: dict[str, str] = {}
+QUERIES = {"op1_packing": op1_packing, "op3_simhash": op3_simhash, "op4_quality": op4_quality, "op5_licenses": op5_licenses, "op6_warc": op6_warc, "op7_decontaminate": op7_decontaminate, "op8_sharding": op8_sharding, "op9_token_files": op9_token_files, "op10_substrings": op10_substrings}
+ORACLES: dict[str, str] = {
+    "op6_warc": """
+        with p as (select page_id, encode(coalesce(html, '')) as payload from pages),
+        d as (select page_id, octet_length(payload) as payload_bytes, sha1(payload) as payload_digest from p),
+        k as (select *, max(page_id) over (partition by payload_digest, payload_bytes) as keeper from d)
+        select page_id, cast(payload_bytes as bigint) as payload_bytes, payload_digest,
+               case when payload_bytes >= 1000 and page_id < keeper then 'revisit' else 'response' end as record_type,
+               case when payload_bytes >= 1000 and page_id < keeper then keeper end as refers_to
+        from k""",
+    "op10_substrings": """
+        with w as (select doc_id, list_filter(string_split_regex(coalesce(text, ''), '[ \\t-\\r]+'), lambda x: x <> '') as ws from documents),
+        g as (select doc_id, i, array_to_string(list_slice(ws, i, i + 12), ' ') as win from w, unnest(range(1, len(ws) - 11)) t(i)),
+        f as (select doc_id, i from (select *, min(doc_id) over (partition by win) as least from g) where doc_id > least),
+        c as (select distinct doc_id, i + j as at from f, range(0, 13) r(j)),
+        a as (select w.doc_id, t.at, w.ws[t.at] as word, c.at is not null as cut
+              from w, unnest(range(1, len(ws) + 1)) t(at) left join c on c.doc_id = w.doc_id and c.at = t.at)
+        select w.doc_id, cast(len(w.ws) as bigint) as n_words,
+               cast(count(*) filter (where a.cut) as bigint) as n_removed,
+               sha256(coalesce(string_agg(a.word, ' ' order by a.at) filter (where not a.cut), '')) as kept_sha256
+        from w left join a on a.doc_id = w.doc_id group by w.doc_id, w.ws""",
+}
