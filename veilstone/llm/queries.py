@@ -74,11 +74,11 @@ ORACLES: dict[str, str] = {
         with w as (select doc_id, list_filter(string_split_regex(coalesce(text, ''), '[ \\t-\\r]+'), lambda x: x <> '') as ws from documents),
         g as (select doc_id, i, array_to_string(list_slice(ws, i, i + 12), ' ') as win from w, unnest(range(1, len(ws) - 11)) t(i)),
         f as (select doc_id, i from (select *, min(doc_id) over (partition by win) as least from g) where doc_id > least),
-        c as (select distinct doc_id, i + j as at from f, range(0, 13) r(j)),
-        a as (select w.doc_id, t.at, w.ws[t.at] as word, c.at is not null as cut
-              from w, unnest(range(1, len(ws) + 1)) t(at) left join c on c.doc_id = w.doc_id and c.at = t.at)
+        c as (select distinct doc_id, i + j as pos from f, range(0, 13) r(j)),
+        a as (select w.doc_id, t.pos, w.ws[t.pos] as word, c.pos is not null as cut
+              from w, unnest(range(1, len(ws) + 1)) t(pos) left join c on c.doc_id = w.doc_id and c.pos = t.pos)
         select w.doc_id, cast(len(w.ws) as bigint) as n_words,
                cast(count(*) filter (where a.cut) as bigint) as n_removed,
-               sha256(coalesce(string_agg(a.word, ' ' order by a.at) filter (where not a.cut), '')) as kept_sha256
+               sha256(coalesce(string_agg(a.word, ' ' order by a.pos) filter (where not a.cut), '')) as kept_sha256
         from w left join a on a.doc_id = w.doc_id group by w.doc_id, w.ws""",
 }
