@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary, decontaminate, licenses, packing, quality, sharding, simhash, substrings, warc
+from . import binary, decontaminate, licenses, neighbours, packing, quality, sharding, simhash, substrings, warc
 from .common import table
 
 
@@ -50,6 +50,10 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary.read_tokens(manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = simhash.near_duplicates(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     return marked.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
@@ -60,7 +64,7 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.without_repeats(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-QUERIES = {"op1_packing": op1_packing, "op3_simhash": op3_simhash, "op4_quality": op4_quality, "op5_licenses": op5_licenses, "op6_warc": op6_warc, "op7_decontaminate": op7_decontaminate, "op8_sharding": op8_sharding, "op9_token_files": op9_token_files, "op10_substrings": op10_substrings}
+QUERIES = {"op1_packing": op1_packing, "op2_neighbours": op2_neighbours, "op3_simhash": op3_simhash, "op4_quality": op4_quality, "op5_licenses": op5_licenses, "op6_warc": op6_warc, "op7_decontaminate": op7_decontaminate, "op8_sharding": op8_sharding, "op9_token_files": op9_token_files, "op10_substrings": op10_substrings}
 ORACLES: dict[str, str] = {
     "op6_warc": """
         with p as (select page_id, encode(coalesce(html, '')) as payload from pages),
