@@ -170,8 +170,10 @@ def held_out(doc_id: Column) -> Column:
 
 
 def with_statistics(docs: DataFrame, column: str = "__statistics") -> DataFrame:
+    """``docs`` with an array of the statistics. The generator is a barrier: conditions on a score stay
+    above it, instead of being pushed below with every statistic written out again for each rule."""
     made = statistics(F.col("text"))
-    return docs.withColumn(column, F.array(*[made[name] for name in STATISTICS]))
+    return docs.select("*", F.explode(F.array(F.array(*[made[name] for name in STATISTICS]))).alias(column))
 
 
 def fit(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, label: str = "quality") -> RuleEnsemble:
