@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import blocks_for, text_bytes
-from .substrings import gram_hashes
+from .wordhash import gram_hashes
 
 SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 23
 BLOCK_BYTES = 16_000_000

@@ -22,56 +22,38 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import blocks_for, save, text_bytes
+from .wordhash import BASE, gram_hashes, sliding_min, word_hashes
 
 WORDS, GRAM = 13, 4
-BUCKET_BYTES, MOST_BUCKETS, HOT_BYTES, FLUSH_BYTES = 24_000_000, 1_000_000, 96_000_000, 24_000_000
-MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+BUCKET_BYTES, MOST_BUCKETS, HOT_BYTES, FLUSH_BYTES = 24_000_000, 1_000_000, 64_000_000, 24_000_000
 SPANS = "doc_id long, row_hash long, lo int, hi int"
 
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-
-
-def gram_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
-    """Hash of each ``k`` hashes in a row (a polynomial, then mixed)."""
-    n = len(hashes) - k + 1
-    out = hashes[:n].copy()
-    for j in range(1, k):
-        out = out * MULTIPLIER + hashes[j : j + n]
-    return (out ^ (out >> np.uint64(29))) * MULTIPLIER
-
-
-def super_kmers(words: list[bytes], k: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def super_kmers(hashes: np.ndarray, k: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(minimiser, first window, last window + 1) of each super-k-mer of a document with k words or more."""
-    grams = gram_hashes(word_hashes(words), m)
-    span = k - m + 1
-    first = np.lib.stride_tricks.sliding_window_view(grams, span).argmin(1) + np.arange(len(grams) - span + 1)
-    cut = np.flatnonzero(np.diff(first)) + 1
-    lo = np.concatenate([[0], cut])
-    return grams[first[lo]], lo, np.concatenate([cut, [len(first)]])
-
-
-def _bucket(minimisers: np.ndarray, buckets: int) -> np.ndarray:
-    return ((minimisers * MULTIPLIER) >> np.uint64(20)) % np.uint64(buckets)
+    least = sliding_min(gram_hashes(hashes, m), k - m + 1)
+    lo = np.concatenate([[0], np.flatnonzero(least[1:] != least[:-1]) + 1])
+    return least[lo], lo, np.concatenate([lo[1:], [len(least)]])
 
 
 def _documents(batches: Iterator[pa.RecordBatch], k: int, m: int, buckets: int):
-    """(doc_id, row hash, words, bucket, first, last) of every row with windows."""
+    """(doc_id, row hash, line, word starts, word ends, bucket, first, last) of every row with windows; a
+    line is the row's words joined by one space."""
     for batch in batches:
         for i in range(0, batch.num_rows, 256):
             part = batch.slice(i, 256)
             for doc_id, row, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).cast(pa.binary()).to_pylist()):
-                words = text.split() if text and doc_id is not None else []
-                if len(words) >= k:
-                    minimiser, lo, hi = super_kmers(words, k, m)
-                    yield doc_id, row, words, _bucket(minimiser, buckets), lo, hi
+                line = b" ".join(text.split()) if text and doc_id is not None else b""
+                if line.count(b" ") >= k - 1:
+                    starts, ends, hashes = word_hashes(line)
+                    minimiser, lo, hi = super_kmers(hashes, k, m)
+                    bucket = ((minimiser * np.uint64(BASE)) >> np.uint64(20)) % np.uint64(buckets)
+                    yield doc_id, row, line, starts, ends, bucket, lo, hi
 
 
 def bucket_sizes(docs: DataFrame, k: int, m: int, buckets: int) -> DataFrame:
@@ -79,10 +61,9 @@ def bucket_sizes(docs: DataFrame, k: int, m: int, buckets: int) -> DataFrame:
 
     def size(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, int] = {}
-        for _, _, words, bucket, lo, hi in _documents(batches, k, m, buckets):
-            ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+        for _, _, _, starts, ends, bucket, lo, hi in _documents(batches, k, m, buckets):
             got, at = np.unique(bucket, return_inverse=True)
-            for b, n in zip(got.tolist(), np.bincount(at, ends[hi + k - 2] - ends[lo] + 8).tolist()):
+            for b, n in zip(got.tolist(), np.bincount(at, ends[hi + k - 2] - starts[lo] + 24).tolist()):
                 total[b] = total.get(b, 0) + int(n)
             if len(total) > 100_000:
                 yield pa.RecordBatch.from_pydict({"bucket": list(total), "bytes": list(total.values())})
@@ -108,11 +89,8 @@ def _packed(docs: DataFrame, k: int, m: int, buckets: int, skip: frozenset) -> D
                 rows[3].append(press.compress(np.array([p for places in texts.values() for p in places], "<i8").T.tobytes()))
             return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), *(pa.array(x, pa.binary()) for x in rows[1:])], names=["bucket", "texts", "counts", "places"])
 
-        for doc_id, row, words, bucket, lo, hi in _documents(batches, k, m, buckets):
-            line = b" ".join(words)
-            ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-            start = ends[lo] - np.fromiter((len(words[i]) + 1 for i in lo.tolist()), np.int64, len(lo))
-            for b, s, e, first in zip(bucket.tolist(), start.tolist(), (ends[hi + k - 2] - 1).tolist(), lo.tolist()):
+        for doc_id, row, line, starts, ends, bucket, lo, hi in _documents(batches, k, m, buckets):
+            for b, s, e, first in zip(bucket.tolist(), starts[lo].tolist(), ends[hi + k - 2].tolist(), lo.tolist()):
                 if b not in skip:
                     held.setdefault(b, {}).setdefault(line[s:e], []).append((doc_id, row, first))
                     size += e - s + 24
@@ -124,35 +102,38 @@ def _packed(docs: DataFrame, k: int, m: int, buckets: int, skip: frozenset) -> D
     return docs.mapInArrow(pack, "bucket long, texts binary, counts binary, places binary")
 
 
-def _smallest(texts: list[bytes], smallest: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+def _smallest(texts: list[bytes], owner_of: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """For all windows of the texts in a row: the smallest document id that holds an equal window. Also
     the first window of each text."""
-    hashes, at = [], np.zeros(len(texts) + 1, np.int64)
+    counts, hashes, part, size = [], [], [], 0
     for i, text in enumerate(texts):
-        got = word_hashes(text.split(b" "))
-        at[i + 1] = at[i] + len(got) - k + 1
-        hashes.append(got)
-    lengths = np.fromiter(map(len, hashes), np.int64, len(hashes))
-    flat = np.concatenate(hashes)
+        part.append(text)
+        size += len(text)
+        if size > 400_000 or i == len(texts) - 1:
+            hashes.append(word_hashes(b"\n".join(part))[2])
+            counts += [t.count(b" ") + 1 for t in part]
+            part, size = [], 0
+    lengths = np.array(counts, np.int64)
     base = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-    of = np.repeat(np.arange(len(texts)), np.diff(at))
+    at = np.concatenate([[0], np.cumsum(lengths - k + 1)])
+    of = np.repeat(np.arange(len(texts)), lengths - k + 1)
     place = np.arange(at[-1]) - at[of]
-    window = gram_hashes(flat, k)[base[of] + place]
-    owner = smallest[of]
+    window = gram_hashes(np.concatenate(hashes), k)[base[of] + place]
     order = np.argsort(window, kind="stable")
-    ranked = window[order]
+    ranked, owner = window[order], owner_of[of]
     new = np.concatenate([[True], ranked[1:] != ranked[:-1]])
     begin = np.flatnonzero(new)
-    least = np.minimum.reduceat(owner[order], begin)
     out = np.empty(len(window), np.int64)
-    out[order] = least[np.cumsum(new) - 1]
+    out[order] = np.minimum.reduceat(owner[order], begin)[np.cumsum(new) - 1]
     sizes = np.diff(np.concatenate([begin, [len(ranked)]]))
-    for g in np.flatnonzero(sizes > 1).tolist():  # equal hashes: are the words equal?
-        members = order[begin[g] : begin[g] + sizes[g]].tolist()
-        seen: dict[bytes, list[int]] = {}
-        for w in members:
-            words = texts[of[w]].split(b" ")
-            seen.setdefault(b" ".join(words[place[w] : place[w] + k]), []).append(w)
+    words: dict[int, list[bytes]] = {}
+    for lo, n in zip(begin[sizes > 1].tolist(), sizes[sizes > 1].tolist()):  # equal hashes: are the words equal?
+        seen: dict[tuple, list[int]] = {}
+        for w in order[lo : lo + n].tolist():
+            i, p = int(of[w]), int(place[w])
+            if i not in words:
+                words[i] = texts[i].split(b" ")
+            seen.setdefault(tuple(words[i][p : p + k]), []).append(w)
         if len(seen) > 1:
             for same in seen.values():
                 out[same] = owner[same].min()
@@ -161,40 +142,40 @@ def _smallest(texts: list[bytes], smallest: np.ndarray, k: int) -> tuple[np.ndar
 
 def _bucket_spans(k: int):
     def spans(t: pa.Table) -> pa.Table:
-        unpress, known, texts, places = zstandard.ZstdDecompressor(), {}, [], []
+        unpress, known, texts, of, places = zstandard.ZstdDecompressor(), {}, [], [], []
         for packed, counts, where in zip(t.column("texts").to_pylist(), t.column("counts").to_pylist(), t.column("places").to_pylist()):
-            got = np.frombuffer(unpress.decompress(where), "<i8").reshape(3, -1)
-            ends = np.cumsum(np.frombuffer(counts, "<i4"))
-            for text, s, e in zip(unpress.decompress(packed).split(b"\n"), (ends - np.frombuffer(counts, "<i4")).tolist(), ends.tolist()):
+            local = []
+            for text in unpress.decompress(packed).split(b"\n"):
                 if (i := known.setdefault(text, len(texts))) == len(texts):
                     texts.append(text)
-                    places.append([])
-                places[i].append(got[:, s:e])
-        smallest = np.fromiter((min(p[0].min() for p in x) for x in places), np.int64, len(places))
-        least, at = _smallest(texts, smallest, k)
-        found: list[np.ndarray] = []
-        for i, x in enumerate(places):
-            own = least[at[i] : at[i + 1]]
-            if len(x) == 1 and x[0].shape[1] == 1:
-                if x[0][0, 0] <= own.min():
-                    continue
-            doc, row, first = np.concatenate(x, axis=1)
-            for lo, hi, bound in _runs(own):
-                hit = doc > bound
-                if hit.any():
-                    found.append(np.stack([doc[hit], row[hit], first[hit] + lo, first[hit] + hi + k - 1]))
-        out = np.concatenate(found, axis=1) if found else np.zeros((4, 0), np.int64)
+                local.append(i)
+            of.append(np.repeat(np.array(local, np.int64), np.frombuffer(counts, "<i4")))
+            places.append(np.frombuffer(unpress.decompress(where), "<i8").reshape(3, -1))
+        known.clear()
+        text_of, (doc, row, first) = np.concatenate(of), np.concatenate(places, axis=1)
+        owner = np.full(len(texts), np.iinfo(np.int64).max)
+        np.minimum.at(owner, text_of, doc)
+        least, at = _smallest(texts, owner, k)
+        # places of which some window has a smaller owner, opened to their windows
+        n = np.diff(at)
+        any_least = np.minimum.reduceat(least, at[:-1]) if len(texts) else least
+        hit = np.flatnonzero(any_least[text_of] < doc)
+        found = []
+        for part in np.array_split(hit, max(1, len(hit) // 200_000)):
+            of_place = np.repeat(part, n[text_of[part]])
+            offset = np.arange(len(of_place)) - np.repeat(np.cumsum(n[text_of[part]]) - n[text_of[part]], n[text_of[part]])
+            cut = np.flatnonzero(least[at[text_of[of_place]] + offset] < doc[of_place])
+            p, o = of_place[cut], offset[cut]
+            head = np.concatenate([[True], (p[1:] != p[:-1]) | (o[1:] != o[:-1] + 1)]) if len(p) else np.zeros(0, bool)
+            lo = np.flatnonzero(head)
+            last = np.concatenate([lo[1:], [len(p)]]) - 1 if len(p) else lo
+            found.append(np.stack([doc[p[lo]], row[p[lo]], first[p[lo]] + o[lo], first[p[lo]] + o[last] + k]))
+        out = np.concatenate(found, axis=1)
         return pa.table({"doc_id": out[0], "row_hash": out[1], "lo": out[2].astype(np.int32), "hi": out[3].astype(np.int32)})
 
     return spans
 
 
-def _runs(own: np.ndarray) -> list[tuple[int, int, int]]:
-    """Runs of windows with one smallest id: (first, last + 1, id)."""
-    cut = [0, *(np.flatnonzero(np.diff(own)) + 1).tolist(), len(own)]
-    return [(lo, hi, int(own[lo])) for lo, hi in zip(cut, cut[1:])]
-
-
 def _hot_spans(docs: DataFrame, k: int, m: int, buckets: int, hot: frozenset) -> DataFrame:
     """The same spans for the hot buckets, a row per window: minimum by window text, joined back."""
 
@@ -202,7 +183,8 @@ def _hot_spans(docs: DataFrame, k: int, m: int, buckets: int, hot: frozenset) ->
         rows: tuple[list, ...] = ([], [], [], [])
         names = ["window", "doc_id", "row_hash", "lo"]
         kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int32())
-        for doc_id, row, words, bucket, lo, hi in _documents(batches, k, m, buckets):
+        for doc_id, row, line, _, _, bucket, lo, hi in _documents(batches, k, m, buckets):
+            words = line.split(b" ")
             for b, first, last in zip(bucket.tolist(), lo.tolist(), hi.tolist()):
                 for i in range(first, last) if b in hot else ():
                     for column, value in zip(rows, (b" ".join(words[i : i + k]), doc_id, row, i)):
