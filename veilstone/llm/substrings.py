@@ -11,7 +11,7 @@ of places it occurs at. A sizing pass comes first: buckets are made for the corp
 beyond ``HOT_BYTES`` (a minimiser that a large share of documents hold) is handled window by window with
 an aggregate that combines before the shuffle and a join that Spark splits where it is skewed.
 
-Rows: windows belong to the row they are read from. Rows with a null id neither lose words nor make
+Rows: windows belong to the row they are read from; (doc_id, CRC-32 of the text) names it on the way. Rows with a null id neither lose words nor make
 others lose any. Rows that share an id don't affect each other. Null and empty texts have no words.
 """
 
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import blocks_for, save, text_bytes
 from .wordhash import BASE, gram_hashes, sliding_min, word_hashes
 
-WORDS, GRAM = 13, 4
+WORDS, GRAM = 13, 3
 BUCKET_BYTES, MOST_BUCKETS, HOT_BYTES, FLUSH_BYTES = 24_000_000, 1_000_000, 64_000_000, 24_000_000
 SPANS = "doc_id long, row_hash long, lo int, hi int"
 
@@ -78,7 +78,7 @@ def _packed(docs: DataFrame, k: int, m: int, buckets: int, skip: frozenset) -> D
     places (doc_id, row hash, first word)."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press, held, size = zstandard.ZstdCompressor(3), {}, 0
+        press, held, size = zstandard.ZstdCompressor(6), {}, 0
 
         def flush() -> pa.RecordBatch:
             rows: tuple[list, ...] = ([], [], [], [])
@@ -86,7 +86,8 @@ def _packed(docs: DataFrame, k: int, m: int, buckets: int, skip: frozenset) -> D
                 rows[0].append(b)
                 rows[1].append(press.compress(b"\n".join(texts)))
                 rows[2].append(np.fromiter(map(len, texts.values()), "<i4", len(texts)).tobytes())
-                rows[3].append(press.compress(np.array([p for places in texts.values() for p in places], "<i8").T.tobytes()))
+                doc, row, first = np.array([p for places in texts.values() for p in places], np.int64).T
+                rows[3].append(press.compress(np.diff(doc, prepend=0).astype("<i8").tobytes() + row.astype("<u4").tobytes() + first.astype("<i4").tobytes()))
             return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), *(pa.array(x, pa.binary()) for x in rows[1:])], names=["bucket", "texts", "counts", "places"])
 
         for doc_id, row, line, starts, ends, bucket, lo, hi in _documents(batches, k, m, buckets):
@@ -150,7 +151,10 @@ def _bucket_spans(k: int):
                     texts.append(text)
                 local.append(i)
             of.append(np.repeat(np.array(local, np.int64), np.frombuffer(counts, "<i4")))
-            places.append(np.frombuffer(unpress.decompress(where), "<i8").reshape(3, -1))
+            raw = unpress.decompress(where)
+            n = len(raw) // 16
+            columns = (np.cumsum(np.frombuffer(raw, "<i8", n)), np.frombuffer(raw, "<u4", n, 8 * n), np.frombuffer(raw, "<i4", n, 12 * n))
+            places.append(np.stack([c.astype(np.int64) for c in columns]))
         known.clear()
         text_of, (doc, row, first) = np.concatenate(of), np.concatenate(places, axis=1)
         owner = np.full(len(texts), np.iinfo(np.int64).max)
@@ -212,7 +216,7 @@ def repeated_spans(docs: DataFrame, k: int = WORDS, m: int = GRAM, bucket_bytes:
 def without_repeats(docs: DataFrame, k: int = WORDS, m: int = GRAM, **sizes: int) -> DataFrame:
     """``docs`` (with ``doc_id`` and ``text``) and, for each row, ``n_words``, ``n_removed`` and
     ``kept_text``: the words that no repeated window covers, joined by one space."""
-    taken = docs.drop("n_words", "n_removed", "kept_text", "row_hash", "__spans").withColumn("row_hash", F.xxhash64("text"))
+    taken = docs.drop("n_words", "n_removed", "kept_text", "row_hash", "__spans").withColumn("row_hash", F.crc32(F.coalesce("text", F.lit(""))))
     narrow = taken.select(F.col("doc_id").cast("long").alias("doc_id"), "row_hash", "text")
     spans = save(repeated_spans(narrow, k, m, **sizes), "repeated-spans")
     spans = spans.distinct().groupBy("doc_id", "row_hash").agg(F.collect_list(F.struct("lo", "hi")).alias("__spans"))
