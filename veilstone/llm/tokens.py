@@ -37,7 +37,7 @@ class Encoder:
     def chunks(self, text: bytes) -> list[str]:
         if self.keeps_space:
             return KEPT.findall(text.decode("utf-8", "replace"))
-        return DROPPED.findall(text.lower().decode("utf-8", "replace"))
+        return DROPPED.findall((text if b"<|" in text else text.lower()).decode("utf-8", "replace"))
 
     def learn(self, chunks: set[str]) -> dict[str, bytes]:
         """Ids of the chunks that aren't known yet. They are encoded many to a text, since a call costs
