@@ -19,7 +19,8 @@ JOB = "job_id string, input_path string, status string, steps_completed array<st
 
 def scan_jobs(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(readable jobs, corrupt documents) of a folder of job documents; a corrupt one isn't fatal."""
-    return split_jobs(spark.read.schema(JOB).option("mode", "PERMISSIVE").json(path, multiLine=True).withColumn("file", F.col("_metadata.file_path")))
+    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("dir"), F.col("value").alias("doc"))
+    return split_jobs(parse_jobs(raw))
 
 
 def parse_jobs(raw: DataFrame) -> DataFrame:
