@@ -36,39 +36,47 @@ def _keyed(rules: DataFrame) -> DataFrame:
     return rules.withColumn("key", F.when(F.col("case_sensitive"), F.col("root")).otherwise(F.lower("root")))
 
 
-def _pieces(tokens: DataFrame, lengths: Column, anywhere: bool) -> DataFrame:
-    """Distinct substrings (prefixes, or all) of ``lengths`` of each token, as written and lower-cased."""
-
-    def of(text: Column, cs: bool) -> Column:
-        fits = F.filter(lengths, lambda n: n <= F.length(text))
-        if anywhere:
-            cut = F.flatten(F.transform(fits, lambda n: F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, n))))
+def _pieces(text: Column, lengths: Column, anywhere: bool) -> Column:
+    """Distinct substrings (prefixes, or all) of the ``lengths`` of a text."""
+    fits = F.filter(lengths, lambda n: n <= F.length(text))
+    if anywhere:
+        cut = F.flatten(F.transform(fits, lambda n: F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, n))))
+    else:
+        cut = F.transform(fits, lambda n: F.substring(text, F.lit(1), n))
+    return F.array_distinct(cut)
+
+
+def class_hits(tokens: DataFrame, lexicon: DataFrame, *kinds: int) -> DataFrame:
+    """All (token, class, line_no, raw) of the rule classes over distinct ``tokens``: every token offers
+    its keys for every class, and one equi-join with the keyed rules finds the hits."""
+    exact, prefix, inside = (_keyed(_singles(lexicon, kind)) for kind in ("exact", "startswith", "contains"))
+    rules = (
+        exact.withColumn("class", F.when(F.col("case_sensitive"), EXACT_CS).otherwise(EXACT_CI))
+        .unionByName(prefix.withColumn("class", F.lit(PREFIX)))
+        .unionByName(inside.withColumn("class", F.lit(CONTAINS)))
+        .filter(F.col("class").isin(*kinds))
+    )
+
+    def offer(kind: int, cs: bool) -> Column:
+        text = F.col("token") if cs else F.lower("token")
+        if kind in (EXACT_CI, EXACT_CS):
+            keys = F.array(text)
         else:
-            cut = F.transform(fits, lambda n: F.substring(text, F.lit(1), n))
-        return F.transform(F.array_distinct(cut), lambda k: F.struct(F.lit(cs).alias("case_sensitive"), k.alias("key")))
-
-    both = F.concat(of(F.col("token"), True), of(F.lower("token"), False))
-    return tokens.select("token", F.explode(both).alias("p")).select("token", "p.*")
+            keys = _pieces(text, F.col(f"__n{kind}{cs}"), kind == CONTAINS)
+        return F.transform(keys, lambda k: F.struct(F.lit(kind).alias("class"), F.lit(cs).alias("case_sensitive"), k.alias("key")))
 
-
-def class_hits(tokens: DataFrame, lexicon: DataFrame, kind: int) -> DataFrame:
-    """All (token, class, line_no, raw) of one rule class over distinct ``tokens``."""
-    if kind in (EXACT_CI, EXACT_CS):
-        cs = kind == EXACT_CS
-        rules = _keyed(_singles(lexicon, "exact").filter(F.col("case_sensitive") == cs))
-        found = tokens.withColumn("key", F.col("token") if cs else F.lower("token")).join(rules, "key")
-    else:
-        rules = _keyed(_singles(lexicon, "startswith" if kind == PREFIX else "contains"))
-        lengths = rules.agg(F.sort_array(F.collect_set(F.length("key"))).alias("n")).scalar()
-        found = _pieces(tokens.withColumn("__n", lengths), F.col("__n"), kind == CONTAINS).join(rules, ["case_sensitive", "key"])
-    return found.select("token", F.lit(kind).alias("class"), "line_no", "raw")
+    wanted = [(EXACT_CI, False), (EXACT_CS, True), (PREFIX, False), (PREFIX, True), (CONTAINS, False), (CONTAINS, True)]
+    for kind, cs in wanted[2:]:
+        of = (prefix if kind == PREFIX else inside).filter(F.col("case_sensitive") == cs)
+        tokens = tokens.withColumn(f"__n{kind}{cs}", of.agg(F.sort_array(F.collect_set(F.length("key"))).alias("n")).scalar())
+    offers = F.concat(*[offer(kind, cs) for kind, cs in wanted if kind in kinds])
+    offered = tokens.select("token", F.explode(offers).alias("p")).select("token", "p.*")
+    return offered.join(rules, ["class", "case_sensitive", "key"]).select("token", "class", "line_no", "raw")
 
 
 def token_hits(tokens: DataFrame, lexicon: DataFrame) -> DataFrame:
     """The hit of each distinct token: smallest class, then smallest line."""
-    hits = class_hits(tokens, lexicon, EXACT_CI)
-    for kind in (EXACT_CS, PREFIX, CONTAINS):
-        hits = hits.unionByName(class_hits(tokens, lexicon, kind))
+    hits = class_hits(tokens, lexicon, EXACT_CI, EXACT_CS, PREFIX, CONTAINS)
     first = F.min(F.struct("class", "line_no", "raw")).alias("hit")
     return hits.groupBy("token").agg(first).select("token", "hit.*")
 

@@ -28,7 +28,8 @@ def words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rule_list(spark: SparkSession) -> DataFrame:
-    lines = spark.createDataFrame([(i + 1, r) for i, r in enumerate(RULES)], "line_no int, raw string")
+    rows = ", ".join(f"({i}, '{r}')" for i, r in enumerate(RULES, 1))
+    lines = spark.sql(f"select * from values {rows} as t(line_no, raw)")
     return rules.lexicon_load(lines)
 
 
