@@ -46,6 +46,8 @@ TEMPLATES = [
     ("unlicense", "this is free and unencumbered software released into the public domain", ["free and unencumbered software"]),
 ]
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+OTHER = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
+SHIFT, BEFORE = 1 << 32, 1000  # a vote is template * SHIFT + start + BEFORE; templates have fewer words than BEFORE
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RAREST = 8  # index words of a document that are looked up for templates (base phrases use their own)
 
@@ -129,7 +131,7 @@ def scan(docs: DataFrame, weights: dict[str, float] | None = None, rarest: int =
             "__hits",
             lambda h: F.transform(
                 F.filter(h["e"]["at"], lambda a: a["base"] | F.array_contains("__rare", h["w"])),
-                lambda a: F.struct(a["t"].alias("t"), (h["p"] - a["i"]).alias("s"), h["e"]["idf"].alias("idf")),
+                lambda a: F.struct((a["t"].cast("long") * SHIFT + h["p"] - a["i"] + BEFORE).alias("k"), h["e"]["idf"].alias("idf")),
             ),
         )
     )
@@ -151,13 +153,14 @@ def scan(docs: DataFrame, weights: dict[str, float] | None = None, rarest: int =
     is_base = F.array(*[F.lit(t.base) for t in made])
     ideal = F.array(*[F.lit(float(sum(sorted({weights[w] for w in t.words}, reverse=True)[:rarest]))) for t in made])
     need = F.array(*[F.lit(1 if t.base else min(2, len(t.words))) for t in made])
-    starts = F.array_distinct(F.transform("__votes", lambda v: F.struct(v["t"].alias("t"), v["s"].alias("s"))))
+    keys = F.array_distinct(F.transform("__votes", lambda v: v["k"]))
+    starts = F.transform(keys, lambda k: F.struct(F.shiftright(k, 32).cast("int").alias("t"), (k % SHIFT - BEFORE).cast("int").alias("s"), k.alias("k")))
     candidates = F.filter(starts, lambda c: verified(c))
     weighed = F.transform(
         candidates,
         lambda c: F.struct(
             c["t"].alias("t"), c["s"].alias("s"),
-            F.filter("__votes", lambda v: (v["t"] == c["t"]) & (v["s"] == c["s"])).alias("v"),
+            F.filter("__votes", lambda v: v["k"] == c["k"]).alias("v"),
         ),
     )
     kept = F.filter(weighed, lambda c: F.size(c["v"]) >= F.element_at(need, c["t"] + 1))
@@ -168,15 +171,17 @@ def scan(docs: DataFrame, weights: dict[str, float] | None = None, rarest: int =
             F.least(F.lit(1.0), F.aggregate(c["v"], F.lit(0.0), lambda a, v: a + v["idf"]) / F.element_at(ideal, c["t"] + 1)).alias("score"),
         ),
     )
-    out = (
-        docs.select(*names)
-        .withColumn("n_words", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
-        .withColumn("__words", words)
-        .withColumn("__hits", hits)
-        .withColumn("__rare", F.transform(ranked, lambda r: r["w"]))
-        .withColumn("__votes", votes)
-        .withColumn("found", F.coalesce(found, F.array().cast("array<struct<label:string,start:bigint,base:boolean,score:double>>")))
-    )
+    # Words are counted without being cut out: each becomes one character.
+    n_words = F.when(F.col("text").rlike(WORD), F.length(F.regexp_replace("text", f"{OTHER}*+{WORD}+{OTHER}*+", "x"))).otherwise(F.lit(0))
+
+    def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+        """A column that is computed once a row: the generator keeps it from being written into lambdas."""
+        return df.select("*", F.explode_outer(F.array(value)).alias(name))
+
+    out = docs.select(*names).withColumn("n_words", n_words.cast("long"))
+    out = once(once(out, "__words", words), "__hits", hits)
+    out = once(once(out, "__rare", F.transform(ranked, lambda r: r["w"])), "__votes", votes)
+    out = out.withColumn("found", F.coalesce(found, F.array().cast("array<struct<label:string,start:bigint,base:boolean,score:double>>")))
     return out.select(*names, "n_words", "found")
 
 
