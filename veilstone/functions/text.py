@@ -22,10 +22,11 @@ def split_words(text: Column) -> Column:
 
 
 def fmt_size(n: Column) -> Column:
-    """Bytes as B, KB, MB, GB or TB (base 1024); bytes without decimals, the rest with one."""
-    out = F.format_string("%.1f TB", n / float(1024**4))
+    """Bytes as B, KB, MB, GB or TB (base 1024); bytes without decimals, the rest with one,
+    ties to even."""
+    out = F.format_string("%.1f TB", F.bround(n / float(1024**4), 1))
     for power, unit in ((3, "GB"), (2, "MB"), (1, "KB")):
-        out = F.when(n < 1024 ** (power + 1), F.format_string(f"%.1f {unit}", n / float(1024**power))).otherwise(out)
+        out = F.when(n < 1024 ** (power + 1), F.format_string(f"%.1f {unit}", F.bround(n / float(1024**power), 1))).otherwise(out)
     return F.when(n < 1024, F.format_string("%d B", n.cast("long"))).otherwise(out)
 
 
