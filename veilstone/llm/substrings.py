@@ -30,7 +30,7 @@ from .common import blocks_for, save, text_bytes
 from .wordhash import BASE, gram_hashes, sliding_min, word_hashes
 
 WORDS, GRAM = 13, 3
-BUCKET_BYTES, MOST_BUCKETS, HOT_BYTES, FLUSH_BYTES = 24_000_000, 1_000_000, 64_000_000, 24_000_000
+BUCKET_BYTES, MOST_BUCKETS, HOT_BYTES, FLUSH_BYTES = 16_000_000, 1_000_000, 64_000_000, 16_000_000
 SPANS = "doc_id long, row_hash long, lo int, hi int"
 
 
