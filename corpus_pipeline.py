@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilstone.llm import decontaminate, packing, quality, simhash, substrings
+from veilstone.llm import decontaminate, nearcopies, packing, quality, substrings
 from veilstone.llm.common import save, table
 
 
@@ -22,8 +22,9 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component: the one of smallest doc_id. Rows with a null id stay."""
-    marked = simhash.near_duplicates(docs.select("doc_id", "text"))
+    """One document of each component of near copies (five-word Jaccard similarity of 0.8 or more): the one
+    of smallest doc_id. Rows with a null id stay."""
+    marked = nearcopies.near_copies(docs.select("doc_id", "text"))
     dropped = marked.filter("component_id < doc_id").select("doc_id").distinct()
     return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
 
@@ -51,7 +52,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality classifier", keep_quality),
-    ("SimHash near-dedup", drop_near_duplicates),
+    ("near-dedup", drop_near_duplicates),
     ("substring dedup", cut_repeats),
     ("benchmark decontamination", drop_leaks),
     ("best-fit packing", pack),

@@ -1,9 +1,10 @@
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import corpus_pipeline
+import numpy as np
 from pyspark.sql import functions as F
 
-from veilstone.llm import decontaminate, quality
+from veilstone.llm import decontaminate, nearcopies, quality
 from veilstone.llm.common import save
 
 from .test_operators import brute_components, brute_fingerprint, brute_substrings, check_packing
@@ -47,6 +48,52 @@ def test_every_stage_against_brute_force(spark):
     assert {r.doc_id for r in rows} == set(got) - gone
 
 
+def brute_near_copies(texts):
+    """doc_id -> smallest doc_id reachable over pairs of five-word Jaccard similarity 0.8 or more."""
+    sets = {i: nearcopies.shingles(t.encode()) for i, t in texts.items()}
+    holders, root = defaultdict(list), {i: i for i in texts}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in sorted(sets):
+        both = Counter(j for s in sets[i] for j in holders[s])
+        for j, n in both.items():
+            if n >= 0.8 * (len(sets[i]) + len(sets[j]) - n) - 1e-9:
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+        for s in sets[i]:
+            holders[s].append(i)
+    return {i: find(i) for i in texts}
+
+
+def test_near_dedup_stage_matches_brute_force_jaccard(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    got = corpus_pipeline.drop_near_duplicates(spark, docs, SF)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    want = set(brute_near_copies(texts).values())
+    assert got.columns == docs.columns and {r[0] for r in got.select("doc_id").collect()} == want
+    assert not {875, 944, 255, 770} & want  # near copies more than four bits apart
+
+
+def test_near_copies_match_brute_force_on_edited_texts(spark):
+    rng = np.random.default_rng(5)
+    texts = {}
+    for family in range(30):
+        base = [f"w{x}" for x in rng.integers(0, 5000, int(rng.integers(4, 160)))] + "a line that many of these texts share in full".split() * (family % 3 > 0)
+        for _ in range(8):
+            words = list(base)
+            for at in rng.integers(0, len(words), int(rng.integers(0, 5))):
+                words[at] = f"v{rng.integers(0, 5000)}"
+            texts[len(texts)] = " ".join(words)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    want = brute_near_copies(texts)
+    assert 30 < len(set(want.values())) < 240
+    assert dict(nearcopies.near_copies(docs).collect()) == want
+
+
 def test_odd_rows_pass_through(spark, odd, none):
     docs = odd.select("doc_id", "text", "lang", "source", "n_chars")
     for name, stage in corpus_pipeline.STAGES:
