@@ -260,6 +260,29 @@ def test_license_places_match_brute_force(spark, odd, none):
     assert licenses.summary(licenses.scan(none)).count() == 0
 
 
+def brute_labels(text):
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(LOWER))
+    found = set()
+    for t in licenses.templates():
+        for s in range(-len(t.words), len(words)):
+            if all(s + at >= 0 and tuple(words[s + at : s + at + len(own)]) == own for at, own in t.phrases):
+                found.add(t.label)
+    return ",".join(sorted(found))
+
+
+def test_all_labels_of_files_with_several_notices(spark):
+    by = {label: sentence for label, sentence, _ in licenses.TEMPLATES}
+    several = [["bsd", "gpl-3"], ["bsd", "gpl-3", "isc", "mpl-2", "unlicense"], list(by), list(by)[::-1], ["gpl", "lgpl", "agpl-3", "cc0"]]
+    texts = [". And ".join(by[x] for x in labels) for labels in several]
+    texts += [" ".join(s for _, s, _ in licenses.TEMPLATES), "x " * 3000 + texts[1] + " y" * 3000]
+    texts += [" ".join(p) for _, _, p in licenses.TEMPLATES] + [f"{by['isc']} {' '.join(p)}" for _, _, p in licenses.TEMPLATES]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(1000 + r.doc_id, r.text) for r in docs_of(spark, "/root/testdata/sf0.01").collect()]
+    scanned = licenses.summary(licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"))).collect()
+    assert {r.doc_id: r.labels for r in scanned} == {i: brute_labels(t) for i, t in rows}
+    assert all(0 <= r.score <= 1 and (r.score > 0) == bool(r.labels) for r in scanned)
+    assert {r.doc_id: r.labels for r in scanned}[0] == "bsd,gpl-3"
+
+
 # ---- 6 WARC
 
 

@@ -1,12 +1,11 @@
 """License scans by a positional index of rare license words. DataFrame expressions only.
 
-Templates are short license sentences; the index holds (word, template, position) for each of their
-words. Document frequencies of the index words come from all documents. A document looks up the places
-of its highest-IDF index words; an index word at place p that stands at position t of a template votes
-for the template to start at p - t. A start with votes from enough rare words is a candidate, and it is
-kept if every mandatory key phrase of the template stands where the template has it. Base phrases are
-templates that are one key phrase as a whole: their rarest word alone proposes starts, so no place is
-missed.
+Templates are short license sentences. Document frequencies of their words come from all documents. The
+index holds (word, template, position) of the rarest word (highest IDF) among each template's mandatory
+key phrases. Such a word at place p that stands at position t of a template proposes the template to start
+at p - t; the start is kept if every key phrase stands where the template has it. Since the proposing word
+is part of a key phrase, no start at which all of them stand is missed, whatever else the document holds.
+Base phrases are templates that are one key phrase as a whole.
 
 Words are runs of [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F] after lower-casing A-Z. Documents that hold no word
 on which a template depends are decided by one regular expression and never split into words. Nothing is
@@ -47,9 +46,8 @@ TEMPLATES = [
 ]
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 OTHER = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
-SHIFT, BEFORE = 1 << 32, 1000  # a vote is template * SHIFT + start + BEFORE; templates have fewer words than BEFORE
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-RAREST = 8  # index words of a document that are looked up for templates (base phrases use their own)
+RAREST = 8  # rarest words of a template that its score counts
 
 
 @dataclass(frozen=True)
@@ -106,35 +104,23 @@ def scan(docs: DataFrame, weights: dict[str, float] | None = None, rarest: int =
     (array of (label, start, score)): all verified templates."""
     made, weights = templates(), weights or idf(docs)
     names = [c for c in docs.columns if c not in ("n_words", "base_places", "found")]
-    postings: dict[str, list[tuple[int, int, bool]]] = {}
+    postings: dict[str, list[tuple[int, int]]] = {}
     for n, t in enumerate(made):
-        anchor = max(range(len(t.words)), key=lambda i: (weights[t.words[i]], i)) if t.base else None
-        for i, w in enumerate(t.words):
-            if not t.base or i == anchor:
-                postings.setdefault(w, []).append((n, i, t.base))
+        anchor = max((at + i for at, own in t.phrases for i in range(len(own))), key=lambda i: (weights[t.words[i]], i))
+        postings.setdefault(t.words[anchor], []).append((n, anchor))
     index = F.create_map(*[
         x for w, held in sorted(postings.items())
-        for x in (F.lit(w), F.struct(F.lit(weights[w]).alias("idf"), F.array(*[F.struct(F.lit(n).alias("t"), F.lit(i).alias("i"), F.lit(b).alias("base")) for n, i, b in held]).alias("at")))
+        for x in (F.lit(w), F.array(*[F.struct(F.lit(n).alias("t"), F.lit(i).alias("i")) for n, i in held]))
     ])
 
     gate = F.coalesce(F.col("text").rlike(_gate(made)), F.lit(False))
     words = F.when(gate, document_words(F.col("text")))
     # places of index words, with postings
     hits = F.filter(
-        F.transform(F.col("__words"), lambda w, p: F.struct(p.alias("p"), w.alias("w"), F.try_element_at(index, w).alias("e"))),
+        F.transform(F.col("__words"), lambda w, p: F.struct(p.alias("p"), F.try_element_at(index, w).alias("e"))),
         lambda h: h["e"].isNotNull(),
     )
-    # the document's highest-IDF index words
-    ranked = F.slice(F.reverse(F.array_sort(F.array_distinct(F.transform("__hits", lambda h: F.struct(h["e"]["idf"].alias("idf"), h["w"].alias("w")))))), 1, rarest)
-    votes = F.flatten(
-        F.transform(
-            "__hits",
-            lambda h: F.transform(
-                F.filter(h["e"]["at"], lambda a: a["base"] | F.array_contains("__rare", h["w"])),
-                lambda a: F.struct((a["t"].cast("long") * SHIFT + h["p"] - a["i"] + BEFORE).alias("k"), h["e"]["idf"].alias("idf")),
-            ),
-        )
-    )
+    starts = F.flatten(F.transform("__hits", lambda h: F.transform(h["e"], lambda a: F.struct(a["t"].alias("t"), (h["p"] - a["i"]).alias("s")))))
 
     def stands(s: Column, phrases: tuple[tuple[int, tuple[str, ...]], ...]) -> Column:
         ok = F.lit(True)
@@ -149,26 +135,22 @@ def scan(docs: DataFrame, weights: dict[str, float] | None = None, rarest: int =
             out = F.when(c["t"] == n, stands(c["s"], t.phrases)).otherwise(out)
         return out
 
+    def shown(c: Column) -> Column:
+        """Share of the IDF of the template's rarest words that stands where the template has them."""
+        out = F.lit(1.0)
+        for n, t in enumerate(made):
+            rare = sorted(set(t.words), key=lambda w: (-weights[w], w))[:rarest]
+            places = [(i, w) for i, w in enumerate(t.words) if w in rare]
+            got = sum((F.when(F.get("__words", c["s"] + i) == w, weights[w]).otherwise(0.0) for i, w in places), F.lit(0.0))
+            out = F.when(c["t"] == n, F.least(F.lit(1.0), got / sum(weights[w] for _, w in places))).otherwise(out)
+        return out
+
     labels = F.array(*[F.lit(t.label) for t in made])
     is_base = F.array(*[F.lit(t.base) for t in made])
-    ideal = F.array(*[F.lit(float(sum(sorted({weights[w] for w in t.words}, reverse=True)[:rarest]))) for t in made])
-    need = F.array(*[F.lit(1 if t.base else min(2, len(t.words))) for t in made])
-    keys = F.array_distinct(F.transform("__votes", lambda v: v["k"]))
-    starts = F.transform(keys, lambda k: F.struct(F.shiftright(k, 32).cast("int").alias("t"), (k % SHIFT - BEFORE).cast("int").alias("s"), k.alias("k")))
-    candidates = F.filter(starts, lambda c: verified(c))
-    weighed = F.transform(
-        candidates,
-        lambda c: F.struct(
-            c["t"].alias("t"), c["s"].alias("s"),
-            F.filter("__votes", lambda v: v["k"] == c["k"]).alias("v"),
-        ),
-    )
-    kept = F.filter(weighed, lambda c: F.size(c["v"]) >= F.element_at(need, c["t"] + 1))
     found = F.transform(
-        kept,
+        F.filter("__starts", verified),
         lambda c: F.struct(
-            F.element_at(labels, c["t"] + 1).alias("label"), c["s"].cast("long").alias("start"), F.element_at(is_base, c["t"] + 1).alias("base"),
-            F.least(F.lit(1.0), F.aggregate(c["v"], F.lit(0.0), lambda a, v: a + v["idf"]) / F.element_at(ideal, c["t"] + 1)).alias("score"),
+            F.element_at(labels, c["t"] + 1).alias("label"), c["s"].cast("long").alias("start"), F.element_at(is_base, c["t"] + 1).alias("base"), shown(c).alias("score"),
         ),
     )
     # Words are counted without being cut out: each becomes one character.
@@ -180,7 +162,7 @@ def scan(docs: DataFrame, weights: dict[str, float] | None = None, rarest: int =
 
     out = docs.select(*names).withColumn("n_words", n_words.cast("long"))
     out = once(once(out, "__words", words), "__hits", hits)
-    out = once(once(out, "__rare", F.transform(ranked, lambda r: r["w"])), "__votes", votes)
+    out = once(out, "__starts", starts)
     out = out.withColumn("found", F.coalesce(found, F.array().cast("array<struct<label:string,start:bigint,base:boolean,score:double>>")))
     return out.select(*names, "n_words", "found")
 
