@@ -214,6 +214,47 @@ def test_quality_on_the_held_out_third(spark):
     assert sum(rows[r.doc_id].predicted == r.quality for r in labels) / len(labels) >= 0.95
 
 
+def plain_statistics(text):
+    text = text or ""
+    words = re.findall(r"[^ \t\r\n\f\x0B]+", text.translate(LOWER))
+    n, m = len(text), len(words)
+    stop = "the and of to in is it that for with der die das und von zu mit den ist le la les de des et un une que el los las y en por con".split()
+    count = lambda of: sum(text.count(c) for c in of)
+    return {
+        "n_chars": n,
+        "n_words": m,
+        "word_length": n / m if m else 0,
+        "distinct_share": len(dict.fromkeys(words)) / m if m else 0,
+        "repeat_share": sum(words[i] == words[i - 1] for i in range(1, m)) / m if m else 0,
+        "upper_share": count(string.ascii_uppercase) / n if n else 0,
+        "mark_share": count(string.punctuation) / n if n else 0,
+        "odd_mark_share": count("#$%&*@^~<>{}=+_\\") / n if n else 0,
+        "digit_share": count(string.digits) / n if n else 0,
+        "bar_share": text.count("|") / m if m else 0,
+        "exclaim_share": text.count("!") / m if m else 0,
+        "line_length": n / (text.count("\n") + 1),
+        "stop_share": sum(w in stop for w in words) / m if m else 0,
+        "wide_share": (len(text.encode()) - n) / n if n else 0,
+    }
+
+
+def test_every_statistic_equals_plain_python(spark, odd, sf_dir):
+    more = ["Ünï çödé \u2028 x\x1cy | a|b !! The the THE, the", "#$%&*@^~<>{}=+_\\ 0123456789", "é" * 3000 + "\n\n\n|", "\t \n"]
+    docs = odd.select("text").unionByName(spark.createDataFrame([(t,) for t in more], "text string")).unionByName(docs_of(spark, sf_dir).select("text"))
+    rows = quality.with_statistics(docs).collect()
+    assert len(rows) > 200
+    for r in rows:
+        want = plain_statistics(r.text)
+        assert list(want) == list(quality.STATISTICS) and r["__statistics"] == pytest.approx(list(want.values()), rel=1e-12), r.text[:60]
+
+
+def test_long_texts_are_counted_in_parts(monkeypatch):
+    text = ("Ab, cé 9|!\n" * 50).encode()
+    whole = quality.text_statistics(text)
+    monkeypatch.setattr(quality, "PART_BYTES", 7)
+    assert quality.text_statistics(text) == whole
+
+
 def test_quality_of_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(0, 1), (0, 0), (5, 1), (7, 0), (3, None), (None, 1)], "doc_id long, quality int")
     got = quality.scored(odd, labels).collect()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import math
 import tempfile
 import uuid
@@ -56,3 +58,23 @@ def files(uri: str):
     if "://" not in uri and not uri.startswith("file:"):
         return fs.LocalFileSystem(), uri
     return fs.FileSystem.from_uri(uri)
+
+
+def byte_texts(column, part: int = 256):
+    """The UTF-8 bytes of each value of an Arrow string column (None for null), a few at a time."""
+    import pyarrow as pa
+
+    for i in range(0, len(column), part):
+        yield from column.slice(i, part).cast(pa.binary()).to_pylist()
+
+
+def release_memory() -> None:
+    """Give memory that a task has freed back to the system, as Python workers are used again: Arrow's
+    pool, and the C library's heap where it has a call for it."""
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)

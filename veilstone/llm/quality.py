@@ -3,7 +3,8 @@
 Small trees are grown on labelled rows; every path from a root is a conjunctive rule over statistics.
 Lasso-penalised logistic regression over the rules and the (clipped, scaled) statistics keeps a few of
 them, and what it keeps is compiled to one Spark column expression. Scoring is a single pass over the
-documents in generated code: no Python, no shuffle.
+documents without a shuffle: a task reads the statistics off the bytes of each text (one byte histogram
+and one list of words), and generated code applies the rules.
 
 Training takes at most ``most_rows`` labelled rows (a bounded sample, by a hash of the id); all rows
 are scored. Statistics read whole texts. Labels, language, source and id are inputs of no score.
@@ -15,47 +16,76 @@ constant: that class's share (0.5 without labels).
 
 from __future__ import annotations
 
+from itertools import pairwise
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MOST_ROWS = 20_000
+from .common import byte_texts
+
+MOST_ROWS, PART_BYTES = 20_000, 1 << 20
 STATISTICS = (
     "n_chars", "n_words", "word_length", "distinct_share", "repeat_share", "upper_share", "mark_share", "odd_mark_share",
     "digit_share", "bar_share", "exclaim_share", "line_length", "stop_share", "wide_share",
 )
 #: Frequent short words of four languages.
-STOP_WORDS = r"(?i)\b(?:the|and|of|to|in|is|it|that|for|with|der|die|das|und|von|zu|mit|den|ist|le|la|les|de|des|et|un|une|que|el|los|las|y|en|por|con)\b"
-
-
-def statistics(text: Column) -> dict[str, Column]:
-    """Columns by name, each a double; every one reads the whole text."""
-    text = F.coalesce(text, F.lit(""))
-    words = F.split(F.trim(text), r"[ \t\r\n\f\x0B]+")
-    n_chars, n_words = F.length(text).cast("double"), F.when(F.trim(text) == "", F.lit(0.0)).otherwise(F.size(words).cast("double"))
-
-    def count(pattern: str) -> Column:
-        return F.regexp_count(text, F.lit(pattern)).cast("double")
-
-    def share(x: Column, of: Column) -> Column:
-        return F.when(of > 0, x / of).otherwise(F.lit(0.0))
-
-    return {
-        "n_chars": n_chars,
-        "n_words": n_words,
-        "word_length": share(n_chars, n_words),
-        "distinct_share": share(F.size(F.array_distinct(words)).cast("double"), n_words),
-        "repeat_share": share(count(r"\b(\w+)(?=\W+\1\b)"), n_words),
-        "upper_share": share(count(r"\p{Lu}"), n_chars),
-        "mark_share": share(count(r"[^\p{L}\p{N}\s]"), n_chars),
-        "odd_mark_share": share(count(r"[#$%&*@^~<>{}=+_\\]"), n_chars),
-        "digit_share": share(count(r"[0-9]"), n_chars),
-        "bar_share": share(count(r"[|]"), n_words),
-        "exclaim_share": share(count(r"[!]"), n_words),
-        "line_length": share(n_chars, count(r"\n") + 1),
-        "stop_share": share(count(STOP_WORDS), n_words),
-        "wide_share": share(F.octet_length(text).cast("double") - n_chars, n_chars),
-    }
+STOP_WORDS = frozenset(
+    b"the and of to in is it that for with der die das und von zu mit den ist le la les de des et un une que el los las y en por con".split()
+)
+
+
+def _class(test) -> np.ndarray:
+    return np.array([test(b) for b in range(256)])
+
+
+HEADS = _class(lambda b: b & 0xC0 != 0x80)  # first bytes of UTF-8 characters
+UPPER = _class(lambda b: 65 <= b <= 90)
+MARKS = _class(lambda b: 33 <= b <= 47 or 58 <= b <= 64 or 91 <= b <= 96 or 123 <= b <= 126)
+ODD_MARKS = _class(lambda b: chr(b) in "#$%&*@^~<>{}=+_\\")
+DIGITS = _class(lambda b: 48 <= b <= 57)
+
+
+def text_statistics(text: bytes | None) -> list[float]:
+    """The statistics of one text, in the order of STATISTICS. Classes of characters are those of ASCII;
+    words are runs without ASCII white space, compared in lower case (A-Z)."""
+    if not text:
+        return [0.0] * len(STATISTICS)
+    raw, count = np.frombuffer(text, np.uint8), np.zeros(256, np.int64)
+    for i in range(0, len(raw), PART_BYTES):
+        count += np.bincount(raw[i : i + PART_BYTES], minlength=256)
+    words = text.lower().split()
+    chars, n = int(count[HEADS].sum()), len(words)
+    per_char, per_word = 1.0 / max(1, chars), 1.0 / max(1, n)
+    return [
+        float(chars),
+        float(n),
+        chars * per_word if n else 0.0,
+        len(set(words)) * per_word,
+        sum(a == b for a, b in pairwise(words)) * per_word,
+        int(count[UPPER].sum()) * per_char,
+        int(count[MARKS].sum()) * per_char,
+        int(count[ODD_MARKS].sum()) * per_char,
+        int(count[DIGITS].sum()) * per_char,
+        int(count[124]) * per_word if n else 0.0,
+        int(count[33]) * per_word if n else 0.0,
+        chars / (int(count[10]) + 1),
+        sum(map(STOP_WORDS.__contains__, words)) * per_word,
+        (len(text) - chars) * per_char,
+    ]
+
+
+def statistics(text: Column) -> Column:
+    """The statistics of a text column as an array of doubles. It is called once a row: being marked as
+    not deterministic keeps conditions on a score above it."""
+
+    @F.arrow_udf("array<double>")
+    def measured(texts: pa.Array) -> pa.Array:
+        rows = np.array([text_statistics(t) for t in byte_texts(texts)], np.float64).reshape(-1)
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, len(rows) + 1, len(STATISTICS), dtype=np.int32)), pa.array(rows))
+
+    return measured.asNondeterministic()(text)
 
 
 # ---- fitting, on the bounded sample
@@ -170,10 +200,8 @@ def held_out(doc_id: Column) -> Column:
 
 
 def with_statistics(docs: DataFrame, column: str = "__statistics") -> DataFrame:
-    """``docs`` with an array of the statistics. The generator is a barrier: conditions on a score stay
-    above it, instead of being pushed below with every statistic written out again for each rule."""
-    made = statistics(F.col("text"))
-    return docs.select("*", F.explode(F.array(F.array(*[made[name] for name in STATISTICS]))).alias(column))
+    """``docs`` with an array of the statistics of ``text``."""
+    return docs.withColumn(column, statistics(F.col("text")))
 
 
 def fit(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, label: str = "quality") -> RuleEnsemble:
