@@ -1,61 +1,79 @@
 """Benchmark decontamination by SimHash over item-sized windows.
 
-For an item of L words, every window of L words of a document that shares a shingle with the item is
-fingerprinted (64-bit SimHash of its five-word shingles, from running bit counts). A multi-index over
-eight one-byte blocks finds the items within ``radius`` bits: two fingerprints that differ in at most
-``radius`` bits have a block that differs in at most ``radius // 8``, and each block value has its list
-of items, so none within the radius is missed. Candidates are then compared exactly: weighted (multiset)
-Jaccard of the shingles, over the words themselves.
-
-Windows that share no shingle with an item have similarity 0, so looking at the others alone loses
-nothing. It is what makes the fingerprints affordable: one hash lookup for each word of the corpus
-instead of a fingerprint for each word and item length. The radius (23) is far out: a window of
-similarity 0.8 differs in about 10 bits with a deviation of 3.
-
-The benchmark goes to the tasks in blocks of bounded size; documents are not shuffled. Words are
-lower-cased (A-Z) runs of letters, digits and non-ASCII characters. An item with fewer than five words
-has one shingle, all its words; one without words matches nothing. A document shorter than the item is
-one window. Null texts and null ids of items match nothing; rows with a null doc_id are reported as such.
+Every window of a document that has as many words as a benchmark item is fingerprinted: the 64-bit SimHash
+of its five-word shingles, from running bit counts. A multi-index over four 16-bit blocks finds the items:
+two fingerprints within ``radius`` bits have a block that differs in at most ``radius // 4`` bits, and each
+block value names the items of that size that are so near, so no item within the radius is missed. What
+it finds goes through the full Hamming check, and runs of windows that pass are compared exactly with
+their item: weighted (multiset) Jaccard of the shingles, over the words themselves.
+
+Radius: windows of similarity 0.8 have eight ninths of their shingles in common and differ in about 9.7
+bits with a deviation of 2.9, verbatim passages in none. Radius 15 is the largest that four blocks cover with
+at most three changed bits each.
+
+The documents are read once and not shuffled. Tasks hold an item's size, number and fingerprint alone; of
+a benchmark with more than ITEMS_AT_ONCE items, tables are made part by part for each batch of documents.
+Words that were found travel to the items' texts by a join on the item.
+
+Words are lower-cased (A-Z) runs of letters, digits and non-ASCII characters. An item with fewer than five
+words has one shingle, all its words; one without words matches nothing. A document shorter than the item
+is one window. Null texts and null ids of items match nothing. Rows stand for themselves: repeated rows,
+rows that share an id and rows with a null doc_id are each reported with what they hold.
 """
 
 from __future__ import annotations
 
-import re
 import string
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks_for, text_bytes
-from .wordhash import gram_hashes
+from .common import blocks_for, byte_texts, release_memory, save
+from .wordhash import gram_hashes, mixed, word_hashes
 
-SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 23
-BLOCK_BYTES = 16_000_000
-LOWER = bytes.maketrans(string.ascii_uppercase.encode(), string.ascii_lowercase.encode())
-WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 15
+BLOCKS, GROUP = 4, 8
+ITEMS_AT_ONCE, MOST_ITEMS = 1000, 4_000_000  # tables of a task: 4 to 32 kB an item; broadcast: 20 bytes an item
+STRETCH, TEXT_BYTES = 16384, 500_000
+BIT = np.uint8(1) << np.arange(8, dtype=np.uint8)
 HITS = "doc_id long, item_id long, first_word int, n_words int, bits int, similarity double"
+#: Byte table: A-Z to lower case, all that is no letter, digit or non-ASCII byte to a space.
+FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b) in string.ascii_lowercase + string.digits else 32 for b in range(256))
 
 
 def words_of(text: bytes | None) -> list[bytes]:
-    return WORD.findall((text or b"").translate(LOWER))
+    return (text or b"").translate(FOLD).split()
+
+
+def grams(hashes: np.ndarray, k: int) -> np.ndarray:
+    """Well-mixed hashes of the k-word shingles."""
+    return mixed(gram_hashes(hashes, k))
 
 
-def shingle_hashes(words: list[bytes], k: int) -> np.ndarray:
-    return gram_hashes(np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)), k)
+def bit_sums(hashes: np.ndarray, kind=np.int64) -> np.ndarray:
+    """Running counts of each of 64 bits: row i counts the first i hashes (modulo the size of ``kind``)."""
+    sums = np.zeros((len(hashes) + 1, 64), kind)
+    np.cumsum(np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1), axis=0, dtype=kind, out=sums[1:])
+    return sums
 
 
-def _bits(hashes: np.ndarray) -> np.ndarray:
-    return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1)
+def simhash(hashes: np.ndarray) -> int:
+    """Fingerprint: a bit is 1 if more than half of the hashes have it."""
+    counts = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    return int(np.packbits(counts * 2 > len(hashes)).view(np.uint64)[0])
 
 
-def simhash(hashes: np.ndarray) -> np.ndarray:
-    """Fingerprint as 8 bytes."""
-    return np.packbits(_bits(hashes).sum(0, dtype=np.int64) * 2 > len(hashes))
+def item_print(text: bytes | None) -> tuple[int, int]:
+    """(words, fingerprint as a signed long) of an item."""
+    if not (words := words_of(text)):
+        return 0, 0
+    hashes = grams(word_hashes(b" ".join(words))[2], min(SHINGLE, len(words)))
+    return len(words), int(np.uint64(simhash(hashes)).astype(np.int64))
 
 
 def similarity(a: list[bytes], b: list[bytes], k: int) -> float:
@@ -65,118 +83,205 @@ def similarity(a: list[bytes], b: list[bytes], k: int) -> float:
     return both / (sum(x.values()) + sum(y.values()) - both) if both else 0.0
 
 
-class Items:
-    """An index of some benchmark items: shingle postings for each width, and the block lists."""
-
-    def __init__(self, items: list[tuple[int, bytes]], radius: int):
-        self.rows = [(i, w, min(SHINGLE, len(w))) for i, t in items if i is not None and (w := words_of(t))]
-        self.radius = radius
-        self.postings: dict[int, dict[int, list[int]]] = {}
-        prints = np.zeros((len(self.rows), 8), np.uint8)
-        for n, (_, words, k) in enumerate(self.rows):
-            hashes = shingle_hashes(words, k)
-            prints[n] = simhash(hashes)
-            for h in set(hashes.tolist()):
-                self.postings.setdefault(k, {}).setdefault(h, []).append(n)
-        self.prints = prints
-        # near[block][value]: items whose block differs from value in at most radius // 8 bits
-        values = np.arange(256, dtype=np.uint8)
-        self.near = []
-        for block in range(8):
-            close = np.bitwise_count(values[:, None] ^ values[None, :]) <= radius // 8
-            by_value = {int(v): np.flatnonzero(prints[:, block] == v) for v in np.unique(prints[:, block])}
-            self.near.append([frozenset(int(i) for v, ids in by_value.items() if close[value, v] for i in ids) for value in range(256)])
-        self.keys, self.sieve = {}, {}
-        for k, held in self.postings.items():
-            self.keys[k] = np.sort(np.fromiter(held, np.uint64, len(held)))
-            self.sieve[k] = np.zeros(1 << 22, bool)
-            self.sieve[k][(self.keys[k] >> np.uint64(42)).astype(np.int64)] = True
-
-    def anchors(self, hashes: np.ndarray, k: int) -> np.ndarray:
-        """Places whose shingle belongs to an item."""
-        at = np.flatnonzero(self.sieve[k][(hashes >> np.uint64(42)).astype(np.int64)])
-        keys = self.keys[k]
-        return at[keys[np.minimum(np.searchsorted(keys, hashes[at]), len(keys) - 1)] == hashes[at]]
-
-    def close(self, prints: np.ndarray, n: int) -> np.ndarray:
-        """Rows of ``prints`` that the multi-index has item n for and that lie within the radius."""
-        found = np.zeros(len(prints), bool)
-        for block in range(8):
-            found |= np.fromiter((n in self.near[block][v] for v in prints[:, block].tolist()), bool, len(prints))
-        at = np.flatnonzero(found)
-        return at[np.bitwise_count(prints[at] ^ self.prints[n]).sum(1) <= self.radius]
-
-    def hits(self, words: list[bytes], least: float) -> list[tuple[int, int, int, int, float]]:
-        """(item_id, first word, words, bits, similarity) of the best window for each item found."""
-        out, hashes = [], None
-        for k, held in self.postings.items():
-            if len(words) < k:
+def flips(bits: int) -> np.ndarray:
+    """All changes of a 16-bit block in at most ``bits`` bits."""
+    return np.array([sum(1 << b for b in held) for n in range(bits + 1) for held in combinations(range(16), n)], np.uint16)
+
+
+class MultiIndex:
+    """Block tables of some items of one size, GROUP items to a table: a bit of ``tables[g, block]`` for each
+    value of the block, set if the block of an item of group g is within ``radius // 4`` bits of it."""
+
+    def __init__(self, numbers: np.ndarray, prints: np.ndarray, radius: int):
+        self.numbers, self.prints, self.radius = numbers, prints, radius
+        near, blocks = flips(radius // BLOCKS), prints.view(np.uint16).reshape(-1, BLOCKS)
+        self.tables = np.zeros((-(-len(prints) // GROUP), BLOCKS, 1 << 13), np.uint8)
+        for i in range(0, len(prints), GROUP):
+            for block in range(BLOCKS):
+                set_ = np.zeros(1 << 16, bool)
+                for value in blocks[i : i + GROUP, block]:
+                    set_[value ^ near] = True
+                self.tables[i // GROUP, block] = np.packbits(set_, bitorder="little")
+
+    def find(self, prints: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(item number, rows of ``prints`` within the radius, their differing bits), items with any."""
+        blocks = prints.view(np.uint16).reshape(-1, BLOCKS).T
+        places, bits = [(b >> 3).astype(np.intp) for b in blocks], [BIT.take(b & 7) for b in blocks]
+        for g, tables in enumerate(self.tables):
+            held = np.zeros(len(prints), np.uint8)
+            for table, place, bit in zip(tables, places, bits):
+                held |= table.take(place) & bit
+            at = np.flatnonzero(held != 0)
+            close = prints[at]
+            for i in range(g * GROUP, min(len(self.prints), (g + 1) * GROUP)):
+                differ = np.bitwise_count(close ^ self.prints[i])
+                ok = np.flatnonzero(differ <= self.radius)
+                if len(ok):
+                    yield int(self.numbers[i]), at[ok], differ[ok]
+
+
+class Scanner:
+    """Looks the windows of texts up in the multi-index of some items (size, number, print)."""
+
+    def __init__(self, sizes: np.ndarray, numbers: np.ndarray, prints: np.ndarray, radius: int):
+        self.sizes = {int(s): MultiIndex(numbers[sizes == s], prints[sizes == s], radius) for s in np.unique(sizes)}
+        self.longest = int(sizes.max())
+
+    def find(self, hashes: np.ndarray, left: np.ndarray, heads: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
+        """(item number, first words, bits, item size) over word hashes of several texts in a row; ``left``
+        counts the words from a place to the end of its text, ``heads`` are first places of the texts."""
+        for k in sorted({min(SHINGLE, s) for s in self.sizes}):
+            sizes = [s for s in self.sizes if min(SHINGLE, s) == k]
+            own = grams(hashes, k) if len(hashes) >= k else hashes[:0]
+            for lo in range(0, len(own), STRETCH):
+                yield from self._windows(own[lo : lo + STRETCH + max(sizes)], lo, left, sizes, k)
+            # texts shorter than an item, as one window
+            short = heads[(left[heads] < max(sizes)) & (left[heads] >= k)]
+            if len(short):
+                n = left[short]
+                whole = np.array([simhash(own[s : s + m - k + 1]) for s, m in zip(short.tolist(), n.tolist())], np.uint64)
+                for size in sizes:
+                    fit = np.flatnonzero((n < size) & (n - k + 1 >= SIMILARITY * (size - k + 1)))
+                    for number, rows, bits in self.sizes[size].find(whole[fit]) if len(fit) else ():
+                        yield number, short[fit[rows]], bits, size
+
+    def _windows(self, own: np.ndarray, lo: int, left: np.ndarray, sizes: list[int], k: int):
+        sums: dict = {}
+        for size in sizes:
+            n = size - k + 1  # shingles of a window
+            starts = min(STRETCH, len(own) - n + 1)
+            if starts <= 0:
                 continue
-            if hashes is None:
-                hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
-            grams = gram_hashes(hashes, k)
-            near: dict[int, list[int]] = {}
-            for p in self.anchors(grams, k).tolist():
-                for n in held[int(grams[p])]:
-                    near.setdefault(n, []).append(p)
-            for n, places in near.items():
-                item_id, own, _ = self.rows[n]
-                if best := self._best(words, grams, np.array(places), own, n, k, least):
-                    out.append((item_id, *best))
-        return out
-
-    def _best(self, words, grams, places, own, n, k, least):
-        """Windows of the item's size around the places of its shingles, a bounded stretch at a time."""
-        size = min(len(own), len(words))
-        shingles = size - k + 1
-        starts = np.unique(np.concatenate([np.arange(max(0, p - shingles + 1), min(p, len(words) - size) + 1) for p in places.tolist()])) if len(places) < 4096 else None
-        if starts is None:
-            edge = np.zeros(len(words) + 1, np.int64)
-            np.add.at(edge, np.maximum(0, places - shingles + 1), 1)
-            np.add.at(edge, np.minimum(places, len(words) - size) + 1, -1)
-            starts = np.flatnonzero(np.cumsum(edge)[: len(words) - size + 1] > 0)
-        best = None
-        for part in np.array_split(starts, max(1, len(starts) // 2048)):
-            lo = int(part[0])
-            for run in np.split(part, np.flatnonzero(np.diff(part) > shingles) + 1):
-                lo, hi = int(run[0]), int(run[-1]) + shingles
-                counts = np.concatenate([np.zeros((1, 64), np.int32), np.cumsum(_bits(grams[lo:hi]), axis=0, dtype=np.int32)])
-                prints = np.packbits((counts[run - lo + shingles] - counts[run - lo]) * 2 > shingles, axis=1)
-                for i in self.close(prints, n).tolist():
-                    s = int(run[i])
-                    if best and best[3] == 1.0:
-                        return best
-                    got = similarity(words[s : s + size], own, k)
-                    if got >= least and (best is None or got > best[3]):
-                        best = (s, size, int(np.bitwise_count(prints[i] ^ self.prints[n]).sum()), got)
-        return best
+            kind = np.uint8 if n < 256 else np.uint16 if n < 65536 else np.uint32
+            if kind not in sums:
+                sums[kind] = bit_sums(own, kind)
+                held = np.empty((STRETCH, 64), kind)
+                set_ = held.view(bool) if kind is np.uint8 else np.empty((STRETCH, 64), bool)
+            np.subtract(sums[kind][n : n + starts], sums[kind][:starts], out=held[:starts])
+            np.greater(held[:starts], n // 2, out=set_[:starts])
+            prints = np.packbits(set_[:starts].ravel()).view(np.uint64)
+            for number, rows, bits in self.sizes[size].find(prints):
+                inside = left[rows + lo] >= size  # a window ends in the text that it starts in
+                if inside.any():
+                    yield number, rows[inside] + lo, bits[inside], size
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
-    """A row for each document of ``docs`` (doc_id, text) and item of ``benchmark`` (item_id, text) of
-    which it holds a window with weighted shingle similarity ``least`` or more: the best window, the
-    first of equals."""
+def _lines(texts: Iterator[bytes | None]) -> Iterator[list[tuple[int, bytes]]]:
+    """Folded texts with words, as (place in the batch, words joined by a space), about TEXT_BYTES at a time."""
+    held, size = [], 0
+    for n, text in enumerate(texts):
+        if line := b" ".join(words_of(text)):
+            held.append((n, line))
+            size += len(line)
+        if size > TEXT_BYTES:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def candidates(docs: DataFrame, items: DataFrame, radius: int) -> DataFrame:
+    """Runs of windows of ``docs`` (doc_id, text) within ``radius`` of an item (item, size, print): a row for
+    each document and item, with the first words of each run and the words from its first to its last
+    window, joined by a space."""
     spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("item_id is not null and text is not null")
-    blocks = blocks_for(text_bytes(items), BLOCK_BYTES, 100_000)
-    narrow, found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), None
-    for block in range(blocks):
-        rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()
-        shared = spark.sparkContext.broadcast([(r[0], r[1].encode()) for r in rows])
-
-        def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = Items(shared.value, radius)
-            for batch in batches:
-                out: tuple[list, ...] = ([], [], [], [], [], [])
-                for i in range(0, batch.num_rows, 256):
-                    part = batch.slice(i, 256)
-                    for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).cast(pa.binary()).to_pylist()):
-                        for hit in index.hits(words_of(text), least) if index.rows else ():
-                            for column, value in zip(out, (doc_id, *hit)):
-                                column.append(value)
+    got = items.select("size", "item", "print").orderBy("size", "item").toArrow()  # MOST_ITEMS rows at most
+    shared = spark.sparkContext.broadcast((got.column(0).to_numpy().astype(np.int32), got.column(1).to_numpy(), got.column(2).to_numpy().astype(np.int64).view(np.uint64)))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = -(-len(shared.value[0]) // ITEMS_AT_ONCE)
+        cuts = [tuple(np.array_split(c, parts)[p] for c in shared.value) for p in range(parts)]
+        only = Scanner(*cuts[0], radius) if parts == 1 else None
+        for batch in batches:
+            for cut in cuts:
+                scanner = only or Scanner(*cut, radius)
+                for held in _lines(byte_texts(batch.column(1))):
+                    yield _found(scanner, held, batch.column(0))
+        release_memory()
+
+    return docs.mapInArrow(scan, "doc_id long, item long, firsts array<int>, lasts array<int>, texts array<binary>")
+
+
+def _found(scanner: Scanner, held: list[tuple[int, bytes]], ids) -> pa.RecordBatch:
+    line = b"\n".join(text for _, text in held)
+    starts, ends, hashes = word_hashes(line)
+    counts = np.array([text.count(b" ") + 1 for _, text in held])
+    after = np.cumsum(counts)
+    heads = after - counts
+    left = np.repeat(after, counts) - np.arange(len(hashes))
+    runs: dict[tuple[int, int], list[np.ndarray]] = defaultdict(list)
+    for number, places, _, size in scanner.find(hashes, left, heads):
+        texts = np.searchsorted(after, places, "right")
+        for t in np.unique(texts).tolist():
+            runs[t, number].append(np.stack([places[texts == t], np.full((texts == t).sum(), size)]))
+    rows: tuple[list, ...] = ([], [], [], [], [])
+    for (t, number), found in runs.items():
+        places, sizes = np.concatenate(found, axis=1)
+        places = np.sort(places)
+        cut = np.flatnonzero(np.diff(places) > 1)
+        firsts, lasts = places[np.concatenate([[0], cut + 1])], places[np.concatenate([cut, [len(places) - 1]])]
+        last_words = np.minimum(lasts + sizes[0], after[t]) - 1
+        rows[0].append(held[t][0])
+        rows[1].append(number)
+        rows[2].append((firsts - heads[t]).tolist())
+        rows[3].append((lasts - heads[t]).tolist())
+        rows[4].append([line[s:e] for s, e in zip(starts[firsts].tolist(), ends[last_words].tolist())])
+    kinds = (pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.binary()))
+    columns = [ids.take(pa.array(rows[0], pa.int64())), *(pa.array(c, t) for c, t in zip(rows[1:], kinds))]
+    return pa.RecordBatch.from_arrays(columns, names=["doc_id", "item", "firsts", "lasts", "texts"])
+
+
+def _verified(least: float):
+    """Best window of each row of candidates, if it is similar enough: the first of equals."""
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                rows: tuple[list, ...] = ([], [], [], [], [], [])
+                for r in batch.slice(i, 256).to_pylist():
+                    own = words_of(r["item_text"].encode())
+                    k, best = min(SHINGLE, len(own)), None
+                    for first, last, text in zip(r["firsts"], r["lasts"], r["texts"]):
+                        words = text.split(b" ")
+                        size = len(words) - (last - first)
+                        for s in range(last - first + 1):
+                            got = similarity(words[s : s + size], own, k)
+                            if got >= least and (best is None or got > best[2]):
+                                best = (first + s, size, got, words[s : s + size])
+                    if best:
+                        bits = (item_print(b" ".join(best[3]))[1] ^ r["print"]) & 0xFFFFFFFFFFFFFFFF
+                        for column, value in zip(rows, (r["doc_id"], r["item_id"], *best[:2], bits.bit_count(), best[2])):
+                            column.append(value)
                 kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names=["doc_id", "item_id", "first_word", "n_words", "bits", "similarity"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, kinds)], names=["doc_id", "item_id", "first_word", "n_words", "bits", "similarity"])
+
+    return verify
 
-        got = narrow.mapInArrow(scan, HITS)
+
+def benchmark_items(benchmark: DataFrame) -> DataFrame:
+    """(item, item_id, item_text, size, print) of the rows of ``benchmark`` with an id and words, saved."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [item_print(t) for t in byte_texts(batch.column(1))]
+            columns = [pa.array([m[0] for m in made], pa.int32()), pa.array([m[1] for m in made], pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["item_id", "item_text", "size", "print"])
+
+    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("item_text")).filter("item_id is not null and item_text is not null")
+    made = rows.mapInArrow(mark, "item_id long, item_text string, size int, print long").filter("size > 0")
+    return save(made.withColumn("item", F.monotonically_increasing_id()), "benchmark-items")
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
+    """A row for each document of ``docs`` (doc_id, text) and item of ``benchmark`` (item_id, text) of
+    which it holds a window within ``radius`` bits and with weighted shingle similarity ``least`` or more:
+    the best window, the first of equals."""
+    items = benchmark_items(benchmark)
+    narrow, found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), None
+    passes = blocks_for(items.count(), MOST_ITEMS, 1 << 30)  # one, up to four million items
+    for n in range(passes):
+        own = items.filter(F.pmod(F.xxhash64("item"), F.lit(passes)) == n)
+        got = candidates(narrow, own, radius).join(items.drop("size"), "item")
+        got = got.select("doc_id", "item_id", "item_text", "print", "firsts", "lasts", "texts").mapInArrow(_verified(least), HITS)
         found = got if found is None else found.unionByName(got)
     return found

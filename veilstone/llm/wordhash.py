@@ -63,6 +63,13 @@ def gram_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
     return (out ^ (out >> np.uint64(29))) * np.uint64(BASE)
 
 
+def mixed(x: np.ndarray) -> np.ndarray:
+    """Each hash stirred so that all of its bits depend on all bits of it."""
+    for factor in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+        x = (x ^ (x >> np.uint64(33))) * np.uint64(factor)
+    return x ^ (x >> np.uint64(33))
+
+
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     """Minimum of each ``width`` values in a row, by doubling."""
     done = 1
