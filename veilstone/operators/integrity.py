@@ -24,16 +24,17 @@ def content_hash(content: Column) -> Column:
 
 
 def verify_artifact(recorded: DataFrame, actual: DataFrame, key: str, tolerance: float = 5.0) -> DataFrame:
-    """All problems of each recorded artifact: ``missing``, ``duration``, ``hash``. A half without a
-    record is skipped."""
-    a = actual.select(key, F.col("duration").alias("actual_duration"), F.col("hash").alias("actual_hash"), F.lit(True).alias("there"))
-    r = recorded.join(a, key, "left")
-    gone = F.col("there").isNull()
+    """All problems of each recorded artifact: ``missing``, ``duration``, ``hash``. A half without a record is
+    skipped, also a recorded duration of 0, and so is the hash of content that can't be read now."""
+    a = actual.select(key, F.col("duration").alias("__duration"), F.col("hash").alias("__hash"), F.lit(True).alias("__there"))
+    r = recorded.select(key, "duration", "hash").join(a, key, "left")
+    gone = F.col("__there").isNull()
+    off = F.col("__duration").isNull() | (F.abs(F.col("__duration") - F.col("duration")) > tolerance)
     problems = F.array_compact(
         F.array(
             F.when(gone, F.lit("missing")),
-            F.when(~gone & F.col("duration").isNotNull() & (F.col("actual_duration").isNull() | (F.abs(F.col("actual_duration") - F.col("duration")) > tolerance)), F.lit("duration")),
-            F.when(~gone & F.col("hash").isNotNull() & ~F.col("hash").eqNullSafe(F.col("actual_hash")), F.lit("hash")),
+            F.when(~gone & (F.col("duration") != 0) & off, F.lit("duration")),
+            F.when(~gone & (F.col("hash") != F.col("__hash")), F.lit("hash")),
         )
     )
     return r.select(key, problems.alias("problems"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.clock import fmt_timestamp
+from ..functions.names import fresh
 
 
 def segment_assign(tracks: DataFrame, size: int) -> DataFrame:
@@ -62,27 +63,33 @@ def censor_log(resolved: DataFrame) -> DataFrame:
 def merge_intervals(intervals: DataFrame, key: str = "doc_id") -> DataFrame:
     """Merge overlapping or touching intervals (padded_start, padded_end) of each key. Order is by the
     start rounded to 4 places, and an island keeps the start of its first row in that order. Rows that
-    end before they start are left out. One shuffle: both windows and the aggregate share the key."""
-    rows = intervals.filter("padded_end >= padded_start")
-    by = [F.round("padded_start", 4), *([F.col("ord")] if "ord" in intervals.columns else [F.col("padded_start"), F.col("padded_end")])]
+    end before they start, or lack an end, are left out. One shuffle: both windows and the aggregate share
+    the key."""
+    held = [key, "padded_start", "padded_end", *(["ord"] if "ord" in intervals.columns else [])]
+    rows = intervals.filter("padded_end >= padded_start").select(*held)
+    by = [F.round("padded_start", 4), *([F.col("ord")] if "ord" in held else [F.col("padded_start"), F.col("padded_end")])]
     order = Window.partitionBy(key).orderBy(*by)
     reach = F.max("padded_end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    rows = rows.withColumn("__new", F.when(F.col("padded_start") <= reach, 0).otherwise(1)).withColumn("__n", F.row_number().over(order))
-    rows = rows.withColumn("__island", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    merged = rows.groupBy(key, "__island").agg(F.min_by("padded_start", "__n").alias("interval_start"), F.max("padded_end").alias("interval_end"))
-    return merged.drop("__island")
+    new, n, island = (fresh(c, rows) for c in ("__new", "__n", "__island"))
+    rows = rows.withColumn(new, F.when(F.col("padded_start") <= reach, 0).otherwise(1)).withColumn(n, F.row_number().over(order))
+    rows = rows.withColumn(island, F.sum(new).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    merged = rows.groupBy(key, island).agg(F.min_by("padded_start", n).alias("interval_start"), F.max("padded_end").alias("interval_end"))
+    return merged.drop(island)
 
 
 def interval_cover(points: DataFrame, intervals: DataFrame, key: str, t: str = "t", width: float = 600.0) -> DataFrame:
     """``points`` with ``covered``: the time lies in an interval of its key, both ends included.
 
-    A range join by buckets of ``width`` seconds. Intervals are merged first, so a point has at most one
-    hit except where two merely share a bucket; the semi join multiplies nothing."""
-    opened = intervals.withColumn("__b", F.explode(F.sequence(F.floor(F.col("interval_start") / width), F.floor(F.col("interval_end") / width)))).select(F.col(key).alias("__k"), "__b", "interval_start", "interval_end")
-    bucketed = points.withColumn("__b", F.floor(F.col(t) / width))
-    p, i = bucketed.alias("p"), opened.alias("i")
-    hit = (F.col(f"p.{key}") == F.col("i.__k")) & (F.col("p.__b") == F.col("i.__b")) & F.col(f"p.{t}").between(F.col("i.interval_start"), F.col("i.interval_end"))
-    return p.join(i, hit, "left").select("p.*", F.col("i.__k").isNotNull().alias("covered")).drop("__b")
+    A range join by buckets of ``width`` seconds. The intervals are merged here, so that they are disjoint
+    and not even touch: a point has one hit at most, and every point comes back once. Points without a time
+    or key aren't covered; intervals without a bound cover nothing."""
+    spans = intervals.select(F.col(key).alias("k"), F.col("interval_start").alias("padded_start"), F.col("interval_end").alias("padded_end"))
+    bucket, covered = fresh("__bucket", points), "covered"
+    steps = F.sequence(F.floor(F.col("interval_start") / width), F.floor(F.col("interval_end") / width))
+    opened = merge_intervals(spans, "k").withColumn("b", F.explode(steps)).alias("i")
+    p = points.drop(covered).withColumn(bucket, F.floor(F.col(t) / width)).alias("p")
+    hit = (F.col(f"p.{key}") == F.col("i.k")) & (F.col(f"p.{bucket}") == F.col("i.b")) & F.col(f"p.{t}").between(F.col("i.interval_start"), F.col("i.interval_end"))
+    return p.join(opened, hit, "left").select("p.*", F.col("i.k").isNotNull().alias(covered)).drop(bucket)
 
 
 def mute_expr(merged: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.names import fresh
 from .intervals import interval_cover
 
 METHODS = ("mute",)
@@ -17,7 +18,8 @@ def method_guard(method: Column, has_intervals: Column) -> Column:
 
 
 def mute_series(samples: DataFrame, merged: DataFrame, key: str = "track_id", method: str = "mute") -> DataFrame:
-    """Samples with value 0 where their time lies in a merged interval, its bounds at 4 decimals."""
+    """Samples with value 0 where their time lies in an interval, its bounds at 4 decimals. Intervals that
+    touch after the rounding count as one: every sample comes back once."""
     if method not in METHODS:
         raise ValueError(f"unknown censor method: {method}")
     rounded = merged.withColumns({c: F.round(c, 4) for c in ("interval_start", "interval_end")})
@@ -25,11 +27,17 @@ def mute_series(samples: DataFrame, merged: DataFrame, key: str = "track_id", me
     return covered.withColumn("value", F.when(F.col("covered"), F.lit(0.0)).otherwise(F.col("value"))).drop("covered")
 
 
+def mix_join(a: DataFrame, b: DataFrame, keys: list[str], other: str = "other") -> DataFrame:
+    """Samples of ``a``, each with the ``value`` that ``b`` has at its ``keys``, as ``other``: null where ``b``
+    is shorter. Samples that only ``b`` has are left out, so the first sets the length."""
+    return a.join(b.select(*keys, F.col("value").alias(other)), keys, "left")
+
+
 def mix_series(a: DataFrame, b: DataFrame, keys: list[str], low: int = -32768, high: int = 32767) -> DataFrame:
     """Sum of two integer series aligned on ``keys``, as long as the first, clamped to 16 bits."""
-    other = b.select(*keys, F.col("value").alias("__v"))
-    total = F.col("value") + F.coalesce("__v", F.lit(0))
-    return a.join(other, keys, "left").withColumn("value", F.greatest(F.lit(low), F.least(F.lit(high), total))).drop("__v")
+    other = fresh("__other", a)
+    total = F.col("value") + F.coalesce(other, F.lit(0))
+    return mix_join(a, b, keys, other).withColumn("value", F.greatest(F.lit(low), F.least(F.lit(high), total))).drop(other)
 
 
 def split_series(samples: DataFrame, size: int) -> DataFrame:
