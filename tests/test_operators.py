@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from veilstone.functions import clock, text
-from veilstone.operators import extras, integrity, intervals, ledger, matching, media, overrides, progress, review, series
+from veilstone.operators import extras, integrity, intervals, ledger, matching, media, overrides, progress, review, series, stats
 from veilstone.plans import fixtures, matching_queries
 from veilstone.sources import lexicon, sinks, transcripts
 
@@ -39,10 +39,10 @@ def test_fmt_size(spark, n, want):
     assert one(spark, text.fmt_size(F.col("n")), n=n) == want
 
 
-@pytest.mark.parametrize("stem,want", [("Movie (1986).sd.hevc", "Movie (1986) {edition-Hushed}.sd.hevc.mkv"), ("movie", "movie {edition-Hushed}.mkv"), ("A (1999) (2001)", "A (1999) {edition-Hushed} (2001).mkv")])
+@pytest.mark.parametrize("stem,want", [("Movie (1986).sd.hevc", "Movie (1986) {edition-Quiet}.sd.hevc.mkv"), ("movie", "movie {edition-Quiet}.mkv"), ("A (1999) (2001)", "A (1999) {edition-Quiet} (2001).mkv")])
 def test_edition_name(spark, stem, want):
-    assert one(spark, text.edition_name(F.col("s"), F.lit("plex_edition"), F.lit("Hushed"), F.lit("_censored"), F.lit("mkv")), s=stem) == want
-    assert one(spark, text.edition_name(F.col("s"), F.lit("suffix"), F.lit("Hushed"), F.lit("_censored"), F.lit("mkv")), s=stem) == stem + "_censored.mkv"
+    assert one(spark, text.edition_name(F.col("s"), F.lit("plex_edition"), F.lit("Quiet"), F.lit("_censored"), F.lit("mkv")), s=stem) == want
+    assert one(spark, text.edition_name(F.col("s"), F.lit("suffix"), F.lit("Quiet"), F.lit("_censored"), F.lit("mkv")), s=stem) == stem + "_censored.mkv"
 
 
 def test_unknown_style_and_method_are_errors(spark):
@@ -156,6 +156,94 @@ def test_cover_has_both_ends(spark):
     assert [r.covered for r in intervals.interval_cover(points, spans, "track_id").orderBy("t").collect()] == [False, True, True, False, True]
 
 
+def test_a_point_has_one_row_where_intervals_touch(spark):
+    points = spark.createDataFrame([(1, x, "p", 7.0) for x in (1.0, 0.75, 0.7500000001, 9.0)] + [(None, 1.0, "p", 7.0), (1, None, "p", 7.0)], "track_id long, t double, __bucket string, value double")
+    spans = spark.createDataFrame([(1, 0.5, 1.00001), (1, 1.00002, 2.0), (1, 0.5, 0.75), (1, 0.75, 1.0), (1, None, 5.0), (None, 0.0, 9.0)], "track_id long, interval_start double, interval_end double")
+    got = intervals.interval_cover(points, spans, "track_id").collect()
+    assert sorted((r.t, r.covered) for r in got if r.track_id and r.t) == [(0.75, True), (0.7500000001, True), (1.0, True), (9.0, False)]
+    assert len(got) == 6 and not any(r.covered for r in got if not r.track_id or r.t is None) and all(r.__getitem__("__bucket") == "p" for r in got)
+    muted = series.mute_series(points, spans, "track_id").collect()
+    assert len(muted) == 6 and sorted(r.value for r in muted) == [0.0, 0.0, 0.0, 7.0, 7.0, 7.0]
+    tight = spark.createDataFrame([(1, 0.5, 1.00001), (1, 1.00002, 2.0)], "track_id long, interval_start double, interval_end double")
+    assert series.mute_series(points.filter("t = 1.0 and track_id = 1"), tight).count() == 1
+
+
+def test_empty_tables_give_empty_results(spark):
+    w, rules = said(spark, "a b"), rules_of(spark, "a", "a b", "b*")
+    none = w.limit(0)
+    assert matching.find_matches(none, rules).count() == 0 and matching.find_matches(w, rules.limit(0)).count() == 0
+    m = matching.find_matches(w, rules)
+    assert review.with_context(m.limit(0), w, 2).count() == 0
+    assert [r.context for r in review.with_context(m.limit(1), none, 2).collect()] == [None]
+    queries = spark.createDataFrame([(1, "a b"), (2, ""), (3, "A  B"), (4, None)], "query_id long, query string")
+    assert {r.query_id for r in matching.phrase_search(w, queries).collect()} == {1, 3}
+    assert matching.phrase_search(none, queries).count() == 0 and matching.phrase_search(w, queries.limit(0)).count() == 0
+    spans = spark.createDataFrame([(1, 0.0, 1.0)], "doc_id long, padded_start double, padded_end double")
+    assert intervals.merge_intervals(spans.limit(0)).count() == 0
+    points = spark.createDataFrame([(1, 0.5)], "doc_id long, t double")
+    merged = intervals.merge_intervals(spans)
+    assert [r.covered for r in intervals.interval_cover(points, merged.limit(0), "doc_id").collect()] == [False]
+    assert intervals.interval_cover(points.limit(0), merged, "doc_id").count() == 0
+    events = spark.createDataFrame([(1, 1, "5_mute", "done")], "job_id long, seq int, step string, action string")
+    assert ledger.ledger_fold(events.limit(0)).count() == 0 and ledger.ledger_status(events.limit(0)).count() == 0
+    cues = spark.createDataFrame([(1, 0, 0.0, 3.0, "a b")], "doc_id long, cue long, cue_start double, cue_end double, cue_text string")
+    assert [r.heard for r in extras.srt_diff(none, cues).collect()] == [""] and extras.srt_diff(w, cues.limit(0)).count() == 0
+    assert [r.cue for r in extras.srt_align(m, cues.limit(0), w).collect()] == [None] * m.count()
+
+
+def test_columns_of_other_names_do_not_disturb(spark):
+    names = ("at", "token", "key", "ordinal", "__b", "class", "hit", "anchor", "part")
+    w = said(spark, "a b a c")
+    more = w.withColumns({c: F.lit("z") for c in names})
+    rules = rules_of(spark, "a", "a b", "c*")
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert rows(matching.find_matches(more, rules)) == rows(matching.find_matches(w, rules))
+    m = matching.find_matches(w, rules)
+    wide = review.with_context(m.withColumns({c: F.lit("z") for c in ("at", "block", "lo", "part", "context")}), more, 1)
+    assert rows(wide.select(*m.columns, "context")) == rows(review.with_context(m, w, 1))
+    queries = spark.createDataFrame([(1, "a b")], "query_id long, query string").withColumn("text", F.lit(0))
+    assert [r.context for r in matching.phrase_search(more, queries, 1).collect()] == ["...a b a..."]
+
+
+def test_substitutes_and_fallback(spark):
+    w = said(spark, "Heck, darn the darn cat")
+    m = matching.find_matches(w, rules_of(spark, "heck", "darn", "the darn", "cat"))
+    subs = spark.createDataFrame([("heck", "hey"), ("the darn", "[both]")], "entry string, substitute string")
+    assert extras.substitute_text(w, m, subs).first().text == "hey [censored] [both] [censored] [censored]"
+    cues = spark.createDataFrame([(1, 0, 0.0, 1.0, "HECK! darn,  they said"), (1, 1, 1.0, 9.0, "nothing"), (2, 0, 0.0, 9.0, "heck")], "doc_id long, cue long, cue_start double, cue_end double, cue_text string")
+    got = {(r.doc_id, r.cue): r.new_text for r in extras.substitute_cues(cues, m, subs, "***").collect()}
+    assert got == {(1, 0): "hey *** they said", (1, 1): "nothing", (2, 0): "heck"}
+
+
+def test_series_as_long_as_the_first(spark):
+    a = spark.createDataFrame([(1, 0, 5), (1, 1, 6)], "track_id long, idx long, value long")
+    b = spark.createDataFrame([(1, 0, 7), (1, 9, 1)], "track_id long, idx long, value long")
+    assert [(r.idx, r.value, r.other) for r in series.mix_join(a, b, ["track_id", "idx"]).orderBy("idx").collect()] == [(0, 5, 7), (1, 6, None)]
+
+
+def test_run_times_are_rounded_in_totals(spark):
+    w = spark.createDataFrame([(1, 1, "a"), (1, 1, "b"), (1, 2, "c"), (2, 1, "d")], "doc_id long, segment_index int, word string")
+    runs = spark.createDataFrame([(1, 1, 1.23), (1, 2, 2.24), (3, 1, 0.06)], "doc_id long, segment_index int, elapsed_sec double")
+    got = {(r.doc_id, r.segment_index): (r.word_count, r.elapsed_sec) for r in stats.transcribe_stats(w, runs).collect()}
+    assert got == {(1, 1): (2, 1.2), (1, 2): (1, 2.2), (1, None): (3, 3.5), (2, 1): (1, None), (2, None): (1, None), (3, 1): (0, 0.1), (3, None): (0, 0.1), (None, None): (4, 3.5)}
+
+
+def test_a_folder_that_executors_share_is_asked_for(spark):
+    class Conf:
+        get = staticmethod(lambda *a: None)
+        set = staticmethod(lambda *a: None)
+
+    class Cluster:
+        conf = Conf
+        master = "spark://host:7077"
+        sparkContext = property(lambda self: self)
+        getConf = staticmethod(lambda: Conf)
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        sinks.shared_dir(Cluster())
+    assert sinks.shared_dir(spark) == spark.sparkContext.getConf().get("spark.checkpoint.dir").rstrip("/")
+
+
 def test_corrections_are_idempotent_for_skips_and_all_or_nothing(spark):
     none = "doc_id long, seq int, action string, word_index int, text string, start double, end double"
     skips = spark.createDataFrame([(1, 5, 1, "x"), (1, 5, 2, "x"), (2, 7, 1, None)], "doc_id long, word_index int, req int, text string")
@@ -196,14 +284,17 @@ def test_encoder_plan_rules(spark):
 
 
 def test_verify_lists_all_problems(spark):
-    r = spark.createDataFrame([("a", 10.0, "h"), ("b", None, "h"), ("c", 10.0, None), ("d", 1.0, "z")], "k string, duration double, hash string")
-    a = spark.createDataFrame([("a", 20.0, "g"), ("b", 1.0, None), ("c", 15.0, None)], "k string, duration double, hash string")
-    assert dict(integrity.verify_artifact(r, a, "k").collect()) == {"a": ["duration", "hash"], "b": ["hash"], "c": [], "d": ["missing"]}
+    r = spark.createDataFrame([("a", 10.0, "h"), ("b", None, "h"), ("c", 10.0, None), ("d", 1.0, "z"), ("e", 0.0, "h"), ("f", 10.0, "h")], "k string, duration double, hash string")
+    a = spark.createDataFrame([("a", 20.0, "g"), ("b", 1.0, None), ("c", 15.0, None), ("e", 99.0, "h"), ("f", None, "h")], "k string, duration double, hash string")
+    got = dict(integrity.verify_artifact(r.withColumn("there", F.lit(1)), a, "k").collect())
+    # content that can't be read now (b) and a recorded duration of 0 (e) are no problems
+    assert got == {"a": ["duration", "hash"], "b": [], "c": [], "d": ["missing"], "e": [], "f": ["duration"]}
 
 
 def test_progress_needs_the_next_zero(spark):
     lines = [" 0%|", " 50%|", "100%|", "100%|", "  0%|", "noise", "100%|", "100%|"]
-    got = progress.progress_fold(spark.createDataFrame([(1, i, x) for i, x in enumerate(lines)], "job_id long, seq int, line string"), 2).orderBy("seq").collect()
+    bag = [(1, -1, "Selected model is a bag of 2 models. You will see that many progress bars")]
+    got = progress.progress_fold(spark.createDataFrame(bag + [(1, i, x) for i, x in enumerate(lines)], "job_id long, seq int, line string")).orderBy("seq").collect()
     assert [(r.model_index, r.fraction, r.label) for r in got] == [(0, 0.0, "1/2"), (0, 0.25, "1/2"), (0, 0.5, "1/2"), (0, 0.5, "1/2"), (1, 0.5, "2/2"), (1, 1.0, "2/2"), (1, 1.0, "2/2")]
 
 
@@ -233,8 +324,21 @@ def test_subtitles_match_plain_python(spark):
         a, b = r.cue_text.lower(), heard[r.cue].lower()
         assert abs(r.similarity - round((1 - edit(a, b) / max(len(a), len(b))) * 100, 4)) < 1e-3
     m = matching.find_matches(w, rules_of(spark, "blood", "enough", "bridge"))
-    got = {r.entry: (r.cue, r.aligned_start) for r in extras.srt_align(m, df, w, 80.0).collect()}
-    assert got == {"blood": (None, 4.5), "enough": (2, 6.0), "bridge": (0, 0.0)} and cues
+    align = lambda **how: {r.entry: (r.cue, r.aligned_start) for r in extras.srt_align(m, df, w, 80.0, **how).collect()}
+    assert align() == {"blood": (None, 4.5), "enough": (2, 7.0), "bridge": (0, 1.0)} and cues  # a cue only confirms
+    assert align(strategy="srt_primary") == {"blood": (None, 4.5), "enough": (2, 6.0), "bridge": (0, 0.0)}
+    assert align(strategy="highest_confidence") == align(strategy="srt_primary")  # all scores are 0.5
+    sure = w.withColumn("score", F.lit(0.99))
+    m = matching.find_matches(sure, rules_of(spark, "blood", "enough", "bridge"))
+    assert align(strategy="highest_confidence")["enough"] == (2, 7.0)
+    with pytest.raises(ValueError, match="unknown strategy"):
+        extras.srt_align(m, df, w, strategy="guess")
+    by = lambda mode, sure: {r.cue: (r.action, r.new_text == heard[r.cue]) for r in extras.srt_correct(w, df, mode, 80.0, sure).collect()}
+    assert by("report", 0.1) == {0: ("keep", False), 1: ("review", False), 2: ("keep", False)}
+    assert by("auto", 0.1)[1] == by("hybrid", 0.1)[1] == ("correct", True)
+    assert by("auto", 0.9)[1] == ("keep", False) and by("hybrid", 0.9)[1] == ("review", False)
+    with pytest.raises(ValueError, match="unknown mode"):
+        extras.srt_correct(w, df, "guess")
 
 
 def test_sinks_and_sources_round_trip(spark, tmp_path):

@@ -1,11 +1,12 @@
-"""Operators that build on matching: redaction, context rules and subtitle alignment."""
+"""Operators that build on matching: redaction, substitution, context rules and subtitles."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import strip_punct
+from ..functions.names import fresh
+from ..functions.text import split_words, strip_punct
 
 
 def redact_text(words: DataFrame, matches: DataFrame, style: str = "tag") -> DataFrame:
@@ -15,8 +16,43 @@ def redact_text(words: DataFrame, matches: DataFrame, style: str = "tag") -> Dat
     n = F.length("word")
     new = {"tag": F.lit("[redacted]"), "stars": F.repeat(F.lit("*"), n), "first": F.concat(F.substring("word", 1, 1), F.repeat(F.lit("*"), n - 1))}[style]
     shown = words.join(hit, ["doc_id", "word_index"], "left").withColumn("shown", F.when(F.col("hit"), new).otherwise(F.col("word")))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("word_index", "shown"))), lambda x: x["shown"]), " ")
-    return shown.groupBy("doc_id").agg(text.alias("text"))
+    return shown.groupBy("doc_id").agg(_in_order("shown").alias("text"))
+
+
+def _in_order(word: str) -> Column:
+    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("word_index", word))), lambda x: x[word]), " ")
+
+
+def _substitutes(matches: DataFrame, substitutions: DataFrame, fallback: str) -> DataFrame:
+    """``matches`` with ``new``: what ``substitutions`` (entry, substitute) have for their rule, the fallback
+    for rules without one."""
+    known = substitutions.groupBy("entry").agg(F.min("substitute").alias("new"))
+    return matches.join(known, "entry", "left").withColumn("new", F.coalesce("new", F.lit(fallback)))
+
+
+def substitute_text(words: DataFrame, matches: DataFrame, substitutions: DataFrame, fallback: str = "[censored]") -> DataFrame:
+    """Document texts with every match replaced by its rule's substitute. Each word of a phrase is
+    replaced; a word of several matches takes the first of them, single words before phrases, then by
+    line."""
+    spread = F.explode(F.sequence("word_index", F.col("word_index") + F.col("span") - 1)).alias("at")
+    flagged = _substitutes(matches, substitutions, fallback).select("doc_id", spread, "span", "line_no", "new")
+    first = flagged.groupBy("doc_id", F.col("at").alias("word_index")).agg(F.min_by("new", F.struct(F.col("span") > 1, "line_no")).alias("new"))
+    shown = words.join(first, ["doc_id", "word_index"], "left").withColumn("shown", F.coalesce("new", "word"))
+    return shown.groupBy("doc_id").agg(_in_order("shown").alias("text"))
+
+
+def substitute_cues(cues: DataFrame, matches: DataFrame, substitutions: DataFrame, fallback: str = "[censored]") -> DataFrame:
+    """Cues (doc_id, cue, cue_start, cue_end, cue_text) with ``new_text``: words of the cue text that are
+    words of a match that starts in the cue (compared stripped and in lower case) are replaced by the
+    substitute of the match's rule, the first by line where several fit."""
+    token = F.lower(strip_punct(F.col("w")))
+    said = _substitutes(matches, substitutions, fallback).withColumn("w", F.explode(split_words(F.col("matched_text"))))
+    said = said.select("doc_id", "start", "line_no", "new", token.alias("token")).filter("token <> ''")
+    inside = _in_cue(said, cues).groupBy("doc_id", "cue", "token").agg(F.min_by("new", "line_no").alias("new"))
+    swaps = inside.groupBy("doc_id", "cue").agg(F.map_from_entries(F.collect_list(F.struct("token", "new"))).alias("swaps"))
+    shown = F.transform(split_words(F.col("cue_text")), lambda w: F.coalesce(F.try_element_at("swaps", F.lower(strip_punct(w))), w))
+    new = F.when(F.col("swaps").isNull(), F.col("cue_text")).otherwise(F.array_join(shown, " "))
+    return cues.join(swaps, ["doc_id", "cue"], "left").withColumn("new_text", new).drop("swaps")
 
 
 def context_rules(matches: DataFrame, words: DataFrame, suppress: list[str], before: int) -> DataFrame:
@@ -32,15 +68,22 @@ def text_similarity(a: Column, b: Column) -> Column:
     return F.when(longest == 0, F.lit(100.0)).otherwise((1 - F.levenshtein(a, b) / longest) * 100)
 
 
+def _in_cue(rows: DataFrame, cues: DataFrame, width: float = 10.0) -> DataFrame:
+    """``rows`` (doc_id, start and more), each with the cues that it starts in: a range join by buckets of
+    ``width`` seconds, with the bounds of the cue."""
+    bucket = fresh("__bucket", rows, cues)
+    spread = cues.select("doc_id", "cue", "cue_start", "cue_end", F.explode(F.sequence(F.floor(F.col("cue_start") / width), F.floor(F.col("cue_end") / width))).alias(bucket))
+    timed = rows.filter("start is not null").withColumn(bucket, F.floor(F.col("start") / width))
+    return timed.join(spread, ["doc_id", bucket]).filter((F.col("start") >= F.col("cue_start")) & (F.col("start") < F.col("cue_end"))).drop(bucket)
+
+
 def cue_texts(words: DataFrame, cues: DataFrame) -> DataFrame:
-    """Cues (doc_id, cue, cue_start, cue_end, cue_text) with the transcript's words that start in them."""
-    heard = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("word_index", "word"))), lambda x: x["word"]), " ")
-    width = 10.0
-    spread = cues.withColumn("__b", F.explode(F.sequence(F.floor(F.col("cue_start") / width), F.floor(F.col("cue_end") / width))))
-    timed = words.filter("start is not null").select("doc_id", "word_index", "word", "start", F.floor(F.col("start") / width).alias("__b"))
-    inside = (F.col("start") >= F.col("cue_start")) & (F.col("start") < F.col("cue_end"))
-    said = spread.join(timed, ["doc_id", "__b"]).filter(inside).groupBy("doc_id", "cue").agg(heard.alias("heard"))
-    return cues.join(said, ["doc_id", "cue"], "left").withColumn("heard", F.coalesce("heard", F.lit("")))
+    """Cues (doc_id, cue, cue_start, cue_end, cue_text) with the transcript's words that start in them
+    (``heard``) and the mean of their scores, a word without one counting 0 (``confidence``)."""
+    said = _in_cue(words.select("doc_id", "word_index", "word", "start", "score"), cues).groupBy("doc_id", "cue")
+    said = said.agg(_in_order("word").alias("heard"), F.avg(F.coalesce("score", F.lit(0.0))).alias("confidence"))
+    joined = cues.join(said, ["doc_id", "cue"], "left")
+    return joined.withColumns({"heard": F.coalesce("heard", F.lit("")), "confidence": F.coalesce("confidence", F.lit(0.0))})
 
 
 def srt_diff(words: DataFrame, cues: DataFrame) -> DataFrame:
@@ -48,13 +91,36 @@ def srt_diff(words: DataFrame, cues: DataFrame) -> DataFrame:
     return cue_texts(words, cues).withColumn("similarity", F.round(text_similarity(F.lower("cue_text"), F.lower("heard")), 4))
 
 
-def srt_align(matches: DataFrame, cues: DataFrame, words: DataFrame, least: float = 85.0) -> DataFrame:
-    """Matches moved to the times of the cue they start in where its text is at least ``least`` alike the
-    transcript; others keep their own times."""
+def srt_correct(words: DataFrame, cues: DataFrame, mode: str = "report", least: float = 85.0, sure: float = 0.5) -> DataFrame:
+    """Cues with ``action`` and ``new_text``. A cue diverges if its text is less than ``least`` alike the
+    transcript. ``report`` marks those for review; ``auto`` puts the transcript in where its confidence is
+    above ``sure``, and keeps the rest; ``hybrid`` does so too and marks the rest for review."""
+    if mode not in ("report", "auto", "hybrid"):
+        raise ValueError(f"unknown mode: {mode}")
+    diverges = F.col("similarity") < least
+    mend = diverges & (F.col("confidence") > sure) & F.lit(mode != "report")
+    action = F.when(mend, "correct").when(diverges & F.lit(mode != "auto"), "review").otherwise("keep")
+    return srt_diff(words, cues).withColumns({"action": action, "new_text": F.when(mend, F.col("heard")).otherwise(F.col("cue_text"))})
+
+
+STRATEGIES = ("transcript_primary", "srt_primary", "highest_confidence")
+
+
+def srt_align(matches: DataFrame, cues: DataFrame, words: DataFrame, least: float = 85.0, strategy: str = "transcript_primary") -> DataFrame:
+    """Matches with the cue that they start in where its text is at least ``least`` alike the transcript
+    (``cue``, else null) and their times by ``strategy``: ``transcript_primary`` keeps the match's own, the cue
+    only confirms the words; ``srt_primary`` takes the cue's; ``highest_confidence`` takes the cue's where its
+    similarity (as a share) is above the match's score. A match in several such cues takes the first."""
+    if strategy not in STRATEGIES:
+        raise ValueError(f"unknown strategy: {strategy}")
     good = srt_diff(words, cues).filter(F.col("similarity") >= least)
-    width = 10.0
-    spread = good.withColumn("__b", F.explode(F.sequence(F.floor(F.col("cue_start") / width), F.floor(F.col("cue_end") / width)))).select("doc_id", "__b", "cue", "cue_start", "cue_end")
-    m = matches.withColumn("__b", F.floor(F.col("start") / width)).alias("m")
-    c = spread.alias("c")
-    on = (F.col("m.doc_id") == F.col("c.doc_id")) & (F.col("m.__b") == F.col("c.__b")) & (F.col("m.start") >= F.col("c.cue_start")) & (F.col("m.start") < F.col("c.cue_end"))
-    return m.join(c, on, "left").select("m.*", "cue", F.coalesce("cue_start", "m.start").alias("aligned_start"), F.coalesce("cue_end", "m.end").alias("aligned_end")).drop("__b")
+    spots = _in_cue(matches.select("doc_id", "start").distinct(), good)
+    first = spots.join(good.select("doc_id", "cue", "similarity"), ["doc_id", "cue"]).groupBy("doc_id", "start").agg(F.min(F.struct("cue", "cue_start", "cue_end", "similarity")).alias("__cue"))
+    taken = {"transcript_primary": F.lit(False), "srt_primary": F.lit(True), "highest_confidence": F.col("__cue.similarity") / 100 > F.coalesce("score", F.lit(0.0))}[strategy]
+    use = F.col("__cue").isNotNull() & taken
+    out = matches.drop("cue", "aligned_start", "aligned_end").join(first, ["doc_id", "start"], "left").withColumns({
+        "cue": F.col("__cue.cue"),
+        "aligned_start": F.when(use, F.col("__cue.cue_start")).otherwise(F.col("start")),
+        "aligned_end": F.when(use, F.col("__cue.cue_end")).otherwise(F.col("end")),
+    })
+    return out.drop("__cue")

@@ -91,16 +91,33 @@ def first_hit(words: DataFrame, lexicon: DataFrame) -> DataFrame:
     )
 
 
+def _in_a_row(tokens: DataFrame, parts: DataFrame, query: str) -> DataFrame:
+    """Rows of ``tokens`` (doc_id, word_index, key and more) that stand where ``parts`` (query, span, j, key)
+    need them, for every place ``at`` at which the query's rarest token could put it, with the columns of
+    both. A whole place has ``span`` rows.
+
+    Each query waits at its rarest token alone, by the counts of query tokens in the words, so a frequent
+    word of many queries meets none of them; the other tokens are looked up by place."""
+    asked = parts.select("key").distinct()
+    counts = tokens.join(asked, "key", "left_semi").groupBy("key").agg(F.count("*").alias("n"))
+    rarest = F.min(F.struct("n", "j", "key")).alias("rare")
+    known = parts.join(counts, "key").groupBy(query, "span").agg(rarest, F.count("*").alias("held")).filter("held = span")
+    waiting = known.select(query, F.col("rare.key").alias("key"), F.col("rare.j").alias("anchor"))
+    starts = tokens.select("doc_id", "word_index", "key").join(waiting, "key").select("doc_id", query, (F.col("word_index") - F.col("anchor")).alias("at"))
+    needed = starts.filter("at >= 0").join(parts, query).withColumn("word_index", F.col("at") + F.col("j"))
+    return needed.join(tokens, ["doc_id", "word_index", "key"])
+
+
 def phrase_matches(words: DataFrame, lexicon: DataFrame) -> DataFrame:
     """Phrases over consecutive word indices: every phrase at every place, overlaps included. The score
     is the smallest of the span, null counting as 0."""
     rules = lexicon.filter(F.size("tokens") > 1).withColumn("span", F.size("tokens"))
     rules = rules.select("line_no", "raw", "case_sensitive", "span", F.posexplode("tokens").alias("j", "root"))
-    rules = _keyed(rules).select("line_no", "raw", "case_sensitive", "span", "j", "key")
-    keys = F.array(F.struct(F.lit(True).alias("case_sensitive"), F.col("token").alias("key")), F.struct(F.lit(False).alias("case_sensitive"), F.lower("token").alias("key")))
-    found = candidates(words).withColumn("k", F.explode(keys)).select("doc_id", "word_index", "word", "start", "end", "score", "k.*").join(rules, ["case_sensitive", "key"])
-    anchor = (F.col("word_index") - F.col("j")).alias("word_index")
-    whole = found.groupBy("doc_id", anchor, "line_no", "raw", "span").agg(
+    # one key for both kinds of rules: the token as it is, or lower-cased, behind a letter for the kind
+    parts = _keyed(rules).select("line_no", "raw", "span", "j", F.concat(F.when(F.col("case_sensitive"), "s").otherwise("i"), "key").alias("key"))
+    keys = F.array(F.concat(F.lit("s"), "token"), F.concat(F.lit("i"), F.lower("token")))
+    tokens = candidates(words).select("doc_id", "word_index", "word", "start", "end", "score", F.explode(keys).alias("key"))
+    whole = _in_a_row(tokens, parts, "line_no").groupBy("doc_id", F.col("at").alias("word_index"), "line_no", "raw", "span").agg(
         F.count("*").alias("n"), F.min(F.coalesce("score", F.lit(0.0))).alias("score"), F.min_by("start", "j").alias("start"), F.max_by("end", "j").alias("end"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("j", "word"))), lambda x: x["word"]), " ").alias("matched_text"),
     )
@@ -125,13 +142,15 @@ def match_order(matches: DataFrame) -> DataFrame:
 
 def phrase_search(words: DataFrame, queries: DataFrame, context: int = 6) -> DataFrame:
     """Places of query texts (query_id, query): tokens compared in lower case, the words' stripped, the
-    query's as written; a word needs a start time only. With ``context`` words on both sides."""
+    query's as written; a word needs a start time only. With ``context`` words on both sides. Queries
+    without words find nothing; equal texts are searched once, whatever their ids."""
     from ..functions.text import split_words
     from .review import with_context
 
-    parts = queries.withColumn("q", split_words(F.lower("query"))).withColumn("span", F.size("q"))
-    parts = parts.select("query_id", "query", "span", F.posexplode("q").alias("j", "key"))
-    near = words.filter(F.col("start").isNotNull()).withColumn("key", F.lower(strip_punct(F.col("word"))))
-    found = near.join(parts, "key").groupBy("doc_id", (F.col("word_index") - F.col("j")).alias("word_index"), "query_id", "query", "span")
+    asked = queries.select("query_id", "query", F.array_join(split_words(F.lower("query")), " ").alias("text"))
+    parts = asked.select("text").distinct().withColumn("q", split_words(F.col("text"))).withColumn("span", F.size("q"))
+    parts = parts.select("text", "span", F.posexplode("q").alias("j", "key"))
+    tokens = words.filter(F.col("start").isNotNull()).select("doc_id", "word_index", "start", F.lower(strip_punct(F.col("word"))).alias("key"))
+    found = _in_a_row(tokens, parts, "text").groupBy("doc_id", F.col("at").alias("word_index"), "text", "span")
     hits = found.agg(F.count("*").alias("n"), F.min_by("start", "j").alias("start")).filter("n = span").drop("n")
-    return with_context(hits, words, context)
+    return with_context(hits.join(asked, "text").drop("text"), words, context)

@@ -5,23 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-LINE = r"^\s*(\d+)%\|"
+LINE, BAG = r"^\s*(\d+)%\|", r"a bag of (\d+) models"
 
 
-def progress_fold(lines: DataFrame, models: int) -> DataFrame:
-    """State after each bar line of (job_id, seq, line): model_index, last_pct, fraction and label. A 0%
-    line after a seen 100% starts the next model, the last model at most; two windows share the key."""
+def progress_fold(lines: DataFrame, models: int | None = None) -> DataFrame:
+    """State after each bar line of (job_id, seq, line): model_index, last_pct, fraction and label.
+
+    The number of models is the last ``a bag of N models`` seen before a line, 1 until there is one;
+    ``models`` overrides it. A 0% line after a seen 100% starts the next model, the last model at most.
+    The windows share the key."""
     order = Window.partitionBy("job_id").orderBy("seq")
-    bars = lines.withColumn("pct", F.regexp_extract("line", LINE, 1).try_cast("int")).filter("pct is not null")
+    upto = order.rowsBetween(Window.unboundedPreceding, -1)
+    bag = F.when(F.col("line").rlike(BAG), F.regexp_extract("line", BAG, 1).try_cast("int"))
+    said = F.lit(models) if models else F.coalesce(F.last(bag, ignorenulls=True).over(order), F.lit(1))
+    pct = F.regexp_extract("line", LINE, 1).try_cast("int")
+    bars = lines.select("job_id", "seq", said.cast("int").alias("n"), pct.alias("pct")).filter("pct is not null")
     # lines between two 0% lines form an island; the next island is a new model if this one saw 100%
     bars = bars.withColumn("island", F.sum(F.when(F.col("pct") == 0, 1).otherwise(0)).over(order))
-    upto = order.rowsBetween(Window.unboundedPreceding, -1)
     last_full = F.max(F.when(F.col("pct") == 100, F.col("island"))).over(upto)
     turn = (F.col("pct") == 0) & F.coalesce(last_full == F.col("island") - 1, F.lit(False))
-    index = F.least(F.sum(F.when(turn, 1).otherwise(0)).over(order), F.lit(models - 1))
+    index = F.least(F.sum(F.when(turn, 1).otherwise(0)).over(order), F.col("n") - 1)
     state = bars.withColumn("model_index", index.cast("int"))
-    fraction = F.least(F.lit(1.0), (F.col("model_index") + F.col("pct") / 100.0) / models)
-    label = F.format_string("%d/%d", F.least(F.col("model_index") + 1, F.lit(models)), F.lit(models))
+    fraction = F.least(F.lit(1.0), (F.col("model_index") + F.col("pct") / 100.0) / F.col("n"))
+    label = F.format_string("%d/%d", F.least(F.col("model_index") + 1, F.col("n")), F.col("n"))
     return state.select("job_id", "seq", "model_index", F.col("pct").alias("last_pct"), fraction.alias("fraction"), label.alias("label"))
 
 

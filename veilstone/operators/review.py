@@ -8,19 +8,24 @@ from pyspark.sql import functions as F
 from .matching import match_order
 
 
-def with_context(spans: DataFrame, words: DataFrame, k: int) -> DataFrame:
+def with_context(spans: DataFrame, words: DataFrame, k: int, block: int = 64) -> DataFrame:
     """``spans`` (doc_id, word_index, span and more) with ``context``: the raw words from k before to k
-    after, clipped at the document's ends, between dots.
-
-    The wanted word places are opened and joined by equality, so a long document costs no more than its
-    spans need."""
-    names = spans.columns
-    need = spans.select("doc_id", "word_index", "span").distinct()
-    opened = need.withColumn("at", F.explode(F.sequence(F.greatest(F.lit(0), F.col("word_index") - k), F.col("word_index") + F.col("span") + k - 1)))
-    raw = words.select("doc_id", F.col("word_index").alias("at"), "word")
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "word"))), lambda x: x["word"]), " ")
-    made = opened.join(raw, ["doc_id", "at"]).groupBy("doc_id", "word_index", "span").agg(F.concat(F.lit("..."), text, F.lit("...")).alias("context"))
-    return spans.join(made, ["doc_id", "word_index", "span"], "left").select(*names, "context")
+    after, clipped at the document's ends, between dots; null where the document has none of them.
+
+    Words travel as blocks of ``block``, and a span asks for the one or two blocks that its words lie in,
+    so the join has a row for a block and not for a word. Equal spans are asked for once."""
+    names = [c for c in spans.columns if c != "context"]
+    lo, hi = F.greatest(F.lit(0), F.col("word_index") - k), F.col("word_index") + F.col("span") + k - 1
+    need = spans.select("doc_id", "word_index", "span").distinct().withColumns({"lo": lo, "hi": hi})
+    asked = need.withColumn("block", F.explode(F.sequence(F.floor(F.col("lo") / block), F.floor(F.col("hi") / block))))
+    held = F.array_sort(F.collect_list(F.struct(F.col("word_index").alias("at"), "word"))).alias("held")
+    blocks = words.groupBy("doc_id", F.floor(F.col("word_index") / block).alias("block")).agg(held)
+    inside = F.filter("held", lambda w: (w["at"] >= F.col("lo")) & (w["at"] <= F.col("hi")))
+    part = F.transform(inside, lambda w: w["word"])
+    parts = asked.join(blocks, ["doc_id", "block"]).groupBy("doc_id", "word_index", "span").agg(F.array_sort(F.collect_list(F.struct("block", part.alias("part")))).alias("parts"))
+    text = F.array_join(F.flatten(F.transform("parts", lambda p: p["part"])), " ")
+    made = parts.select("doc_id", "word_index", "span", F.when(text != "", F.concat(F.lit("..."), text, F.lit("..."))).alias("context"))
+    return spans.select(*names).join(made, ["doc_id", "word_index", "span"], "left").select(*names, "context")
 
 
 def review_queue(matches: DataFrame, words: DataFrame, min_conf: float = 0.0, k: int = 8) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import intervals, ledger, matching
 from ..sources import lexicon as rules
-from ..sources import transcripts
+from ..sources import sinks, transcripts
 
 #: The rule list that the registered matching queries use.
 RULES = (
@@ -37,16 +37,30 @@ def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.find_matches(words(spark, sf_dir), rule_list(spark))
 
 
-def overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
+def kept_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The matches, written once through the sink, for queries that need them more than once."""
+    return sinks.saved(matches(spark, sf_dir), "matches")
+
+
+def overrides(spark: SparkSession, sf_dir: str, found: DataFrame | None = None) -> DataFrame:
     """A skip for every matched word whose index divides by 5; an add for every seventh document."""
-    skips = matches(spark, sf_dir).filter("word_index % 5 = 0").select("doc_id", "word_index").distinct()
-    skips = skips.select("doc_id", F.col("word_index").cast("int").alias("seq"), F.lit("skip").alias("action"), "word_index", F.lit(None).cast("string").alias("text"), F.lit(None).cast("double").alias("start"), F.lit(None).cast("double").alias("end"))
-    adds = table(spark, sf_dir, "documents").filter("doc_id % 7 = 0").select("doc_id", F.lit(1_000_000).alias("seq"), F.lit("add").alias("action"), F.lit(None).cast("int").alias("word_index"), F.lit("manual").alias("text"), F.lit(10.0).alias("start"), F.lit(12.5).alias("end"))
+    found = matches(spark, sf_dir) if found is None else found
+    none = F.lit(None)
+    skips = found.filter("word_index % 5 = 0").select("doc_id", "word_index").distinct()
+    skips = skips.select(
+        "doc_id", F.col("word_index").cast("int").alias("seq"), F.lit("skip").alias("action"), "word_index",
+        none.cast("string").alias("text"), none.cast("double").alias("start"), none.cast("double").alias("end"),
+    )
+    adds = table(spark, sf_dir, "documents").filter("doc_id % 7 = 0").select(
+        "doc_id", F.lit(1_000_000).alias("seq"), F.lit("add").alias("action"), none.cast("int").alias("word_index"),
+        F.lit("manual").alias("text"), F.lit(10.0).alias("start"), F.lit(12.5).alias("end"),
+    )
     return skips.unionByName(adds)
 
 
-def resolved(spark: SparkSession, sf_dir: str, pad: float = 50.0) -> DataFrame:
-    return intervals.resolve_intervals(matches(spark, sf_dir), overrides(spark, sf_dir), pad)
+def resolved(spark: SparkSession, sf_dir: str, pad: float = 50.0, found: DataFrame | None = None) -> DataFrame:
+    found = kept_matches(spark, sf_dir) if found is None else found
+    return intervals.resolve_intervals(found, overrides(spark, sf_dir, found), pad)
 
 
 def segment_words(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,11 +90,26 @@ def mute_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals.merge_intervals(raw, "track_id")
 
 
+def touching_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """300 seconds around every error event as they are, and each of their halves once more, so that many
+    overlap and the halves touch."""
+    spans = samples(spark, sf_dir).join(table(spark, sf_dir, "events").filter("event_type = 'error'").select("event_id"), "event_id", "left_semi")
+    lo, mid, hi = F.greatest(F.lit(0.0), F.col("t") - 300), F.col("t"), F.col("t") + 300
+    halves = F.explode(F.array(F.struct(lo.alias("a"), hi.alias("b")), F.struct(lo.alias("a"), mid.alias("b")), F.struct(mid.alias("a"), hi.alias("b"))))
+    return spans.select("track_id", halves.alias("h")).select("track_id", F.col("h.a").alias("interval_start"), F.col("h.b").alias("interval_end"))
+
+
 def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A track per part: its duration from price and size."""
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("track_id"), (F.col("p_size") * 512.5).alias("total_duration_sec"))
 
 
+def segment_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A transcription run for each segment, with the seconds that it took; the first has none."""
+    seg = segment_words(spark, sf_dir).groupBy("doc_id", "segment_index").agg(F.count("*").alias("n"))
+    return seg.filter("segment_index > 1").select("doc_id", "segment_index", (F.col("n") * 0.25 + 0.0625).alias("elapsed_sec"))
+
+
 def step_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 
@@ -160,6 +189,9 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
             select *, case when padded_start <= max(padded_end) over (partition by track_id order by n rows between unbounded preceding and 1 preceding) then 0 else 1 end as fresh from (
                 select track_id, greatest(0.0::double, t - 300) as padded_start, t + 300 as padded_end, row_number() over (partition by track_id order by round(greatest(0.0::double, t - 300), 4), greatest(0.0::double, t - 300), t) as n
                 from samples where event_type = 'error'))) group by track_id, island"""),
+    "halves": (("samples",), """select track_id, unnest([lo, lo, t]) as interval_start, unnest([hi, t, hi]) as interval_end from (
+        select track_id, t, greatest(0.0::double, t - 300) as lo, t + 300 as hi from samples where event_type = 'error')"""),
+    "runs": (("segwords",), "select doc_id, segment_index, count(*) * 0.25::double + 0.0625::double as elapsed_sec from segwords group by doc_id, segment_index having segment_index > 1"),
     "tracks": ((), "select p_partkey as track_id, p_size * 512.5::double as total_duration_sec from part"),
     "steps": ((), "select * from (values (0,'4b_flag'),(1,'4b_review'),(2,'5_mute'),(3,'6_recombine'),(4,'6b_encode'),(5,'7_mux')) t(ord, step)"),
     "stepev": ((), """select user_id as job_id, row_number() over (partition by user_id order by ts, event_id)::int as seq, ['4b_flag','4b_review','5_mute','6_recombine','6b_encode','7_mux'][event_id % 6 + 1] as step,

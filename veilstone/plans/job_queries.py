@@ -72,11 +72,11 @@ def slug(spark, sf):
     return fx.table(spark, sf, "pages").select("page_id", text.slug(F.col("url")).alias("slug"))
 
 
-@query("edition_name", """select p_partkey, case when p_partkey % 3 = 0 then p_name || '_censored' when p_partkey % 3 = 1 then p_name || ' (19' || (p_size + 10) || ') {edition-Hushed}.sd (2001)' else p_name || ' {edition-Hushed}' end || '.mkv' as name from part""")
+@query("edition_name", """select p_partkey, case when p_partkey % 3 = 0 then p_name || '_censored' when p_partkey % 3 = 1 then p_name || ' (19' || (p_size + 10) || ') {edition-Quiet}.sd (2001)' else p_name || ' {edition-Quiet}' end || '.mkv' as name from part""")
 def edition_name(spark, sf):
     stem = F.when(F.col("p_partkey") % 3 == 1, F.concat("p_name", F.lit(" (19"), (F.col("p_size") + 10).cast("string"), F.lit(").sd (2001)"))).otherwise(F.col("p_name"))
     style = F.when(F.col("p_partkey") % 3 == 0, "suffix").otherwise("plex_edition")
-    return fx.table(spark, sf, "part").select("p_partkey", text.edition_name(stem, style, F.lit("Hushed"), F.lit("_censored"), F.lit("mkv")).alias("name"))
+    return fx.table(spark, sf, "part").select("p_partkey", text.edition_name(stem, style, F.lit("Quiet"), F.lit("_censored"), F.lit("mkv")).alias("name"))
 
 
 @query("codec_ext", sql("""select track_id, codec, case codec when 'vorbis' then '.ogg' when 'wmav2' then '.wma' when 'pcm_s16le' then '.wav' when 'pcm_s24le' then '.wav' when 'pcm_s32le' then '.wav' else '.' || codec end as ext from streams""", "streams"))
@@ -94,10 +94,13 @@ def safe_int(spark, sf):
     return fx.streams(spark, sf).select("track_id", "bit_rate", text.safe_int(F.col("bit_rate")).alias("rate"))
 
 
-@query("encoder_plan", sql("""select track_id, codec, case when fb then 'ac3' else enc end as encoder, case when fb then least(coalesce(rate, 640000), 640000) when enc = 'flac' or enc like 'pcm_%' then 0 else coalesce(rate, case enc when 'aac' then 192000 when 'ac3' then 448000 when 'eac3' then 448000 when 'dca' then 1509000 when 'libmp3lame' then 320000 when 'libvorbis' then 192000 when 'libopus' then 128000 else 192000 end) end::bigint as bitrate,
+ENCODER_SQL = """select track_id, codec, case when fb then 'ac3' else enc end as encoder, case when fb then least(coalesce(rate, 640000), 640000) when enc = 'flac' or enc like 'pcm_%' then 0 else coalesce(rate, case enc when 'aac' then 192000 when 'ac3' then 448000 when 'eac3' then 448000 when 'dca' then 1509000 when 'libmp3lame' then 320000 when 'libvorbis' then 192000 when 'libopus' then 128000 else 192000 end) end::bigint as bitrate,
     case when ll then codec || case when profile is not null then ' (' || profile || ')' else '' end || ': no encoder keeps it lossless' when enc is null then 'unknown codec: ' || codec end as fallback_reason
     from (select *, ll or enc is null as fb from (select *, try_cast(bit_rate as bigint) as rate, codec = 'truehd' or (codec = 'dts' and coalesce(profile, '') ilike '%ma%') as ll,
-        case codec when 'dts' then 'dca' when 'mp3' then 'libmp3lame' when 'vorbis' then 'libvorbis' when 'opus' then 'libopus' when 'pcm_s24le' then 'pcm_s16le' when 'pcm_s32le' then 'pcm_s16le' when 'truehd' then null when 'xyz' then null else codec end as enc from streams))""", "streams"))
+        case codec when 'dts' then 'dca' when 'mp3' then 'libmp3lame' when 'vorbis' then 'libvorbis' when 'opus' then 'libopus' when 'pcm_s24le' then 'pcm_s16le' when 'pcm_s32le' then 'pcm_s16le' when 'truehd' then null when 'xyz' then null else codec end as enc from streams))"""
+
+
+@query("encoder_plan", sql(ENCODER_SQL, "streams"))
 def encoder_plan(spark, sf):
     return media.encoder_plan(fx.streams(spark, sf)).select("track_id", "codec", "encoder", "bitrate", "fallback_reason")
 
@@ -111,6 +114,7 @@ def duration_check(spark, sf):
 
 @query("chapter_overrun", sql("""select t.track_id, total_duration_sec, last_chapter, coalesce(last_chapter > total_duration_sec + 2.0, false) as overrun from tracks t left join (select l_partkey as track_id, max(l_quantity * 512.5::double) as last_chapter from lineitem where l_linenumber > 2 group by l_partkey) c using (track_id)""", "tracks"))
 def chapter_overrun(spark, sf):
+    """Lines from the third on are taken for chapters, so that some parts have none."""
     chapters = fx.table(spark, sf, "lineitem").filter("l_linenumber > 2").select(F.col("l_partkey").alias("track_id"), (F.col("l_quantity").cast("double") * 512.5).alias("chapter_end"))
     return integrity.chapter_overrun(chapters, fx.tracks(spark, sf)).select("track_id", "total_duration_sec", "last_chapter", "overrun")
 
@@ -120,12 +124,14 @@ def content_hash(spark, sf):
     return fx.table(spark, sf, "pages").select("page_id", integrity.content_hash(F.col("html")).alias("hash"))
 
 
-@query("verify_artifact", """select doc_id, list_filter([case when gone then 'missing' end, case when not gone and doc_id % 3 <> 0 and doc_id % 10 > 5 then 'duration' end, case when not gone and doc_id % 4 = 1 then 'hash' end], lambda x: x is not null) as problems from (select doc_id, doc_id % 11 = 0 as gone from documents)""")
+@query("verify_artifact", """select doc_id, list_filter([case when gone then 'missing' end, case when not gone and doc_id % 3 = 1 and doc_id % 10 > 5 then 'duration' end, case when not gone and doc_id % 4 = 1 and doc_id % 13 <> 0 then 'hash' end], lambda x: x is not null) as problems from (select doc_id, doc_id % 11 = 0 as gone from documents)""")
 def verify_artifact(spark, sf):
+    """Recorded durations are off by up to 9, 0 for a third of the documents; every 13th can't be hashed now."""
     docs = fx.table(spark, sf, "documents")
-    n, h = F.col("n_chars").cast("double"), F.sha2("text", 256)
-    recorded = docs.select("doc_id", F.when(F.col("doc_id") % 3 != 0, n + F.col("doc_id") % 10).alias("duration"), F.when(F.col("doc_id") % 4 == 1, F.lit("0")).when(F.col("doc_id") % 4 == 2, h).alias("hash"))
-    actual = docs.filter("doc_id % 11 <> 0").select("doc_id", n.alias("duration"), h.alias("hash"))
+    i, n, h = F.col("doc_id"), F.col("n_chars").cast("double"), F.sha2("text", 256)
+    duration = F.when(i % 3 == 1, n + i % 10).when(i % 3 == 2, F.lit(0.0))
+    recorded = docs.select("doc_id", duration.alias("duration"), F.when(i % 4 == 1, F.lit("0")).when(i % 4 == 2, h).alias("hash"))
+    actual = docs.filter("doc_id % 11 <> 0").select("doc_id", n.alias("duration"), F.when(i % 13 != 0, h).alias("hash"))
     return integrity.verify_artifact(recorded, actual, "doc_id")
 
 
@@ -149,15 +155,19 @@ def segment_eta(spark, sf):
     return progress.segment_eta(runs)
 
 
-@query("progress_fold", f"""with b as (select user_id as job_id, n as seq, (n * 25 % 125)::int as pct from (select *, row_number() over (partition by user_id order by ts, event_id)::int as n from events)),
-    s as (select *, least(3, seq // 5)::int as model_index from b) select job_id, seq, model_index, pct as last_pct, least(1.0::double, (model_index + pct / 100.0::double) / 4) as fraction, least(model_index + 1, 4) || '/4' as label from s""")
+@query("progress_fold", f"""with b as (select user_id as job_id, n as seq, (n * 25 % 125)::int as pct, user_id % 4 + 1 as models from (select *, row_number() over (partition by user_id order by ts, event_id)::int as n from events)),
+    s as (select *, least(models - 1, seq // 5)::int as model_index from b) select job_id, seq, model_index, pct as last_pct, least(1.0::double, (model_index + pct / 100.0::double) / models) as fraction, least(model_index + 1, models) || '/' || models as label from s""")
 def progress_fold(spark, sf):
+    """A log per user: a line that names the number of models (no such line for one), then a bar per event."""
     from pyspark.sql import Window
 
     order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    n = F.row_number().over(order)
-    lines = fx.table(spark, sf, "events").select(F.col("user_id").alias("job_id"), n.alias("seq"), F.format_string(" %d%%|####", n * 25 % 125).alias("line"))
-    return progress.progress_fold(lines, 4)
+    n, job = F.row_number().over(order), F.col("user_id").alias("job_id")
+    events = fx.table(spark, sf, "events")
+    bars = events.select(job, n.alias("seq"), F.format_string(" %d%%|####", n * 25 % 125).alias("line"))
+    models = F.col("user_id") % 4 + 1
+    heads = events.select("user_id").distinct().filter(models > 1).select(job, F.lit(0).alias("seq"), F.format_string("Selected model is a bag of %d models.", models).alias("line"))
+    return progress.progress_fold(bars.unionByName(heads))
 
 
 @query("ledger_fold", sql("select job_id, steps_completed from folded", "folded"))
@@ -229,12 +239,12 @@ def ledger_scan(spark, sf):
 @query("stream_flag", sql("select doc_id, word_index::bigint as word_index, matched_text, entry from single", "single"))
 def stream_flag(spark, sf):
     """Words written as files, streamed and matched; the result is read back."""
-    import tempfile
     import uuid
 
+    from ..sources.sinks import shared_dir
     from ..streaming.flag import flag_stream, stream_words
 
-    folder = f"{spark.sparkContext.getConf().get('spark.checkpoint.dir') or tempfile.mkdtemp(prefix='veilstone-')}/stream-{uuid.uuid4().hex}"
+    folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     fx.words(spark, sf).write.parquet(f"{folder}/in")
     flag_stream(stream_words(spark, f"{folder}/in"), fx.rule_list(spark), f"{folder}/out", f"{folder}/state")
     found = spark.read.parquet(f"{folder}/out")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.text import strip_punct
+from ..functions.text import split_words, strip_punct
 from ..operators import extras, matching, review, stats
 from ..sources import lexicon, sinks, transcripts
 from . import fixtures as fx
@@ -55,9 +55,7 @@ def words_from_text(spark, sf):
 def _round_trip(name, oracle, make, fmt, drop=()):
     @query(name, oracle)
     def run(spark, sf):
-        import tempfile
-
-        folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="veilstone-")
+        folder = sinks.shared_dir(spark)
         sinks.publish(make(spark, sf), f"{folder}/{name}", fmt)
         return sinks.current(spark, f"{folder}/{name}").drop(*drop)
 
@@ -148,11 +146,11 @@ def review_queue(spark, sf):
     return bigint(review.review_queue(fx.matches(spark, sf), fx.words(spark, sf), 0.5)).select("doc_id", "word_index", "entry", "ordinal", "total", "context")
 
 
-def decisions(spark, sf):
-    m = matching.match_order(fx.matches(spark, sf))
+def decisions(found):
+    """A decision for every match of ``found``, by document and ordinal."""
     k = (F.col("doc_id") * 31 + F.col("ordinal") * 7) % 97
     d = F.when(k == 0, "S").when(k == 1, "Q").when(k % 3 == 0, "N").otherwise("Y")
-    return m.select("doc_id", "ordinal", d.alias("decision"))
+    return matching.match_order(found).select("doc_id", "ordinal", d.alias("decision"))
 
 
 REPLAY = f"""o as ({ORDERED}), d as (select *, case when score > 0.75 then null when (doc_id * 31 + ordinal * 7) % 97 = 0 then 'S' when (doc_id * 31 + ordinal * 7) % 97 = 1 then 'Q' when (doc_id * 31 + ordinal * 7) % 97 % 3 = 0 then 'N' else 'Y' end as asked from o),
@@ -160,32 +158,41 @@ REPLAY = f"""o as ({ORDERED}), d as (select *, case when score > 0.75 then null
     r as (select *, case when ordinal >= stop_at then 'approved' when score > 0.75 then 'auto_approved' when asked = 'N' then 'rejected' else 'approved' end as outcome from t where stop is distinct from 'Q')"""
 
 
-def replay_sql(body: str) -> str:
-    return sql("", "matches") .rstrip() + f", {REPLAY} {body}"
+def replay_sql(body: str, *names: str) -> str:
+    return sql("", "matches", *names).rstrip() + f", {REPLAY} {body}"
 
 
 @query("replay_decisions", replay_sql("select doc_id, word_index::bigint as word_index, ordinal, outcome from r"))
 def replay_decisions(spark, sf):
-    return bigint(review.replay_decisions(fx.matches(spark, sf), decisions(spark, sf), 0.75)).select("doc_id", "word_index", "ordinal", "outcome")
+    found = fx.kept_matches(spark, sf)
+    return bigint(review.replay_decisions(found, decisions(found), 0.75)).select("doc_id", "word_index", "ordinal", "outcome")
 
 
 @query("review_summary", replay_sql("""select coalesce(a.doc_id, b.doc_id) as doc_id, coalesce(candidates, 0) as candidates, coalesce(approved, 0) as approved, coalesce(rejected, 0) as rejected, coalesce(auto_approved, 0) as auto_approved, coalesce(added, 0) as added
     from (select doc_id, count(*) as candidates, count(*) filter (where outcome = 'approved') as approved, count(*) filter (where outcome = 'rejected') as rejected, count(*) filter (where outcome = 'auto_approved') as auto_approved from r group by doc_id) a
     full join (select doc_id, 1::bigint as added from documents where doc_id % 7 = 0) b on a.doc_id = b.doc_id"""))
 def review_summary(spark, sf):
-    outcomes = review.replay_decisions(fx.matches(spark, sf), decisions(spark, sf), 0.75)
+    found = fx.kept_matches(spark, sf)
+    outcomes = review.replay_decisions(found, decisions(found), 0.75)
     return review.review_summary(outcomes, fx.table(spark, sf, "documents").filter("doc_id % 7 = 0").select("doc_id"))
 
 
-@query("phrase_search", sql(f""", q(query_id, q, query) as (select c.conv_id, list_filter(string_split_regex(lower(x.query), '[ \\t\\r\\n\\f\\x0B]+'), lambda x: x <> ''), x.query from (select conv_id, list_slice(list_filter(string_split_regex(text, '[ \\t\\r\\n\\f\\x0B]+'), lambda x: x <> ''), 1, 2) as two from conversations where turn = 0) c, (select 1) o, lateral (select array_to_string(c.two, ' ') as query) x where len(c.two) = 2),
+ASKED = """q0 as (select conv_id, list_filter(string_split_regex(coalesce(text, ''), '[ \\t\\r\\n\\f\\x0B]+'), lambda x: x <> '') as ws from conversations),
+    asked as (select min(conv_id) as query_id, query from (select conv_id, array_to_string(list_slice(ws, i, i + 2), ' ') as query from q0, unnest(range(1, len(ws) - 1, 3)) t(i)) group by query)"""
+
+
+@query("phrase_search", sql(f""", {ASKED}, q as (select query_id, query, list_filter(string_split_regex(lower(query), '[ \\t\\r\\n\\f\\x0B]+'), lambda x: x <> '') as q from asked),
     p as (select *, unnest(q) as k, generate_subscripts(q, 1) - 1 as j from q), hit as (select doc_id, (w.word_index - j) as word_index, query_id, query, len(q)::int as span, arg_min(w."start", j) as "start", count(*) as n
         from (select *, lower(trim(word, '!"#$%&''()*+,-./:;<=>?@[\\]^_`{{|}}~')) as k from words where "start" is not null) w join p using (k) group by doc_id, w.word_index - j, query_id, query, len(q)),
-    m as (select * exclude (n) from hit where n = span) select doc_id, word_index::bigint as word_index, query_id, query, span, "start", context from ({context_sql('m', 6)})""", "words").replace("  ,", ",").replace(") ,", "),"))
+    m as (select * exclude (n) from hit where n = span) select doc_id, word_index::bigint as word_index, query_id, query, span, "start", context from ({context_sql('m', 6)})""", "words").replace(") ,", "),"))
 def phrase_search(spark, sf):
-    from ..functions.text import split_words
-
-    two = F.slice(split_words(F.col("text")), 1, 2)
-    asked = fx.table(spark, sf, "conversations").filter("turn = 0").withColumn("two", two).filter("size(two) = 2").select(F.col("conv_id").alias("query_id"), F.array_join("two", " ").alias("query"))
+    """Every three words in a row, from the first on, of every turn of the conversations; a text that occurs
+    several times is asked for once, under its smallest conversation."""
+    text = F.col("text")
+    said = fx.table(spark, sf, "conversations").select("conv_id", split_words(text).alias("ws"))
+    threes = F.transform(F.sequence(F.lit(1), F.size("ws") - 2, F.lit(3)), lambda i: F.array_join(F.slice("ws", i, 3), " "))
+    asked = said.filter(F.size("ws") > 2).select("conv_id", F.explode(threes).alias("query"))
+    asked = asked.groupBy("query").agg(F.min("conv_id").alias("query_id"))
     return bigint(matching.phrase_search(fx.words(spark, sf), asked, 6))
 
 
@@ -199,9 +206,9 @@ def merge_stats(spark, sf):
     return stats.merge_stats(fx.segment_words(spark, sf))
 
 
-@query("transcribe_stats", sql("select doc_id, segment_index, count(*) as word_count from segwords group by rollup (doc_id, segment_index)", "segwords"))
+@query("transcribe_stats", sql("select doc_id, segment_index, sum(n)::bigint as word_count, round(sum(elapsed_sec), 1) as elapsed_sec from (select doc_id, segment_index, count(*) as n from segwords group by all) left join runs using (doc_id, segment_index) group by rollup (doc_id, segment_index)", "segwords", "runs"))
 def transcribe_stats(spark, sf):
-    return stats.transcribe_stats(fx.segment_words(spark, sf))
+    return stats.transcribe_stats(fx.segment_words(spark, sf), fx.segment_runs(spark, sf))
 
 
 @query("doc_language", sql("select doc_id, coalesce(arg_max(lang, segment_index) filter (where segment_index % 3 <> 0), 'en') as language from segwords join documents using (doc_id) group by doc_id", "segwords"))
@@ -230,22 +237,88 @@ def context_rules(spark, sf):
     return bigint(extras.context_rules(fx.matches(spark, sf), fx.words(spark, sf), ["of", "and"], 3)).select("doc_id", "word_index", "entry")
 
 
-def cues(spark, sf):
+SUBSTITUTES = (("the", "[article]"), ("with", "w***"), ("the the", "[twice]"))
+REDACTED = """first as (select doc_id, i as word_index, arg_min(coalesce(new, '[censored]'), (span > 1)::int * 1000 + line_no) as new from matches left join (values ('the', '[article]'), ('with', 'w***'), ('the the', '[twice]')) v(entry, new) using (entry), unnest(range(word_index, word_index + span)) t(i) group by doc_id, i)"""
+
+
+def substitutes(spark):
+    return spark.createDataFrame(list(SUBSTITUTES), "entry string, substitute string")
+
+
+@query("substitute_text", sql(f""", {REDACTED} select doc_id, string_agg(coalesce(new, word), ' ' order by word_index) as text from words left join first using (doc_id, word_index) group by doc_id""", "words", "matches").replace(") ,", "),"))
+def substitute_text(spark, sf):
+    return extras.substitute_text(fx.words(spark, sf), fx.kept_matches(spark, sf), substitutes(spark))
+
+
+def ascii_words(spark, sf):
+    """Words with every non-ASCII character as "?", so that all engines count the same edits."""
+    return fx.words(spark, sf).withColumn("word", F.regexp_replace("word", r"[^\x00-\x7F]", "?"))
+
+
+def cues(words):
     """A cue for every 12 words: the words themselves, every third cue with the first left out."""
-    w = fx.words(spark, sf)
     cue = F.floor(F.col("word_index") / 12).cast("long")
     text = F.transform(F.array_sort(F.collect_list(F.struct("word_index", "word"))), lambda x: x["word"])
-    made = w.groupBy("doc_id", cue.alias("cue")).agg(text.alias("t"))
-    return made.select("doc_id", "cue", (F.col("cue") * 6.0).alias("cue_start"), (F.col("cue") * 6.0 + 6.0).alias("cue_end"), F.array_join(F.when(F.col("cue") % 3 == 0, F.slice("t", 2, 100)).otherwise(F.col("t")), " ").alias("cue_text"))
+    made = words.groupBy("doc_id", cue.alias("cue")).agg(text.alias("t"))
+    shown = F.array_join(F.when(F.col("cue") % 3 == 0, F.slice("t", 2, 100)).otherwise(F.col("t")), " ")
+    return made.select("doc_id", "cue", (F.col("cue") * 6.0).alias("cue_start"), (F.col("cue") * 6.0 + 6.0).alias("cue_end"), shown.alias("cue_text"))
 
 
-# SQL engines count edits in bytes or in characters; these two are tested against plain Python instead.
-@query("srt_diff")
-def srt_diff(spark, sf):
-    return extras.srt_diff(fx.words(spark, sf), cues(spark, sf))
+CUES = """aw as (select * replace (regexp_replace(word, '[^\\x00-\\x7F]', '?', 'g') as word) from words),
+    heard as (select doc_id, word_index // 12 as cue, string_agg(word, ' ' order by word_index) as heard, avg(coalesce(score, 0.0::double)) as confidence from aw where "start" is not null group by all),
+    cue0 as (select doc_id, word_index // 12 as cue, coalesce(string_agg(word, ' ' order by word_index) filter (where word_index // 12 % 3 <> 0 or word_index % 12 <> 0), '') as cue_text from aw group by all),
+    cues as (select doc_id, cue, cue * 6.0::double as cue_start, cue * 6.0::double + 6.0::double as cue_end, cue_text, coalesce(heard, '') as heard, coalesce(confidence, 0.0::double) as confidence from cue0 left join heard using (doc_id, cue)),
+    diff as (select *, round(case when greatest(length(cue_text), length(heard)) = 0 then 100.0::double else (1 - levenshtein(lower(cue_text), lower(heard)) / greatest(length(cue_text), length(heard))::double) * 100 end, 4) as similarity from cues)"""
+CUE_COLUMNS = "doc_id, cue::bigint as cue, cue_start, cue_end, cue_text, heard, confidence, similarity"
 
 
-@query("srt_align")
-def srt_align(spark, sf):
-    w = fx.words(spark, sf)
-    return bigint(extras.srt_align(fx.matches(spark, sf), cues(spark, sf), w)).select("doc_id", "word_index", "entry", "cue", "aligned_start", "aligned_end")
+def srt_sql(body: str, *names: str) -> str:
+    return sql("", "words", *names).rstrip() + f", {CUES} {body}"
+
+
+@query("srt_diff", srt_sql(f"select {CUE_COLUMNS} from diff"))
+def srt_diff(spark, sf):
+    w = ascii_words(spark, sf)
+    return extras.srt_diff(w, cues(w))
+
+
+for _mode in ("report", "auto", "hybrid"):
+
+    @query(
+        f"srt_correct_{_mode}",
+        srt_sql(f"""select {CUE_COLUMNS}, case when mend then 'correct' when similarity < 85 and '{_mode}' <> 'auto' then 'review' else 'keep' end as action, case when mend then heard else cue_text end as new_text
+            from (select *, similarity < 85 and confidence > 0.5 and '{_mode}' <> 'report' as mend from diff)"""),
+    )
+    def srt_correct(spark, sf, mode=_mode):
+        w = ascii_words(spark, sf)
+        return extras.srt_correct(w, cues(w), mode)
+
+
+for _name, _taken in (("srt_align", "false"), ("srt_align_srt_primary", "true"), ("srt_align_highest_confidence", "similarity / 100 > score")):
+
+    @query(
+        _name,
+        srt_sql(
+            f"""select m.doc_id, word_index::bigint as word_index, entry, g.cue::bigint as cue, case when g.cue is not null and {_taken} then cue_start else m."start" end as aligned_start, case when g.cue is not null and {_taken} then cue_end else m."end" end as aligned_end
+            from matches m left join (select * from diff where similarity >= 85) g on g.doc_id = m.doc_id and g.cue = floor(m."start" / 6)::bigint""",
+            "matches",
+        ),
+    )
+    def srt_align(spark, sf, strategy=_name.removeprefix("srt_align_").replace("srt_align", "transcript_primary")):
+        w = ascii_words(spark, sf)
+        found = extras.srt_align(fx.matches(spark, sf), cues(w), w, strategy=strategy)
+        return bigint(found).select("doc_id", "word_index", "entry", "cue", "aligned_start", "aligned_end")
+
+
+SWAPPED = """place as (select doc_id, cue, w, i, lower(trim(w, '!"#$%&''()*+,-./:;<=>?@[\\]^_`{|}~')) as token from (select doc_id, cue, unnest(ws) as w, generate_subscripts(ws, 1) as i from
+        (select doc_id, cue, list_filter(string_split(cue_text, ' '), lambda x: x <> '') as ws from cues))),
+    flagged as (select doc_id, floor("start" / 6)::bigint as cue, entry, line_no, lower(trim(t, '!"#$%&''()*+,-./:;<=>?@[\\]^_`{|}~')) as token from (select *, unnest(string_split(matched_text, ' ')) as t from matches)),
+    swap as (select doc_id, cue, token, arg_min(coalesce(new, '[censored]'), line_no) as new from flagged left join (values ('the', '[article]'), ('with', 'w***'), ('the the', '[twice]')) v(entry, new) using (entry) where token <> '' group by doc_id, cue, token),
+    shown as (select p.doc_id, p.cue, string_agg(coalesce(s.new, p.w), ' ' order by p.i) as text from place p left join swap s on s.doc_id = p.doc_id and s.cue = p.cue and s.token = p.token group by p.doc_id, p.cue)"""
+
+
+@query("substitute_cues", srt_sql(f"""select c.doc_id, c.cue::bigint as cue, cue_start, cue_end, cue_text, case when exists (select 1 from swap s where s.doc_id = c.doc_id and s.cue = c.cue) then coalesce(text, '') else cue_text end as new_text
+    from cues c left join shown x on x.doc_id = c.doc_id and x.cue = c.cue""", "matches").replace("as similarity from cues) select", f"as similarity from cues), {SWAPPED} select"))
+def substitute_cues(spark, sf):
+    w = ascii_words(spark, sf)
+    return extras.substitute_cues(cues(w), fx.matches(spark, sf), substitutes(spark))

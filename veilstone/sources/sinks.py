@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,6 +26,26 @@ def current(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.format(last["format"]).load(last["path"])
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where the session leaves it unset
+    a session on one machine takes a new temporary folder; on a cluster that is an error, since executors
+    can't see the driver's folders."""
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        found = tempfile.mkdtemp(prefix="veilstone-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """``df`` published once in a folder of its own, and read back: what is used several times is made once."""
+    folder = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    publish(df, folder)
+    return current(df.sparkSession, folder)
+
+
 def bucketed(df: DataFrame, buckets: int = 64) -> DataFrame:
     """``df`` with ``doc_bucket``, to partition a large log by."""
     return df.withColumn("doc_bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int"))
