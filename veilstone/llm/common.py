@@ -68,13 +68,35 @@ def byte_texts(column, part: int = 256):
         yield from column.slice(i, part).cast(pa.binary()).to_pylist()
 
 
-def release_memory() -> None:
-    """Give memory that a task has freed back to the system, as Python workers are used again: Arrow's
-    pool, and the C library's heap where it has a call for it."""
+def slices(batch, rows: int = 256):
+    """A batch as (first column, UTF-8 bytes of the second), a few rows at a time."""
+    for i in range(0, batch.num_rows, rows):
+        yield batch.column(0).slice(i, rows), list(byte_texts(batch.column(1).slice(i, rows)))
+
+
+_STEADY: list[bool] = []
+M_TRIM_THRESHOLD, M_MMAP_THRESHOLD = -1, -3  # fixed values of the C library's mallopt
+
+
+def steady_heap() -> None:
+    """Make a Python worker give back what it frees, once for its life: Arrow takes its buffers from the C
+    library, and blocks of 512 kB or more, such as arrays, are mapped for themselves. Workers live on from
+    task to task, so what one kind of task leaves behind would add to the next."""
     import pyarrow as pa
 
+    if not _STEADY:
+        _STEADY.append(True)
+        pa.set_memory_pool(pa.system_memory_pool())
+        tune = getattr(ctypes.CDLL(None), "mallopt", None)
+        if tune:
+            tune(M_MMAP_THRESHOLD, 512 * 1024)
+            tune(M_TRIM_THRESHOLD, 1024 * 1024)
+
+
+def release_memory() -> None:
+    """Give memory that a task has freed back to the system: what lies free in the middle of the C library's
+    heap, where it has a call for it."""
     gc.collect()
-    pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim:
         trim(0)

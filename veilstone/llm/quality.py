@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_texts
+from .common import byte_texts, steady_heap
 
 MOST_ROWS, PART_BYTES = 20_000, 1 << 20
 STATISTICS = (
@@ -82,6 +82,7 @@ def statistics(text: Column) -> Column:
 
     @F.arrow_udf("array<double>")
     def measured(texts: pa.Array) -> pa.Array:
+        steady_heap()
         rows = np.array([text_statistics(t) for t in byte_texts(texts)], np.float64).reshape(-1)
         return pa.ListArray.from_arrays(pa.array(np.arange(0, len(rows) + 1, len(STATISTICS), dtype=np.int32)), pa.array(rows))
 
