@@ -9,42 +9,47 @@ pieces are numbered inside their length in parallel and joined to the plan.
 
 from __future__ import annotations
 
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import save
-from .tokens import encoder
+from .common import release_memory, save, slices, steady_heap
+from .tokens import encoder, forget_encoders
 
-CAPACITY, SALTS = 2048, 64
-PIECES = "doc_id long, piece int, start long, length long, ids binary, salt int"
+CAPACITY, GROUP_ROWS = 2048, 65_536
+PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAPACITY) -> DataFrame:
-    """Ids of every document, the end id last, cut at each ``capacity``: a row per piece with ``ids``
-    (little-endian unsigned 32-bit). Null texts are empty and give one piece, the end id. ``salt`` is a
-    task number that spreads a frequent length over several groups."""
+def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
+    """Ids of every document, the end id last, cut at each ``capacity``: a row per piece with the CRC-32 of
+    its ids (little-endian unsigned 32-bit), and the ``ids`` themselves only if they are asked for. Null
+    texts are empty and give one piece, the end id. Repeated rows and rows with a null id are documents of
+    their own."""
+    names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())[: len(names)]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, end, salt = encoder(tokenizer, False), np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId() % SALTS
+        steady_heap()
+        code, end = encoder(tokenizer, False), np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            rows = ([], [], [], [], [])
-            for doc_id, ids in zip(batch.column(0).to_pylist(), code.batches(batch.column(1).cast(pa.binary()).to_pylist())):
-                ids += end
-                for piece, lo in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[lo : lo + 4 * capacity]
-                    for column, value in zip(rows, (doc_id, piece, lo // 4, len(part) // 4, part)):
-                        column.append(value)
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
-            columns = [pa.array(c, k) for c, k in zip(rows, kinds)] + [pa.array(np.full(len(rows[0]), salt, np.int32))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "piece", "start", "length", "ids", "salt"])
+            for doc_ids, texts in slices(batch):
+                rows: tuple[list, ...] = tuple([] for _ in names)
+                for doc_id, ids in zip(doc_ids.to_pylist(), code.batches(texts)):
+                    ids += end
+                    for piece, lo in enumerate(range(0, len(ids), 4 * capacity)):
+                        part = ids[lo : lo + 4 * capacity]
+                        for column, value in zip(rows, (doc_id, piece, lo // 4, len(part) // 4, zlib.crc32(part), part)):
+                            column.append(value)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds)], names=names)
+        forget_encoders()
+        release_memory()
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, PIECES + ", ids binary" * with_ids)
 
 
 def patterns(capacity: int, present: np.ndarray) -> np.ndarray:
@@ -142,9 +147,13 @@ def plan(hist: np.ndarray, capacity: int = CAPACITY) -> tuple[list[tuple], int]:
     return entries, sequences
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """``pieces`` (a saved table with ``length`` from 1 to ``capacity``, ``salt`` and columns that order
-    pieces) with ``sequence_id`` and ``offset``, gapless in every sequence. An empty table stays empty.
+def pack(pieces: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """``pieces`` (a saved table with ``length`` from 1 to ``capacity``, doc_id and piece) with
+    ``sequence_id`` and ``offset``, gapless in every sequence. An empty table stays empty.
+
+    Pieces are numbered inside (length, salt), a salt for about ``group_rows`` pieces of a length, so that
+    a length that most pieces have is many tasks' work. Pieces equal in doc_id, piece and length may take
+    each other's places.
 
     The plan has an entry for each pattern and length in it: a few ten thousand at most, since the
     histogram has ``capacity`` bins, so it is broadcast whatever the number of pieces."""
@@ -154,19 +163,18 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         hist[length] = n
     entries, _ = plan(hist, capacity)
     entries = spark.createDataFrame(entries, "length long, lo long, hi long, first_seq long, at long, times int")
-    group = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    bases = pieces.groupBy("length", "salt").count().withColumn("base", F.coalesce(F.sum("count").over(group), F.lit(0))).drop("count")
-    inside = Window.partitionBy("length", "salt").orderBy("doc_id", "piece")
-    numbered = (
-        pieces.withColumn("j", F.row_number().over(inside) - 1)
-        .join(F.broadcast(bases), ["length", "salt"])  # capacity * SALTS rows at most
-        .withColumn("j", F.col("j") + F.col("base"))
-    )
-    i = F.col("j") - F.col("lo")
+    salts = F.lit((-(-np.maximum(hist, 1) // group_rows)).tolist()).cast("array<long>")  # ``capacity`` numbers
+    salt = F.pmod(F.xxhash64("doc_id", "piece", "start"), F.element_at(salts, F.col("length").cast("int") + 1))
+    salted = save(pieces.withColumn("__salt", salt), "salted")
+    group = Window.partitionBy("length").orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)
+    bases = salted.groupBy("length", "__salt").count().withColumn("__base", F.coalesce(F.sum("count").over(group), F.lit(0))).drop("count")
+    inside = Window.partitionBy("length", "__salt").orderBy("doc_id", "piece")
+    numbered = salted.withColumn("__j", F.row_number().over(inside) - 1).join(bases, ["length", "__salt"]).withColumn("__j", F.col("__j") + F.col("__base"))
+    i = F.col("__j") - F.col("lo")
     turn = (i - i % F.col("times")) / F.col("times")
     return (
         numbered.join(F.broadcast(entries), "length")
-        .filter((F.col("j") >= F.col("lo")) & (F.col("j") < F.col("hi")))
+        .filter((F.col("__j") >= F.col("lo")) & (F.col("__j") < F.col("hi")))
         .withColumn("sequence_id", F.col("first_seq") + turn.cast("long"))
         .withColumn("offset", F.col("at") + i % F.col("times") * F.col("length"))
         .select(*pieces.columns, "sequence_id", "offset")
@@ -176,6 +184,4 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 def packed_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
     """Pieces of ``docs`` with their places: doc_id, piece, start, length, ids_crc32, sequence_id,
     offset. The ids themselves stay in the tasks; ``cut_pieces`` gives them."""
-    pieces = cut_pieces(docs, tokenizer, capacity=capacity)
-    pieces = save(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "salt"), "pieces")
-    return pack(pieces, capacity).drop("salt")
+    return pack(save(cut_pieces(docs, tokenizer, capacity=capacity), "pieces"), capacity)

@@ -20,7 +20,7 @@ MARK = r"!-/:-@\[-`{-~"
 KEPT = re.compile(f"[{SPACE_CLASS}]*[{LETTER}]+(?=[{SPACE_CLASS}{MARK}]|$)|[{SPACE_CLASS}]*[^{SPACE_CLASS}]+|[{SPACE_CLASS}]+")
 DROPPED = re.compile(f"[{LETTER}]+(?=[{SPACE_CLASS}{MARK}]|$)|[^{SPACE_CLASS}]+")
 SPACED = re.compile(f"[{SPACE_CLASS}](?s:.)*[^{SPACE_CLASS}]$")  # starts with white space and ends with none
-CACHE_ROWS, CACHE_CHUNK = 600_000, 48
+CACHE_ROWS, CACHE_CHUNK = 200_000, 48
 
 
 class Encoder:
@@ -60,7 +60,7 @@ class Encoder:
                 got[c] = ids[lo * width : hi * width]
         return got
 
-    def batches(self, texts: list, most: int = 3_000_000):
+    def batches(self, texts: list, most: int = 1_000_000):
         """The ids of each text, as bytes; about ``most`` bytes of text are cut into chunks at a time."""
         held, size = [], 0
         for text in texts:
@@ -87,8 +87,14 @@ _ENCODERS: dict[tuple, Encoder] = {}
 
 
 def encoder(path: str, keeps_space: bool, width: int = 4) -> Encoder:
-    """The encoder of this Python worker; it lives as long as the worker does."""
+    """The encoder of this Python worker, made once for a task."""
     key = (path, keeps_space, width)
     if key not in _ENCODERS:
         _ENCODERS[key] = Encoder(path, keeps_space, width)
     return _ENCODERS[key]
+
+
+def forget_encoders() -> None:
+    """Drop the vocabularies and what was learned at the end of a task: the worker lives on, and its next
+    task may be of another kind."""
+    _ENCODERS.clear()
