@@ -20,38 +20,39 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import files, new_path, save
-from .tokens import encoder
+from .common import blocks_for, files, new_path, release_memory, save, slices, steady_heap, text_bytes
+from .tokens import encoder, forget_encoders
 
+PART_BYTES, MOST_PARTS = 64_000_000, 100_000  # text of a part file
 NULL_ID = -(2**63)  # a null document id in .doc; sorts first
 MANIFEST = "part long, uri string, width int, n_docs long, n_ids long"
 
 
-def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, keeps_space: bool = True, width: int = 2, folder: str | None = None) -> DataFrame:
+def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, keeps_space: bool = True, width: int = 2, folder: str | None = None, part_bytes: int = PART_BYTES) -> DataFrame:
     """Encode ``docs`` (doc_id, text) into part files; the manifest (a row per part) is returned, with
     ``base``. Null texts are empty: their document is the end id alone. Rows with equal ids stay
     separate documents, next to each other."""
     folder = folder or new_path(docs.sparkSession, "token-ids")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        steady_heap()
         code, end = encoder(tokenizer, keeps_space, width), np.array([end_id], f"<u{width}").tobytes()
         store, root = files(folder)
         name, n_docs, n_ids, out = uuid.uuid4().hex, 0, 0, None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for doc_ids, texts in (part for batch in batches for part in slices(batch)):
             if out is None:
                 store.create_dir(root, recursive=True)
                 out = [store.open_output_stream(f"{root}/{name}{x}", compression=None) for x in (".bin", ".idx", ".doc")]
-            ids = batch.column(0).fill_null(NULL_ID).to_numpy(zero_copy_only=False).astype("<i8")
-            starts = np.zeros(batch.num_rows, "<i8")
-            for i, got in enumerate(code.batches(batch.column(1).cast(pa.binary()).to_pylist())):
+            starts = np.zeros(len(texts), "<i8")
+            for i, got in enumerate(code.batches(texts)):
                 out[0].write(got + end)
                 starts[i] = n_ids
                 n_ids += len(got) // width + 1
             out[1].write(starts.tobytes())
-            out[2].write(ids.tobytes())
-            n_docs += batch.num_rows
+            out[2].write(doc_ids.fill_null(NULL_ID).to_numpy(zero_copy_only=False).astype("<i8").tobytes())
+            n_docs += len(texts)
+        forget_encoders()
+        release_memory()
         if out is None:
             return
         out[1].write(np.array([n_ids], "<i8").tobytes())
@@ -60,10 +61,13 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, keeps_space: bool
         row = [[TaskContext.get().partitionId()], [f"{folder}/{name}"], [width], [n_docs], [n_ids]]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, (pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64()))], names=["part", "uri", "width", "n_docs", "n_ids"])
 
+    total = text_bytes(docs)
+    # parts of ``part_bytes`` of text; smaller ones where there are too few for the cores, down to 1 MB
+    parts = blocks_for(total, min(part_bytes, max(1_000_000, total / docs.sparkSession.sparkContext.defaultParallelism)), MOST_PARTS)
     # Equal ids can still be dealt to several parts, by their text and place in the input.
     ranged = (
         docs.select("doc_id", "text", F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("m"))
-        .repartitionByRange(F.col("doc_id").asc_nulls_first(), "h", "m")
+        .repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), "h", "m")
         .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "h", "m")
     )
     manifest = save(ranged.select("doc_id", "text").mapInArrow(write, MANIFEST), "token-manifest")
