@@ -8,11 +8,13 @@ document id that holds it. Windows of larger ids come back as word spans, which
 
 Texts go to the buckets packed and compressed, each distinct string of a task's batch once with the list
 of places it occurs at. A sizing pass comes first: buckets are made for the corpus size, and a bucket
-beyond ``HOT_BYTES`` (a minimiser that a large share of documents hold) is handled window by window with
-an aggregate that combines before the shuffle and a join that Spark splits where it is skewed.
+beyond ``HOT`` times the mean (a minimiser that a large share of documents hold) is handled window by window
+with an aggregate that combines before the shuffle and a join that Spark splits where it is skewed. Tasks
+hold which buckets are hot as a bit for each bucket.
 
-Rows: windows belong to the row they are read from; (doc_id, CRC-32 of the text) names it on the way. Rows with a null id neither lose words nor make
-others lose any. Rows that share an id don't affect each other. Null and empty texts have no words.
+Rows: windows belong to the row they are read from; (doc_id, 64-bit hash of the text) names it on the way,
+so rows alike in both lose the same words. Rows with a null id neither lose words nor make others lose
+any. Rows that share an id don't affect each other. Null and empty texts have no words.
 """
 
 from __future__ import annotations
@@ -23,14 +25,17 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks_for, save, text_bytes
+from .common import blocks_for, byte_texts, release_memory, save, steady_heap, text_bytes
 from .wordhash import BASE, gram_hashes, sliding_min, word_hashes
 
 WORDS, GRAM = 13, 3
-BUCKET_BYTES, MOST_BUCKETS, HOT_BYTES, FLUSH_BYTES = 16_000_000, 1_000_000, 64_000_000, 16_000_000
+BUCKET_BYTES, MOST_BUCKETS, HOT, FLUSH_BYTES = 12_000_000, 1 << 27, 4.0, 16_000_000
+GROWTH = 4.0  # bytes of super-k-mers for a byte of text, about
+TASK_BYTES, MOST_TASKS = 48_000_000, 200_000
 SPANS = "doc_id long, row_hash long, lo int, hi int"
 
 
@@ -44,10 +49,11 @@ def super_kmers(hashes: np.ndarray, k: int, m: int) -> tuple[np.ndarray, np.ndar
 def _documents(batches: Iterator[pa.RecordBatch], k: int, m: int, buckets: int):
     """(doc_id, row hash, line, word starts, word ends, bucket, first, last) of every row with windows; a
     line is the row's words joined by one space."""
+    steady_heap()
     for batch in batches:
         for i in range(0, batch.num_rows, 256):
             part = batch.slice(i, 256)
-            for doc_id, row, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).cast(pa.binary()).to_pylist()):
+            for doc_id, row, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), byte_texts(part.column(2))):
                 line = b" ".join(text.split()) if text and doc_id is not None else b""
                 if line.count(b" ") >= k - 1:
                     starts, ends, hashes = word_hashes(line)
@@ -69,11 +75,31 @@ def bucket_sizes(docs: DataFrame, k: int, m: int, buckets: int) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({"bucket": list(total), "bytes": list(total.values())})
                 total = {}
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], names=["bucket", "bytes"])
+        release_memory()
 
     return docs.mapInArrow(size, "bucket long, bytes long").groupBy("bucket").agg(F.sum("bytes").alias("bytes"))
 
 
-def _packed(docs: DataFrame, k: int, m: int, buckets: int, skip: frozenset) -> DataFrame:
+class Hot:
+    """The hot ones of ``buckets``, as a bit each."""
+
+    def __init__(self, found: np.ndarray, buckets: int):
+        self.any, self.bits = bool(len(found)), np.zeros(-(-buckets // 8), np.uint8)
+        np.bitwise_or.at(self.bits, found >> 3, (1 << (found & 7)).astype(np.uint8))
+
+    def __call__(self, bucket: np.ndarray) -> np.ndarray:
+        bucket = bucket.astype(np.int64)
+        return (self.bits[bucket >> 3] >> (bucket & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def hot_buckets(docs: DataFrame, k: int, m: int, buckets: int, hot_bytes: float) -> Hot:
+    """Buckets of more than ``hot_bytes``. Their numbers reach the driver: no more than the bytes of all
+    buckets allow, so ``buckets / HOT`` where the bound is HOT times the mean."""
+    found = bucket_sizes(docs, k, m, buckets).filter(F.col("bytes") > hot_bytes).select("bucket").toArrow()
+    return Hot(found.column(0).to_numpy(), buckets)
+
+
+def _packed(docs: DataFrame, k: int, m: int, buckets: int, skip: Broadcast) -> DataFrame:
     """Super-k-mers by bucket: zstd of the distinct strings of a batch, how often each occurs, and the
     places (doc_id, row hash, first word)."""
 
@@ -87,18 +113,22 @@ def _packed(docs: DataFrame, k: int, m: int, buckets: int, skip: frozenset) -> D
                 rows[1].append(press.compress(b"\n".join(texts)))
                 rows[2].append(np.fromiter(map(len, texts.values()), "<i4", len(texts)).tobytes())
                 doc, row, first = np.array([p for places in texts.values() for p in places], np.int64).T
-                rows[3].append(press.compress(np.diff(doc, prepend=0).astype("<i8").tobytes() + row.astype("<u4").tobytes() + first.astype("<i4").tobytes()))
+                rows[3].append(press.compress(np.diff(doc, prepend=0).astype("<i8").tobytes() + row.astype("<i8").tobytes() + first.astype("<i4").tobytes()))
             return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), *(pa.array(x, pa.binary()) for x in rows[1:])], names=["bucket", "texts", "counts", "places"])
 
         for doc_id, row, line, starts, ends, bucket, lo, hi in _documents(batches, k, m, buckets):
+            if skip.value.any:
+                cold = ~skip.value(bucket)
+                bucket, lo, hi = bucket[cold], lo[cold], hi[cold]
             for b, s, e, first in zip(bucket.tolist(), starts[lo].tolist(), ends[hi + k - 2].tolist(), lo.tolist()):
-                if b not in skip:
-                    held.setdefault(b, {}).setdefault(line[s:e], []).append((doc_id, row, first))
-                    size += e - s + 24
+                held.setdefault(b, {}).setdefault(line[s:e], []).append((doc_id, row, first))
+                size += e - s + 24
             if size > FLUSH_BYTES:
                 yield flush()
                 held, size = {}, 0
         yield flush()
+        held.clear()
+        release_memory()
 
     return docs.mapInArrow(pack, "bucket long, texts binary, counts binary, places binary")
 
@@ -143,6 +173,7 @@ def _smallest(texts: list[bytes], owner_of: np.ndarray, k: int) -> tuple[np.ndar
 
 def _bucket_spans(k: int):
     def spans(t: pa.Table) -> pa.Table:
+        steady_heap()
         unpress, known, texts, of, places = zstandard.ZstdDecompressor(), {}, [], [], []
         for packed, counts, where in zip(t.column("texts").to_pylist(), t.column("counts").to_pylist(), t.column("places").to_pylist()):
             local = []
@@ -152,8 +183,8 @@ def _bucket_spans(k: int):
                 local.append(i)
             of.append(np.repeat(np.array(local, np.int64), np.frombuffer(counts, "<i4")))
             raw = unpress.decompress(where)
-            n = len(raw) // 16
-            columns = (np.cumsum(np.frombuffer(raw, "<i8", n)), np.frombuffer(raw, "<u4", n, 8 * n), np.frombuffer(raw, "<i4", n, 12 * n))
+            n = len(raw) // 20
+            columns = (np.cumsum(np.frombuffer(raw, "<i8", n)), np.frombuffer(raw, "<i8", n, 8 * n), np.frombuffer(raw, "<i4", n, 16 * n))
             places.append(np.stack([c.astype(np.int64) for c in columns]))
         known.clear()
         text_of, (doc, row, first) = np.concatenate(of), np.concatenate(places, axis=1)
@@ -180,7 +211,7 @@ def _bucket_spans(k: int):
     return spans
 
 
-def _hot_spans(docs: DataFrame, k: int, m: int, buckets: int, hot: frozenset) -> DataFrame:
+def _hot_spans(docs: DataFrame, k: int, m: int, buckets: int, hot: Broadcast) -> DataFrame:
     """The same spans for the hot buckets, a row per window: minimum by window text, joined back."""
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,9 +219,10 @@ def _hot_spans(docs: DataFrame, k: int, m: int, buckets: int, hot: frozenset) ->
         names = ["window", "doc_id", "row_hash", "lo"]
         kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int32())
         for doc_id, row, line, _, _, bucket, lo, hi in _documents(batches, k, m, buckets):
-            words = line.split(b" ")
-            for b, first, last in zip(bucket.tolist(), lo.tolist(), hi.tolist()):
-                for i in range(first, last) if b in hot else ():
+            own = hot.value(bucket)
+            words = line.split(b" ") if own.any() else []
+            for first, last in zip(lo[own].tolist(), hi[own].tolist()):
+                for i in range(first, last):
                     for column, value in zip(rows, (b" ".join(words[i : i + k]), doc_id, row, i)):
                         column.append(value)
             if len(rows[0]) > 20_000:
@@ -203,25 +235,29 @@ def _hot_spans(docs: DataFrame, k: int, m: int, buckets: int, hot: frozenset) ->
     return found.join(least, "window").filter("doc_id > least").select("doc_id", "row_hash", "lo", (F.col("lo") + k).alias("hi"))
 
 
-def repeated_spans(docs: DataFrame, k: int = WORDS, m: int = GRAM, bucket_bytes: int = BUCKET_BYTES, hot_bytes: int = HOT_BYTES) -> DataFrame:
+def repeated_spans(docs: DataFrame, k: int = WORDS, m: int = GRAM, bucket_bytes: int = BUCKET_BYTES, hot: float = HOT, most_buckets: int = MOST_BUCKETS) -> DataFrame:
     """Word spans [lo, hi) of ``docs`` (doc_id, row_hash, text) whose windows also start in a document of
-    smaller id. Spans may overlap."""
-    buckets = blocks_for(4.0 * text_bytes(docs), bucket_bytes, MOST_BUCKETS)
-    # At most MOST_BUCKETS rows, and only those beyond hot_bytes (a constant share of the corpus each).
-    hot = frozenset(r[0] for r in bucket_sizes(docs, k, m, buckets).filter(F.col("bytes") > hot_bytes).select("bucket").collect())
-    spans = _packed(docs, k, m, buckets, hot).groupBy("bucket").applyInArrow(_bucket_spans(k), SPANS)
-    return spans.unionByName(_hot_spans(docs, k, m, buckets, hot)) if hot else spans
-
-
-def without_repeats(docs: DataFrame, k: int = WORDS, m: int = GRAM, **sizes: int) -> DataFrame:
+    smaller id. Spans may overlap. A bucket is hot beyond ``hot`` times the mean, or ``bucket_bytes`` if
+    that is more, so that the share of hot buckets doesn't depend on the size of the corpus."""
+    sc, total = docs.sparkSession.sparkContext, GROWTH * text_bytes(docs)
+    buckets = blocks_for(total, bucket_bytes, most_buckets)
+    bits = hot_buckets(docs, k, m, buckets, hot * max(bucket_bytes, total / buckets))
+    shared = sc.broadcast(bits)  # a bit for each bucket: 16 MB at most
+    tasks = max(blocks_for(total, TASK_BYTES, MOST_TASKS), min(buckets, sc.defaultParallelism))
+    spans = _packed(docs, k, m, buckets, shared).repartition(tasks, "bucket").groupBy("bucket").applyInArrow(_bucket_spans(k), SPANS)
+    return spans.unionByName(_hot_spans(docs, k, m, buckets, shared)) if bits.any else spans
+
+
+def without_repeats(docs: DataFrame, k: int = WORDS, m: int = GRAM, **sizes: float) -> DataFrame:
     """``docs`` (with ``doc_id`` and ``text``) and, for each row, ``n_words``, ``n_removed`` and
     ``kept_text``: the words that no repeated window covers, joined by one space."""
-    taken = docs.drop("n_words", "n_removed", "kept_text", "row_hash", "__spans").withColumn("row_hash", F.crc32(F.coalesce("text", F.lit(""))))
+    taken = docs.drop("n_words", "n_removed", "kept_text", "row_hash", "__spans").withColumn("row_hash", F.xxhash64("text"))
     narrow = taken.select(F.col("doc_id").cast("long").alias("doc_id"), "row_hash", "text")
     spans = save(repeated_spans(narrow, k, m, **sizes), "repeated-spans")
     spans = spans.distinct().groupBy("doc_id", "row_hash").agg(F.collect_list(F.struct("lo", "hi")).alias("__spans"))
 
     def keep(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
+        steady_heap()
         rows = []
         for text, found in zip(texts, spans):
             words = (text or "").encode().split()
