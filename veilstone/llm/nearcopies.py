@@ -1,17 +1,21 @@
-"""Near copies by the exact Jaccard similarity of word shingles, for deduplication stages.
+"""Near copies by the exact Jaccard similarity of word shingles: the form of the SimHash operator that
+deduplication stages use.
 
 Words are split and lower-cased as in ``simhash``; a text's shingles are its runs of ``shingle`` words (all
-its words if it has fewer), as a set. Two texts link at similarity ``least`` or more. No SimHash radius
-guarantees a similarity, so candidates come from a prefix filter, which loses none: with the shingles of
-all texts in one order, two linked texts share a shingle among the first n - ceil(least * n) + 1 of the
-larger set and the first n - ceil(2 * least / (1 + least) * n) + 1 of the smaller one. Any order is
-right; shingles that are common in a sample stand last, so that few texts meet at a key. Candidates of
-fitting sizes and places are compared over the words themselves.
+its words if it has fewer), as a set. Two texts link at similarity ``least`` or more. The pigeonring join
+of ``simhash`` proposes the first pairs, from fingerprints of the shingle sets. No radius that its keys can
+serve guarantees a similarity (0.8 is about 10 bits away), so a prefix filter, which loses none, proposes
+the rest: with the shingles of all texts in one order, two linked texts share a shingle among the first
+n - ceil(least * n) + 1 of the larger set and the first n - ceil(2 * least / (1 + least) * n) + 1 of the
+smaller one. Any order is right; shingles that are common in a sample stand last, so that few texts meet at
+a key. Candidates whose fingerprints differ in more than FAR bits are dropped: pairs of similarity 0.8 lie
+five deviations or more below that. The others are compared over the words themselves.
 
 Texts with the same shingles are one node (a 128-bit digest of the sorted 64-bit shingle hashes), so exact
-copies are never paired. Each key's texts are first compared with a few of them; then only texts that are
-not yet connected meet, at keys that hold more than one component. A tight group thus costs rows in about
-proportion to its size; a loose one, of which few are linked with the few, costs its pairs.
+copies are never paired. Once the first links have joined texts, each key's texts are compared with a few
+of them; then only texts that are not yet connected meet, at keys that hold more than one component. A
+tight group thus costs rows in about proportion to its size; a loose one, of which few are linked with the
+few, costs its pairs.
 """
 
 from __future__ import annotations
@@ -25,14 +29,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import save
+from . import simhash
+from .common import byte_texts, release_memory, save, steady_heap
 from .components import components
 from .simhash import LOWER
-from .wordhash import gram_hashes, word_hashes
+from .wordhash import gram_hashes, mixed, word_hashes
 
 SHINGLE, SIMILARITY = 5, 0.8
 SAMPLE, MOST_COMMON = 20_000, 200_000  # they set the order of shingles, so the work, not the result
 TINY = 1e-9
+FAR = 28  # bits; at similarity 0.8 fingerprints differ in about 10 (12 in the smallest sets) with a deviation of 3
+ADDED = ("component_id", "kept", "__row", "__digest", "__print")
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -50,24 +57,38 @@ def shingle_hashes(text: bytes | None, k: int = SHINGLE) -> np.ndarray:
     return np.unique(gram_hashes(word_hashes(b" ".join(words))[2], min(k, len(words)))) if words else np.zeros(0, np.uint64)
 
 
+def set_print(hashes: np.ndarray) -> int:
+    """Signed 64-bit SimHash of a set of shingle hashes; 0 for none."""
+    counts = np.zeros(64, np.int64)
+    for i in range(0, len(hashes), 65536):
+        part = mixed(hashes[i : i + 65536])
+        counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    return int(np.packbits(counts * 2 > len(hashes)).view("<i8")[0])
+
+
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list]]:
-    """Small parts of the batches, with the last column as bytes."""
+    """Small parts of the batches, and their texts as bytes."""
+    steady_heap()
     for batch in batches:
         for i in range(0, batch.num_rows, 256):
             part = batch.slice(i, 256)
-            yield part, part.column(part.num_columns - 1).cast(pa.binary()).to_pylist()
+            yield part, list(byte_texts(part.column("text")))
 
 
 def _marked(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, digest, text, row) of every row."""
+    """``docs`` with __row, __digest (of the shingle set) and __print (its fingerprint), saved."""
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in _texts(batches):
-            got = [xxhash.xxh3_128_digest(shingle_hashes(t, k).tobytes()) for t in texts]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(got, pa.binary()), part.column(1)], names=["doc_id", "digest", "text"])
+            held = [shingle_hashes(t, k) for t in texts]
+            made = [pa.array([xxhash.xxh3_128_digest(h.tobytes()) for h in held], pa.binary()), pa.array(list(map(set_print, held)), pa.int64())]
+            yield pa.RecordBatch.from_arrays([*part.columns, *made], names=[*part.schema.names, "__digest", "__print"])
+        release_memory()
 
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return save(narrow.mapInArrow(mark, "doc_id long, digest binary, text string").withColumn("row", F.monotonically_increasing_id()), "near-rows")
+    taken = docs.select(*[c for c in docs.columns if c not in ADDED])
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in taken.schema)
+    made = taken.mapInArrow(mark, f"{kinds}, __digest binary, __print long")
+    return save(made.withColumn("__row", F.monotonically_increasing_id()), "near-rows")
 
 
 def _common(texts: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -80,7 +101,7 @@ def _common(texts: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
             hashes = np.concatenate([shingle_hashes(t, k) for t in held]) if held else np.zeros(0, np.uint64)
             yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64), pa.int64())], names=["key"])
 
-    sample = texts.filter(F.pmod(F.xxhash64("id"), F.lit(step)) == 0).select("text")
+    sample = texts.filter(F.pmod(F.xxhash64("id"), F.lit(step)) == 0).select("id", "text")
     found = sample.mapInArrow(each, "key long").groupBy("key").count().filter("count > 2").orderBy(F.desc("count"), "key").limit(MOST_COMMON).toArrow()
     keys, counts = found.column(0).to_numpy().astype(np.int64).view(np.uint64), found.column(1).to_numpy()
     order = np.argsort(keys)
@@ -88,14 +109,14 @@ def _common(texts: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _keys(texts: DataFrame, k: int, least: float) -> DataFrame:
-    """The first shingles of each of ``texts`` (id, text): (key, id, n, pos, indexed)."""
+    """The first shingles of each of ``texts`` (id, print, text): (key, id, print, n, pos, indexed)."""
     shared = texts.sparkSession.sparkContext.broadcast(_common(texts, k))
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, counts = shared.value
         for part, held in _texts(batches):
-            columns: list[list[np.ndarray]] = [[], [], [], [], []]
-            for node, text in zip(part.column(0).to_pylist(), held):
+            columns: list[list[np.ndarray]] = [[], [], [], [], [], []]
+            for node, own_print, text in zip(part.column("id").to_pylist(), part.column("print").to_pylist(), held):
                 own = shingle_hashes(text, k)
                 if not (n := len(own)):
                     continue
@@ -105,28 +126,34 @@ def _keys(texts: DataFrame, k: int, least: float) -> DataFrame:
                 size = n - math.ceil(least * n - TINY) + 1
                 pos = np.arange(size)
                 indexed = pos < n - math.ceil(2 * least / (1 + least) * n - TINY) + 1
-                for column, value in zip(columns, (own[:size].view(np.int64), np.full(size, node), np.full(size, n), pos, indexed)):
+                for column, value in zip(columns, (own[:size].view(np.int64), np.full(size, node), np.full(size, own_print), np.full(size, n), pos, indexed)):
                     column.append(value)
-            kinds = (np.int64, np.int64, np.int32, np.int32, bool)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(t) if c else np.zeros(0, t)) for c, t in zip(columns, kinds)], names=["key", "id", "n", "pos", "indexed"])
+            kinds = (np.int64, np.int64, np.int64, np.int32, np.int32, bool)
+            made = [pa.array(np.concatenate(c).astype(t) if c else np.zeros(0, t)) for c, t in zip(columns, kinds)]
+            yield pa.RecordBatch.from_arrays(made, names=["key", "id", "print", "n", "pos", "indexed"])
 
-    return texts.mapInArrow(first, "key long, id long, n int, pos int, indexed boolean")
+    return texts.mapInArrow(first, "key long, id long, print long, n int, pos int, indexed boolean")
 
 
-def _fits(n: Column, pos: Column, m: Column, at: Column, least: float) -> Column:
-    """Whether sets of n and m shingles whose first common one is at pos and at can be similar enough."""
+def _fits(x: str, y: str, least: float) -> Column:
+    """Whether the sets of rows x and y that meet at a key can be similar enough: by their sizes, by what can
+    follow the key, and by FAR bits of their fingerprints."""
+    n, m, pos, at = F.col(f"{x}n"), F.col(f"{y}n"), F.col(f"{x}pos"), F.col(f"{y}pos")
     most = F.least(n - pos, m - at)
-    return (F.least(n, m) >= least * F.greatest(n, m) - TINY) & (most >= least / (1 + least) * (n + m) - TINY)
+    bits = F.bit_count(F.col(f"{x}print").bitwiseXOR(F.col(f"{y}print")))
+    return (F.least(n, m) >= least * F.greatest(n, m) - TINY) & (most >= least / (1 + least) * (n + m) - TINY) & (bits <= FAR)
 
 
 def _similar(pairs: DataFrame, texts: DataFrame, k: int, least: float) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose texts are similar, compared over the words themselves."""
+    """Those of ``pairs`` (a, b) whose texts are similar, compared over the words themselves. Only their texts
+    move."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        steady_heap()
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part, kept, last, x = batch.slice(i, 256), [], None, set()
-                left, right = (part.column(c).cast(pa.binary()).to_pylist() for c in (2, 3))
+                left, right = (byte_texts(part.column(c)) for c in (2, 3))
                 for n, (s, t) in enumerate(zip(left, right)):
                     if s != last:
                         last, x = s, shingles(s, k)
@@ -136,55 +163,74 @@ def _similar(pairs: DataFrame, texts: DataFrame, k: int, least: float) -> DataFr
                         kept.append(n)
                 got = part.take(pa.array(kept, pa.int64()))
                 yield pa.RecordBatch.from_arrays([got.column(0), got.column(1)], names=["a", "b"])
+        release_memory()
 
-    a = texts.select(F.col("id").alias("a"), F.col("text").alias("s"))
-    b = texts.select(F.col("id").alias("b"), F.col("text").alias("t"))
-    both = pairs.join(a, "a").join(b, "b").select("a", "b", "s", "t")
+    near = save(pairs.select("a", "b"), "near-pairs")
+    ids = save(near.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "near-ids")
+    wanted = texts.join(ids, "id", "left_semi")
+    s, t = (wanted.select(F.col("id").alias(c), F.col("text").alias(n)) for c, n in (("a", "s"), ("b", "t")))
+    both = near.join(s, "a").join(t, "b").select("a", "b", "s", "t")
     return save(both.mapInArrow(compare, "a long, b long"), "similar")
 
 
 def _unconnected(hits: DataFrame, links: DataFrame) -> DataFrame:
     """``hits`` with their root over ``links``, at the keys that still hold several roots."""
-    known = save(hits.join(components(links), "id", "left").withColumn("root", F.coalesce("root", "id")), "near-roots")
+    roots = save(components(links), "near-roots")
+    known = hits.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     mixed = known.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).filter("r < s").select("key")
     return save(known.join(mixed, "key"), "near-open")
 
 
 def _to_centres(hits: DataFrame, seeds: tuple[int, ...], least: float) -> DataFrame:
-    """Candidates (a, b) of each key's nodes with one node of the key for each of ``seeds``. An order of
-    the ids by hash picks it, the same for all keys, so that a group has few of them."""
-    names, order = ("id", "n", "pos", "root"), {i: F.xxhash64("id", F.lit(i)) for i in seeds}
-    picked = hits.groupBy("key").agg(*[F.min_by(c, order[i]).alias(f"{c}_{i}") for i in seeds for c in names])
-    centres = F.explode(F.array(*[F.struct(*[F.col(f"{c}_{i}").alias(c) for c in names]) for i in seeds])).alias("c")
-    met = hits.join(picked, "key").select(*names, centres).filter(F.col("root") != F.col("c.root"))
-    fits = _fits(F.col("n"), F.col("pos"), F.col("c.n"), F.col("c.pos"), least)
-    return met.filter(fits).select(F.least("id", "c.id").alias("a"), F.greatest("id", "c.id").alias("b")).distinct()
-
-
-def near_copies(docs: DataFrame, least: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, component_id) for every row of ``docs`` (doc_id, text); component_id is the smallest
-    doc_id reachable over links. Texts without words are one node. A null doc_id takes part but is never
-    the smallest; a component of null ids alone has a null component_id."""
+    """Candidates (a, b): each node with one node of its keys for each of ``seeds``. An order of the ids by
+    hash picks a centre of each key, and the first of the centres that fit for each node, so there are no
+    more candidates than nodes times seeds."""
+    names, order = ("id", "print", "n", "pos", "root"), {i: F.xxhash64("id", F.lit(i)) for i in seeds}
+    picked = hits.groupBy("key").agg(*[F.min_by(F.struct(*names), order[i]).alias(f"c{i}") for i in seeds])
+    centres = F.explode(F.array(*[F.struct(F.lit(i).alias("seed"), *[F.col(f"c{i}.{c}").alias(c) for c in names]) for i in seeds])).alias("c")
+    met = hits.join(picked, "key").select(*names, centres).filter(F.col("root") != F.col("c.root")).filter(_fits("", "c.", least))
+    best = met.groupBy("id", "c.seed").agg(F.min_by("c.id", F.xxhash64("c.id", "c.seed")).alias("centre"))
+    return best.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
+
+
+def _by_print(nodes: DataFrame, radius: int) -> DataFrame:
+    """Candidates (a, b) of ``nodes`` (id, print): the nodes of one fingerprint with one of them, and the
+    pigeonring's links to centres, for one node of each fingerprint."""
+    prints = save(nodes.groupBy("print").agg(F.min("id").alias("rep")), "near-prints")
+    same = nodes.join(prints, "print").filter("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
+    links = simhash.to_centres(simhash.meetings(prints.select(F.col("print").alias("fingerprint")), radius), radius)
+    a, b = (prints.select(F.col("print").alias(c), F.col("rep").alias(f"id_{c}")) for c in ("a", "b"))
+    named = links.join(a, "a").join(b, "b").select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+    return same.unionByName(named).distinct()
+
+
+def near_copies(docs: DataFrame, least: float = SIMILARITY, shingle: int = SHINGLE, radius: int = simhash.RADIUS) -> DataFrame:
+    """``docs`` (with doc_id and text) with ``component_id``, the smallest doc_id reachable over links, and
+    ``kept``, true for one row of each component: the one of smallest doc_id, null ids last, the first such
+    row. Texts without words are one node. Repeated rows and rows that share an id are rows of their own,
+    of which at most one is kept; a component of null ids alone has a null component_id."""
     marked = _marked(docs, shingle)
-    nodes = save(marked.groupBy("digest").agg(F.min("row").alias("id"), F.min("doc_id").alias("first")), "near-nodes")
-    copies = marked.select("row", "digest").join(nodes.select("digest", "id"), "digest").filter("row <> id").select("row")
-    texts = marked.join(save(copies, "near-exact"), "row", "left_anti").select(F.col("row").alias("id"), "text")
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("__row").alias("row"))
+    nodes = save(marked.groupBy("__digest").agg(F.min("__row").alias("id"), F.min(rank).alias("first"), F.min("__print").alias("print")), "near-nodes")
+    first = nodes.select("__digest", "id")
+    copies = save(marked.select("__row", "__digest").join(first, "__digest").filter("__row <> id").select(F.col("__row").alias("id")), "near-exact")
+    texts = marked.select(F.col("__row").alias("id"), F.col("__print").alias("print"), "text").join(copies, "id", "left_anti")
 
+    links = _similar(_by_print(nodes.select("id", "print"), radius), texts, shingle, least)
     keys = save(_keys(texts, shingle, least), "near-keys")
     shared = keys.groupBy("key").agg(F.min("id").alias("r"), F.max("id").alias("s")).filter("r < s").select("key")
     hits = save(keys.join(shared, "key"), "near-hits")
-    links = _similar(_to_centres(hits.withColumn("root", F.col("id")), (1,), least), texts, shingle, least)
-    more = _similar(_to_centres(_unconnected(hits, links), (2, 3, 4), least), texts, shingle, least)
-    links = links.unionByName(more)
+    links = links.unionByName(_similar(_to_centres(_unconnected(hits, links), (1, 2, 3), least), texts, shingle, least))
     open_ = _unconnected(hits, links)
     x, y = open_.alias("x"), open_.filter("indexed").alias("y")
     smaller = (F.col("y.n") < F.col("x.n")) | ((F.col("y.n") == F.col("x.n")) & (F.col("y.id") < F.col("x.id")))
-    fits = _fits(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"), least)
+    fits = _fits("x.", "y.", least)
     met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & smaller & fits)
     more = _similar(met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), texts, shingle, least)
 
     roots = components(links.unionByName(more))
     grouped = nodes.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    smallest = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = save(grouped.join(smallest, "root").select("digest", "component_id"), "near-named")
-    return marked.select("doc_id", "digest").join(named, "digest").select("doc_id", "component_id")
+    smallest = grouped.groupBy("root").agg(F.min("first").alias("best"))
+    named = grouped.join(smallest, "root").select("__digest", F.col("best.doc_id").alias("component_id"), F.col("best.row").alias("__best"))
+    out = marked.join(save(named, "near-named"), "__digest").withColumn("kept", F.col("__row") == F.col("__best"))
+    return out.select(*[c for c in marked.columns if c not in ADDED], "component_id", "kept")
