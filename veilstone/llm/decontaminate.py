@@ -26,21 +26,20 @@ from __future__ import annotations
 import string
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import accumulate, combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks_for, byte_texts, release_memory, save
+from .common import blocks_for, byte_texts, release_memory, save, steady_heap
 from .wordhash import gram_hashes, mixed, word_hashes
 
 SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 15
 BLOCKS, GROUP = 4, 8
-ITEMS_AT_ONCE, MOST_ITEMS = 1000, 4_000_000  # tables of a task: 4 to 32 kB an item; broadcast: 20 bytes an item
-STRETCH, TEXT_BYTES = 16384, 500_000
-BIT = np.uint8(1) << np.arange(8, dtype=np.uint8)
+ITEMS_AT_ONCE, MOST_ITEMS = 256, 4_000_000  # tables of a task: 256 kB an item at most; broadcast: 20 bytes an item
+STRETCH, TEXT_BYTES = 32768, 1_000_000
 HITS = "doc_id long, item_id long, first_word int, n_words int, bits int, similarity double"
 #: Byte table: A-Z to lower case, all that is no letter, digit or non-ASCII byte to a space.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b) in string.ascii_lowercase + string.digits else 32 for b in range(256))
@@ -89,29 +88,26 @@ def flips(bits: int) -> np.ndarray:
 
 
 class MultiIndex:
-    """Block tables of some items of one size, GROUP items to a table: a bit of ``tables[g, block]`` for each
-    value of the block, set if the block of an item of group g is within ``radius // 4`` bits of it."""
+    """Block tables of some items of one size, GROUP items to a table: ``tables[g, block, value]`` says whether
+    the block of an item of group g is within ``radius // 4`` bits of the value."""
 
     def __init__(self, numbers: np.ndarray, prints: np.ndarray, radius: int):
         self.numbers, self.prints, self.radius = numbers, prints, radius
         near, blocks = flips(radius // BLOCKS), prints.view(np.uint16).reshape(-1, BLOCKS)
-        self.tables = np.zeros((-(-len(prints) // GROUP), BLOCKS, 1 << 13), np.uint8)
+        self.tables = np.zeros((-(-len(prints) // GROUP), BLOCKS, 1 << 16), bool)
         for i in range(0, len(prints), GROUP):
             for block in range(BLOCKS):
-                set_ = np.zeros(1 << 16, bool)
                 for value in blocks[i : i + GROUP, block]:
-                    set_[value ^ near] = True
-                self.tables[i // GROUP, block] = np.packbits(set_, bitorder="little")
+                    self.tables[i // GROUP, block][value ^ near] = True
 
     def find(self, prints: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(item number, rows of ``prints`` within the radius, their differing bits), items with any."""
-        blocks = prints.view(np.uint16).reshape(-1, BLOCKS).T
-        places, bits = [(b >> 3).astype(np.intp) for b in blocks], [BIT.take(b & 7) for b in blocks]
+        blocks = prints.view(np.uint16).reshape(-1, BLOCKS).T.astype(np.intp)
         for g, tables in enumerate(self.tables):
-            held = np.zeros(len(prints), np.uint8)
-            for table, place, bit in zip(tables, places, bits):
-                held |= table.take(place) & bit
-            at = np.flatnonzero(held != 0)
+            held = tables[0].take(blocks[0])
+            for table, values in zip(tables[1:], blocks[1:]):
+                held |= table.take(values)
+            at = np.flatnonzero(held)
             close = prints[at]
             for i in range(g * GROUP, min(len(self.prints), (g + 1) * GROUP)):
                 differ = np.bitwise_count(close ^ self.prints[i])
@@ -189,6 +185,7 @@ def candidates(docs: DataFrame, items: DataFrame, radius: int) -> DataFrame:
     shared = spark.sparkContext.broadcast((got.column(0).to_numpy().astype(np.int32), got.column(1).to_numpy(), got.column(2).to_numpy().astype(np.int64).view(np.uint64)))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        steady_heap()
         parts = -(-len(shared.value[0]) // ITEMS_AT_ONCE)
         cuts = [tuple(np.array_split(c, parts)[p] for c in shared.value) for p in range(parts)]
         only = Scanner(*cuts[0], radius) if parts == 1 else None
@@ -241,10 +238,15 @@ def _verified(least: float):
                 for r in batch.slice(i, 256).to_pylist():
                     own = words_of(r["item_text"].encode())
                     k, best = min(SHINGLE, len(own)), None
+                    item = {tuple(own[j : j + k]) for j in range(len(own) - k + 1)}
                     for first, last, text in zip(r["firsts"], r["lasts"], r["texts"]):
                         words = text.split(b" ")
                         size = len(words) - (last - first)
+                        # shingles of the item up to each place: no window can have more in common
+                        shared = [0, *accumulate(tuple(words[j : j + k]) in item for j in range(len(words) - k + 1))]
                         for s in range(last - first + 1):
+                            if shared[s + size - k + 1] - shared[s] < least / (1 + least) * (size + len(own) - 2 * k + 2) - 1e-9:
+                                continue
                             got = similarity(words[s : s + size], own, k)
                             if got >= least and (best is None or got > best[2]):
                                 best = (first + s, size, got, words[s : s + size])
