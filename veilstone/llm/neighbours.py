@@ -10,7 +10,8 @@ vectors, about half for vectors without structure.
 
 Of equal vectors only the k+1 of smallest id can be among a query's k nearest, so no more are kept: the
 limit per vector works before the shuffle, and many copies of one vector don't meet. Equal query vectors
-are searched once. Large cells are ranked in blocks of ``BLOCK`` entries.
+are searched once. Cells are ranked in blocks of ``BLOCK`` entries and ``QUERIES`` queries, so neither a cell
+that many vectors lie in nor one that many queries visit is one task's.
 
 Vectors that are null, zero, of another length than most, or hold null or non-finite components take no
 part, nor do rows with a null id. Rows that repeat an id and vector count as one. Fewer than k other rows
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import save
 
-SAMPLE, BLOCK, MOST_CENTROIDS, PROBES = 20_000, 8192, 256, 256
+SAMPLE, BLOCK, QUERIES, MOST_CENTROIDS, PROBES = 20_000, 8192, 4096, 256, 256
 
 
 def usable(vector: Column) -> Column:
@@ -117,7 +118,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.asarray(column.flatten(), np.float64).reshape(len(column), -1)
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 10, recall: float = 0.95) -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Column, k: int = 10, recall: float = 0.95, block: int = BLOCK, query_block: int = QUERIES) -> DataFrame:
     """For each row of ``vectors`` (vec_id, embedding) with ``is_query``: its k nearest other rows found,
     as query_id, rank (from 1), vec_id, score (Euclidean distance in double precision)."""
     spark = vectors.sparkSession
@@ -155,17 +156,20 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, recall: float = 0
         for b in batches:
             for i in range(0, b.num_rows, 64):
                 part = b.slice(i, 64)
-                found = [[(c, e) for c in own.walk(x, y, wanted) for e in range(-(-own.counts[c] // BLOCK))] for x, y in zip(*own.halves(_matrix(part.column(1))))]
-                of = pa.array(np.repeat(np.arange(part.num_rows), list(map(len, found))))
-                flat = np.array([p for f in found for p in f], np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1]), part.column(0).take(of), part.column(1).take(of)], names=["cell", "block", "qid", "v"])
+                found = [own.walk(x, y, wanted) for x, y in zip(*own.halves(_matrix(part.column(1))))]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(found, pa.list_(pa.int64()))], names=["qid", "v", "cells"])
 
     searched = queries.groupBy("v").agg(F.min("vec_id").alias("qid"))
-    visits = searched.select("qid", "v").mapInArrow(walk, f"cell long, block long, qid long, v {kind}")
-    # cells of more than one block: entries / BLOCK of them at most
-    large = F.create_map(*[F.lit(int(x)) for c, n in sorted(counts.items()) if n > BLOCK for x in (c, -(-n // BLOCK))] or [F.lit(-1), F.lit(1)])
-    own_blocks = F.coalesce(F.try_element_at(large, F.col("cell").cast("int")), F.lit(1))
-    dealt = placed.withColumn("block", F.pmod(F.xxhash64("vec_id"), own_blocks.cast("long")))
+    walked = save(searched.select("qid", "v").mapInArrow(walk, f"qid long, v {kind}, cells array<long>"), "walks")
+    # blocks of a cell: MOST_CENTROIDS squared rows at most
+    held = placed.groupBy("cell").agg(F.ceil(F.count("*") / block).alias("blocks"))
+    asked = walked.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.ceil(F.count("*") / query_block).alias("parts"))
+    cut = save(held.join(asked, "cell"), "cell-blocks")
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    visits = walked.select("qid", "v", F.explode("cells").alias("cell")).join(cut, "cell")
+    visits = visits.withColumn("part", F.pmod(F.xxhash64("qid"), F.col("parts"))).withColumn("block", each("blocks")).select("cell", "block", "part", "qid", "v")
+    dealt = placed.join(cut, "cell").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")))
+    dealt = dealt.withColumn("part", each("parts")).select("cell", "block", "part", "vec_id", "v")
 
     def rank(left: pa.Table, right: pa.Table) -> pa.Table:
         ids, found = left.column("vec_id").to_numpy(), ([], [], [])
@@ -180,7 +184,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, recall: float = 0
                     column.extend(value)
         return pa.table({"qid": pa.array(found[0], pa.int64()), "vec_id": pa.array(found[1], pa.int64()), "score": pa.array(found[2], pa.float64())})
 
-    ranked = dealt.groupBy("cell", "block").cogroup(visits.groupBy("cell", "block")).applyInArrow(rank, "qid long, vec_id long, score double")
+    deal = ["cell", "block", "part"]
+    ranked = dealt.groupBy(*deal).cogroup(visits.groupBy(*deal)).applyInArrow(rank, "qid long, vec_id long, score double")
     best = Window.partitionBy("qid").orderBy("score", "vec_id")
     top = ranked.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= k + 1)
     lists = top.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("score", "vec_id"))).alias("found"))  # k + 1 each
