@@ -1,16 +1,18 @@
 """License scans by a positional index of rare license words. DataFrame expressions only.
 
 Templates are short license sentences. Document frequencies of their words come from all documents. The
-index holds (word, template, position) of the rarest word (highest IDF) among each template's mandatory
+index holds (word, template, position) of the two rarest words (highest IDF) among each template's mandatory
 key phrases. Such a word at place p that stands at position t of a template proposes the template to start
-at p - t; the start is kept if every key phrase stands where the template has it. Since the proposing word
-is part of a key phrase, no start at which all of them stand is missed, whatever else the document holds.
-Base phrases are templates that are one key phrase as a whole.
+at p - t. The starts that both words propose are the intersection of their postings by relative position
+(one hash intersection of numbers for the whole document); such a start is kept if every key phrase stands
+where the template has it. Since the proposing words are part of key phrases, no start at which all of them
+stand is missed, whatever else the document holds. Base phrases are templates that are one key phrase as a
+whole.
 
 Words are runs of [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F] after lower-casing A-Z. Documents that hold no word
 on which a template depends are decided by one regular expression and never split into words. Nothing is
-shuffled but the word counts (a row per index word and task) and narrow candidate rows. Null texts have
-no words.
+shuffled but the word counts (a row per index word and task). Null texts have no words. Each row is decided
+for itself: repeated rows and rows with a shared or null doc_id have a result each.
 """
 
 from __future__ import annotations
@@ -48,6 +50,7 @@ WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 OTHER = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RAREST = 8  # rarest words of a template that its score counts
+STARTS, LEAD = 1 << 32, 64  # a start s of template n is the number n * STARTS + LEAD + s; none is below -LEAD
 
 
 @dataclass(frozen=True)
@@ -104,13 +107,15 @@ def scan(docs: DataFrame, weights: dict[str, float] | None = None, rarest: int =
     (array of (label, start, score)): all verified templates."""
     made, weights = templates(), weights or idf(docs)
     names = [c for c in docs.columns if c not in ("n_words", "base_places", "found")]
+    # word -> [(which of a template's two words, number that a place of the word turns into a start)]
     postings: dict[str, list[tuple[int, int]]] = {}
     for n, t in enumerate(made):
-        anchor = max((at + i for at, own in t.phrases for i in range(len(own))), key=lambda i: (weights[t.words[i]], i))
-        postings.setdefault(t.words[anchor], []).append((n, anchor))
+        ranked = sorted((at + i for at, own in t.phrases for i in range(len(own))), key=lambda i: (-weights[t.words[i]], -i))
+        for which, i in enumerate((ranked * 2)[:2]):
+            postings.setdefault(t.words[i], []).append((which, n * STARTS + LEAD - i))
     index = F.create_map(*[
         x for w, held in sorted(postings.items())
-        for x in (F.lit(w), F.array(*[F.struct(F.lit(n).alias("t"), F.lit(i).alias("i")) for n, i in held]))
+        for x in (F.lit(w), F.array(*[F.struct(F.lit(k).alias("k"), F.lit(b).cast("long").alias("b")) for k, b in held]))
     ])
 
     gate = F.coalesce(F.col("text").rlike(_gate(made)), F.lit(False))
@@ -120,7 +125,12 @@ def scan(docs: DataFrame, weights: dict[str, float] | None = None, rarest: int =
         F.transform(F.col("__words"), lambda w, p: F.struct(p.alias("p"), F.try_element_at(index, w).alias("e"))),
         lambda h: h["e"].isNotNull(),
     )
-    starts = F.flatten(F.transform("__hits", lambda h: F.transform(h["e"], lambda a: F.struct(a["t"].alias("t"), (h["p"] - a["i"]).alias("s")))))
+
+    def proposed(which: int) -> Column:
+        return F.flatten(F.transform("__hits", lambda h: F.transform(F.filter(h["e"], lambda a: a["k"] == which), lambda a: a["b"] + h["p"])))
+
+    agreed = F.array_intersect(proposed(0), proposed(1))
+    starts = F.transform(agreed, lambda c: F.struct((c.bitwiseAND(F.lit(~(STARTS - 1))) / STARTS).cast("int").alias("t"), (c.bitwiseAND(F.lit(STARTS - 1)) - LEAD).cast("int").alias("s")))
 
     def stands(s: Column, phrases: tuple[tuple[int, tuple[str, ...]], ...]) -> Column:
         ok = F.lit(True)
