@@ -85,9 +85,11 @@ def feistel_shards(df: DataFrame, keys: list[str], shards: int, seed: int = 2024
     ``keys`` are integer columns that identify a row; give a narrow frame (identity and digests) and
     join the payload to the result where it is needed. Rows equal in every column are interchangeable
     and share out the places of their group. Null keys count as a value of their own; an empty table
-    gives an empty result.
+    gives an empty result. Columns named shard or slot are replaced; other names don't matter.
     """
-    names = df.columns
+    df = df.drop("shard", "slot")
+    given = {c: f"c{i}" for i, c in enumerate(df.columns)}  # names of our own for all columns until the end
+    df, names, keys = df.toDF(*given.values()), list(given.values()), [given[k] for k in keys]
     groups = save(df.groupBy(*names).agg(F.count(F.lit(1)).alias("__n")), "shard-rows")
     n = int(groups.agg(F.sum("__n")).first()[0] or 0)
     blocks = blocks_for(n, ROWS_PER_BLOCK, MOST_BLOCKS)
@@ -109,4 +111,5 @@ def feistel_shards(df: DataFrame, keys: list[str], shards: int, seed: int = 2024
         .withColumn("__row", F.col("__base") + F.col("__from") + F.col("__i"))
         .withColumn("__p", permuted(F.col("__row"), max(n, 1), seed))
     )
-    return numbered.select(*names, (F.col("__p") % shards).cast("int").alias("shard"), F.floor(F.col("__p") / shards).cast("long").alias("slot"))
+    shown = [F.col(own).alias(c) for c, own in given.items()]
+    return numbered.select(*shown, (F.col("__p") % shards).cast("int").alias("shard"), F.floor(F.col("__p") / shards).cast("long").alias("slot"))

@@ -269,7 +269,8 @@ def _captures(rows: list[list]) -> pa.RecordBatch:
 
 
 def _fewer_runs(manifest: DataFrame, runs: int) -> DataFrame:
-    """Merge groups of FAN_IN runs into one run each."""
+    """Merge groups of at most FAN_IN runs into one run each. Hashing deals the runs to groups of half that
+    number on average; a group that got more is cut."""
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -280,9 +281,11 @@ def _fewer_runs(manifest: DataFrame, runs: int) -> DataFrame:
                 made = writer.close()
                 yield pa.RecordBatch.from_arrays([pa.array([made["run"]]), pa.array([made["n"]], pa.int64()), pa.array([made["keys"]], pa.list_(pa.string())), pa.array([made["places"]], pa.list_(pa.int64()))], names=["run", "n", "keys", "places"])
 
-    groups = -(-runs // FAN_IN)
-    grouped = manifest.groupBy(F.pmod(F.xxhash64("run"), F.lit(groups)).alias("g")).agg(F.collect_list(F.struct("run", "places")).alias("members"))
-    return save(grouped.repartition(groups, "g").mapInArrow(join, RUN), "warc-runs")
+    groups = -(-runs // max(2, FAN_IN // 2))
+    grouped = manifest.groupBy(F.pmod(F.xxhash64("run"), F.lit(groups)).alias("g")).agg(F.sort_array(F.collect_list(F.struct("run", "places"))).alias("members"))
+    cut = F.transform(F.sequence(F.lit(1), F.size("members"), F.lit(FAN_IN)), lambda i: F.slice("members", i, FAN_IN))
+    dealt = grouped.select("g", F.posexplode(cut).alias("i", "members"))
+    return save(dealt.repartition(groups, "g", "i").mapInArrow(join, RUN), "warc-runs")
 
 
 def read_archives(history: DataFrame, archives: int) -> DataFrame:
