@@ -108,6 +108,28 @@ def test_neighbours_recall_and_scores(spark):
     assert hit / total >= 0.9
 
 
+def test_recall_on_the_larger_table(spark):
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    found = defaultdict(set)
+    for r in neighbours.nearest(df, F.col("vec_id") % 100 == 0).collect():
+        found[r.query_id].add(r.vec_id)
+    held = df.select("vec_id", "embedding").collect()
+    ids, x = np.array([r[0] for r in held]), np.array([r[1] for r in held], float)
+    hit = total = 0
+    for i in np.flatnonzero(ids % 100 == 0):
+        d = ((x - x[i]) ** 2).sum(1)
+        d[i] = np.inf
+        hit += len(found[int(ids[i])] & {int(v) for v in ids[np.argsort(d, kind="stable")[:10]]})
+        total += 10
+    assert total == 10 * len(found) and hit / total >= 0.9
+
+
+def test_blocks_of_entries_and_queries_change_no_result(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
+    whole = sorted(neighbours.nearest(df, F.col("vec_id") % 10 == 0).collect())
+    assert sorted(neighbours.nearest(df, F.col("vec_id") % 10 == 0, block=7, query_block=3).collect()) == whole
+
+
 def test_neighbours_of_copies_and_faulty_vectors(spark):
     nan = float("nan")
     rows = [(i, [1.0, 2.0, 0.5, float(i % 3)]) for i in range(300)]
@@ -183,7 +205,20 @@ def test_no_link_is_lost_at_any_chain_length(spark, length):
             values.add(x)
     nodes = spark.createDataFrame([(v,) for v in values], "fingerprint long")
     got = {(r.a, r.b) for r in simhash.links(nodes, 4, length).collect()}
-    assert got == {(a, b) for a in values for b in values if a < b and (a ^ b).bit_count() <= 4}
+    want = {(a, b) for a in values for b in values if a < b and (a ^ b).bit_count() <= 4}
+    assert got == want
+    # fewer links, the same components
+    few = {(r.a, r.b) for r in simhash.connecting_links(nodes, 4, length).collect()}
+    assert few <= want and dict(components.components(spark.createDataFrame(list(few), "a long, b long")).collect()) == dict(components.components(spark.createDataFrame(list(want), "a long, b long")).collect())
+
+
+def test_a_large_group_of_near_copies_costs_few_links(spark):
+    rng = np.random.default_rng(4)
+    base = int(rng.integers(0, 2**62))
+    values = {base} | {base ^ (1 << int(b)) ^ (1 << int(c)) for b, c in rng.integers(0, 62, (600, 2))}
+    nodes = spark.createDataFrame([(v,) for v in values], "fingerprint long")
+    few = simhash.connecting_links(nodes).collect()
+    assert len(few) < 30 * len(values) and len({r.root for r in components.components(spark.createDataFrame(few)).collect()}) == 1
 
 
 def test_components_of_long_chains(spark):
@@ -389,6 +424,43 @@ def test_decontamination_matches_brute_force(spark):
     assert got == want and got
 
 
+def test_the_lookup_alone_finds_the_item():
+    """Windows of other words than the item's: fingerprints within the radius find it, others don't."""
+    rng = np.random.default_rng(2)
+    own = rng.integers(0, 2**63, 40).astype(np.uint64) * np.uint64(2)
+    sizes, numbers = np.repeat(np.arange(20, 24, dtype=np.int32), 10), np.arange(40)
+    scanner = decontaminate.Scanner(sizes, numbers, own, 15)
+    for size, index in scanner.sizes.items():
+        held = {int(n): int(p) for n, p in zip(index.numbers, index.prints)}
+        asked = []
+        for p in held.values():
+            for bits in (0, 7, 15, 16, 30):
+                asked.append(p ^ sum(1 << int(b) for b in rng.choice(64, bits, replace=False)))
+        found = {(n, int(r), int(b)) for n, rows, diffs in index.find(np.array(asked, np.uint64)) for r, b in zip(rows, diffs)}
+        assert found == {(n, r, (p ^ q).bit_count()) for n, p in held.items() for r, q in enumerate(asked) if (p ^ q).bit_count() <= 15} and len(found) >= 30
+
+
+def test_items_in_parts_and_short_documents(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "ITEMS_AT_ONCE", 3)
+    monkeypatch.setattr(decontaminate, "STRETCH", 64)
+    rng = np.random.default_rng(8)
+    text = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 999, n))
+    items = [(i, text(n)) for i, n in enumerate([6, 12, 30, 30, 31, 80, 300, 5, 4, 1])]
+    docs = [(i, f"{text(150)} {t} {text(40)}") for i, t in items if i < 9]
+    docs += [(20, items[5][1].rsplit(" ", 8)[0]), (21, items[6][1].rsplit(" ", 30)[0]), (22, items[6][1].rsplit(" ", 100)[0]), (23, items[9][1]), (24, text(5))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(df, spark.createDataFrame(items, "item_id long, text string")).collect() if r.item_id < 9}
+    want = set()
+    for d, t in docs:
+        w = t.split()
+        for i, x in items[:9]:
+            own, k = x.split(), min(5, len(x.split()))
+            n = min(len(w), len(own))
+            if n >= k and any(decontaminate.similarity(w[s : s + n], own, k) >= 0.8 for s in range(len(w) - n + 1)):
+                want.add((d, i))
+    assert got == want and {(20, 5), (21, 6)} <= got
+
+
 def test_edited_passages_are_found(spark):
     rng = np.random.default_rng(5)
     word = lambda: "".join(rng.choice(list("abcdefgh"), 6))
@@ -430,6 +502,59 @@ def test_feistel_is_a_permutation(spark, n):
     assert a * b >= n
 
 
+def plain_shards(rows, shards, seed=20240131):
+    """(doc_id, size, crc) -> (shard, slot), by a Feistel network of plain integers."""
+    n, prime = len(rows), sharding.PRIME
+    blocks = max(1, -(-n // sharding.ROWS_PER_BLOCK))
+
+    def block(row):
+        h = 7
+        for k in row:
+            h = (h * 1000003 + k % prime) % prime
+        return h % blocks
+
+    a, b = sharding.rectangle(n)
+    state, keys = seed % prime, []
+    for _ in range(2 * sharding.ROUNDS):
+        state = (state * 48271 + 11) % prime
+        keys.append(state + 1)
+
+    def turn(x):
+        left, right = x % a, x // a
+        for i in range(sharding.ROUNDS):
+            m, c = keys[2 * i], keys[2 * i + 1]
+            half = right if i % 2 == 0 else left
+            t = (half * m + c) % prime
+            t = (t * t + half + c) % prime
+            if i % 2 == 0:
+                left = (left + t) % a
+            else:
+                right = (right + t) % b
+        return right * a + left
+
+    out = {}
+    for number, row in enumerate(sorted(rows, key=lambda r: (block(r), r))):
+        p = turn(number)
+        while p >= n:
+            p = turn(p)
+        out[row] = (p % shards, p // shards)
+    return out
+
+
+def test_shards_match_a_plain_feistel_network(spark, sf_dir):
+    rows = {(r.doc_id, r.size, r.text_crc32): (r.shard, r.slot) for r in queries.op8_sharding(spark, sf_dir).collect()}
+    assert rows == plain_shards(list(rows), 40)
+    wide = spark.range(9000).select("id", (F.col("id") * 7 % 13).alias("size"), F.lit(0).alias("crc"))
+    got = {(r.id, r.size, r.crc): (r.shard, r.slot) for r in sharding.feistel_shards(wide, ["id", "size", "crc"], 7).collect()}
+    assert got == plain_shards(list(got), 7)
+
+
+def test_shards_replace_columns_of_their_names(spark):
+    df = spark.createDataFrame([(i, "x", 5, 1, 2) for i in range(10)], "id long, shard string, slot int, __n int, __block int")
+    got = sharding.feistel_shards(df, ["id"], 3)
+    assert got.columns == ["id", "__n", "__block", "shard", "slot"] and {(r["__n"], r["__block"]) for r in got.collect()} == {(1, 2)}
+
+
 def test_shards_of_odd_rows(odd, none):
     docs = odd.select("doc_id", F.length("text").alias("size"))
     got = sharding.feistel_shards(docs, ["doc_id", "size"], 4).collect()
@@ -486,7 +611,7 @@ def test_substrings_match_sql(spark, sf_dir):
     assert_same(queries.op10_substrings(spark, sf_dir), queries.ORACLES["op10_substrings"], sf_dir)
 
 
-@pytest.mark.parametrize("sizes", [{}, {"bucket_bytes": 500_000, "hot_bytes": 0}, {"bucket_bytes": 200_000, "hot_bytes": 150_000}])
+@pytest.mark.parametrize("sizes", [{}, {"bucket_bytes": 500_000, "hot": 0.0}, {"bucket_bytes": 200_000, "hot": 0.75}, {"bucket_bytes": 1000, "most_buckets": 3, "hot": 1.01}])
 def test_substrings_match_brute_force_with_hot_buckets(spark, sf_dir, odd, none, sizes):
     docs = odd.select("doc_id", "text", "kept_text", "n_words").unionByName(docs_of(spark, sf_dir).select((F.col("doc_id") + 100).alias("doc_id"), "text", F.lit("").alias("kept_text"), F.lit(0).alias("n_words")))
     got = substrings.without_repeats(docs, **sizes).collect()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from veilstone.llm import decontaminate, nearcopies, quality
 from veilstone.llm.common import save
 
-from .test_operators import brute_components, brute_fingerprint, brute_substrings, check_packing
+from .test_operators import brute_substrings, check_packing
 
 SF = "/root/testdata/sf0.01"
 
@@ -23,7 +23,7 @@ def test_every_stage_against_brute_force(spark):
 
     single = save(near(spark, kept, SF), "t")
     texts = {r.doc_id: r.text for r in kept.collect()}
-    roots = brute_components({i: brute_fingerprint(t) for i, t in texts.items()})
+    roots = brute_near_copies(texts)
     assert {r[0] for r in single.select("doc_id").collect()} == set(roots.values())
 
     thin = save(cut(spark, single, SF), "t")
@@ -91,7 +91,23 @@ def test_near_copies_match_brute_force_on_edited_texts(spark):
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     want = brute_near_copies(texts)
     assert 30 < len(set(want.values())) < 240
-    assert dict(nearcopies.near_copies(docs).collect()) == want
+    rows = nearcopies.near_copies(docs).collect()
+    assert {r.doc_id: r.component_id for r in rows} == want
+    assert {r.doc_id for r in rows if r.kept} == set(want.values())
+
+
+def test_rows_that_share_an_id_or_have_none_are_decided_by_their_own_text(spark):
+    rng = np.random.default_rng(3)
+    text = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 9999, n))
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").first().text
+    a, b, c = text(60), text(60), text(60)
+    rows = [(1, a), (1, b), (2, a), (None, a), (None, c), (None, c), (3, item), (3, c + " x"), (None, "x " + item), (4, None), (4, None), (5, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    near = sorted(((r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()), key=str)
+    first = lambda *held: any(sorted(near, key=str) == sorted([(1, a), (1, b), (3, c + " x"), (4, None), x], key=str) for x in held)
+    assert first((3, item))
+    clean = sorted(((r.doc_id, r.text) for r in corpus_pipeline.drop_leaks(spark, docs, SF).collect()), key=str)
+    assert clean == sorted((x for x in rows if item not in (x[1] or "")), key=str)
 
 
 def test_odd_rows_pass_through(spark, odd, none):
