@@ -22,11 +22,10 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies (five-word Jaccard similarity of 0.8 or more): the one
-    of smallest doc_id. Rows with a null id stay."""
-    marked = nearcopies.near_copies(docs.select("doc_id", "text"))
-    dropped = marked.filter("component_id < doc_id").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each component of near copies (five-word Jaccard similarity of 0.8 or more): the one of
+    smallest doc_id, rows without an id last. Rows that share an id are told apart: each goes or stays by
+    its own text."""
+    return nearcopies.near_copies(docs).filter("kept").select(*docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,14 +34,16 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     cut = substrings.without_repeats(docs)
     text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text")).alias("text")
     kept = cut.filter("n_removed = 0 or n_words > n_removed").withColumn("__text", text)
-    columns = [F.col("__text").alias("text") if c == "text" else F.length("__text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
-    return kept.select(*columns)
+    made = {"text": F.col("__text").alias("text"), "n_chars": F.length("__text").cast("long").alias("n_chars")}
+    return kept.select(*[made.get(c, F.col(c)) for c in docs.columns])
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a window that resembles a benchmark item."""
-    leaks = decontaminate.contaminated(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
-    return docs.join(leaks.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """Documents without a window that resembles a benchmark item. A row is named by a 64-bit hash of its
+    text, on which alone the decision depends, so rows without an id or with a shared one get their own."""
+    keyed = docs.withColumn("__key", F.xxhash64("text"))
+    leaks = decontaminate.contaminated(keyed.select(F.col("__key").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    return keyed.join(leaks.select(F.col("doc_id").alias("__key")).distinct(), "__key", "left_anti").select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +53,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality classifier", keep_quality),
-    ("near-dedup", drop_near_duplicates),
+    ("SimHash near-dedup", drop_near_duplicates),
     ("substring dedup", cut_repeats),
     ("benchmark decontamination", drop_leaks),
     ("best-fit packing", pack),
