@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary, decontaminate, licenses, neighbours, packing, quality, sharding, simhash, substrings, warc
+from . import binary, decontaminate, licenses, manifest, neighbours, orderhash, packing, quality, resample, sharding, simhash, substrings, warc
 from .common import table
 
 
@@ -64,7 +64,78 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.without_repeats(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-QUERIES = {"op1_packing": op1_packing, "op2_neighbours": op2_neighbours, "op3_simhash": op3_simhash, "op4_quality": op4_quality, "op5_licenses": op5_licenses, "op6_warc": op6_warc, "op7_decontaminate": op7_decontaminate, "op8_sharding": op8_sharding, "op9_token_files": op9_token_files, "op10_substrings": op10_substrings}
+def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.audited(table(spark, sf_dir, "documents"))
+
+
+def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return orderhash.fingerprints(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_packing, op2_neighbours, op3_simhash, op4_quality, op5_licenses, op6_warc, op7_decontaminate, op8_sharding, op9_token_files,
+        op10_substrings, op11_manifest, op12_resample, op13_fingerprints,
+    )
+}
+
+
+def crc32_sql(text: str) -> str:
+    """CRC-32 of a text's UTF-8 bytes, bit by bit, as DuckDB has no function for it."""
+    bits = f"list_transform(range(8 * octet_length(encode({text}))), lambda i: get_bit(encode({text})::bit, ((i // 8) * 8 + 7 - i % 8)::int)::bigint)"
+    return f"xor(list_reduce(list_prepend(4294967295::bigint, {bits}), lambda a, b: xor(a >> 1, 3988292384 * (xor(a, b) & 1))), 4294967295)"
+
+
+def manifest_sql(source_levels: int = 5, top_levels: int = 3) -> str:
+    """The manifest level by level: enough levels for 16^5 rows a source and 16^3 sources."""
+    f = lambda c: f"coalesce(octet_length(encode({c}::varchar)) || ':' || {c}, '-')"
+    parts = [f"""d as (select doc_id, source, row_number() over (partition by source order by doc_id) - 1 as i, count(*) over (partition by source) as n,
+            sha256({f('doc_id')} || {f('source')} || {f('lang')} || {f('n_chars')} || {f('text')}) as leaf,
+            case when {crc32_sql('doc_id::varchar')} % 5 = 0 then sha256({f('doc_id')} || {f('source')} || {f('lang')} || {f('n_chars')} || {f("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")}) else leaf end as other
+        from documents)""", "s0 as (select source as g, i, n, leaf as h from d)"]
+
+    def climb(s: str, most: int) -> None:
+        for k in range(most):
+            runs = f"select g, i // 16 as i, any_value(n) as n, string_agg(h, '' order by i) as hs, any_value(h) as one from {s}{k} group by g, i // 16"
+            parts.append(f"{s}{k + 1} as (select g, i, (n + 15) // 16 as n, case when n > 1 then sha256(hs) else one end as h from ({runs}))")
+
+    def path(s: str, most: int, ident: str, at: str) -> str:
+        """Siblings of a leaf with place ``at`` in group ``ident``, a list of (left, right) from the leaf up."""
+        return ", ".join(f"(select [coalesce(string_agg(h, '' order by i) filter (where i < {at} // {16**k}), ''), coalesce(string_agg(h, '' order by i) filter (where i > {at} // {16**k}), ''), (any_value(n) > 1)::varchar] from {s}{k} x where x.g is not distinct from {ident} and x.i // 16 = {at} // {16 ** (k + 1)})" for k in range(most))
+
+    climb("s", source_levels)
+    parts.append(f"t0 as (select 0 as g, row_number() over (order by encode(g) nulls first) - 1 as i, count(*) over () as n, h, g as source from s{source_levels})")
+    climb("t", top_levels)
+    parts.append(f"top as (select source, h as subroot, [{path('t', top_levels, '0', 't0.i')}] as above from t0)")
+    parts.append(f"p as (select d.doc_id, leaf, other, subroot, list_filter([{path('s', source_levels, 'd.source', 'd.i')}] || above, lambda x: x[3] = 'true') as steps from d join top on top.source is not distinct from d.source)")
+    folded = "list_reduce(list_prepend([other, '', ''], steps), lambda a, b: [sha256(b[1] || a[1] || b[2]), '', ''])[1]"
+    parts.append(f"f as (select *, (select h from t{top_levels}) as root, {folded} as folded_root from p)")
+    proof = "sha256(array_to_string(list_transform(steps, lambda x: x[1] || x[2]), ''))"
+    return f"with {', '.join(parts)} select doc_id, leaf, subroot, root, {proof} as proof_sha256, folded_root, folded_root = root as verified from f"
+
+
+RESAMPLE_SQL = f"""
+    with texts as (select doc_id, false as wanted, coalesce(text, '') as text from documents union all select null, true, coalesce(text, '') from benchmark),
+    w as (select doc_id, wanted, list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as ws from texts),
+    f as (select doc_id, wanted, unnest(ws) as x from w union all
+        select doc_id, wanted, unnest(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) from w),
+    k as (select x, {crc32_sql('x')} % 10000 as bucket from (select distinct x from f)),
+    n as (select bucket, count(*) filter (where not wanted) as s, count(*) filter (where wanted) as t from f join k using (x) group by bucket),
+    a as (select sum(s)::double as s_all, sum(t)::double as t_all from n),
+    g as (select bucket, floor(1000 * ln((t + 1)::double * (s_all + 10000) / ((s + 1)::double * (t_all + 10000))))::bigint as gain from n, a),
+    m as (select doc_id, count(*) as n_features, floor(sum(gain) / count(*))::bigint as weight from f join k using (x) join g using (bucket) where not wanted group by doc_id),
+    d as (select w.doc_id, len(ws) >= 20 as fit, coalesce(n_features, 0) as n_features, coalesce(weight, 0) as weight,
+            ('0x' || substring(sha256('7:' || w.doc_id), 1, 8))::bigint as h from w left join m using (doc_id) where not wanted),
+    r as (select *, (weight + floor(-1000 * ln(-ln((h + 0.5::double) / 4294967296::double))))::bigint as score from d),
+    o as (select *, row_number() over (partition by fit order by score desc, doc_id) as place, count(*) over (partition by fit) as many from r)
+    select doc_id, n_features, weight, score, case when fit and place <= 25 * many // 100 then place end as rank from o"""
+
+
 ORACLES: dict[str, str] = {
     "op6_warc": """
         with p as (select page_id, encode(coalesce(html, '')) as payload from pages),
@@ -85,4 +156,6 @@ ORACLES: dict[str, str] = {
                cast(count(*) filter (where a.cut) as bigint) as n_removed,
                sha256(coalesce(string_agg(a.word, ' ' order by a.pos) filter (where not a.cut), '')) as kept_sha256
         from w left join a on a.doc_id = w.doc_id group by w.doc_id, w.ws""",
+    "op11_manifest": manifest_sql(),
+    "op12_resample": RESAMPLE_SQL,
 }
