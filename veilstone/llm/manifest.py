@@ -9,7 +9,7 @@ row's place is base + directory + popcount of its word below its bit. Leaves are
 Levels are reduced by keyed slots: nodes of a run go to (source, run) with their slot as the key of a map,
 which is read out slot by slot. Sibling hashes then travel down the written levels to the leaves.
 
-Rows with a null id count as those of the smallest long. Rows that share an id in a source are leaves of
+Rows with a null id come first in their source. Rows that share an id in a source are leaves of
 their own, ordered by their hash; equal rows are interchangeable and share out the places of their group.
 An empty table gives an empty result.
 """
@@ -25,7 +25,6 @@ from .numbering import numbered
 ARITY_BITS = 4  # nodes of a run: 16
 WORD_BITS, CONTAINER_BITS = 6, 4  # ids of a word, words of a container
 FAN_BITS = 8  # children of a directory node
-NULL_ID = -(2**63)
 STEP = 65536  # large groups of equal rows open in two steps
 PATH = "array<struct<left:string,right:string>>"
 
@@ -46,8 +45,7 @@ def _grouped(docs: DataFrame, group: str, ident: str, digest: Column, carry: dic
     sorts as the group does with null first; ``n`` counts equal rows."""
     g = F.when(F.col(group).isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col(group).cast("string")))
     named = [g.alias("g"), F.col(ident).cast("long").alias("doc_id"), digest.alias("leaf"), *[c.alias(k) for k, c in carry.items()]]
-    rows = docs.select(*named).groupBy("g", "doc_id", "leaf", *carry).agg(F.count("*").alias("n"))
-    return rows.withColumn("at", F.coalesce("doc_id", F.lit(NULL_ID)))
+    return docs.select(*named).groupBy("g", "doc_id", "leaf", *carry).agg(F.count("*").alias("n"))
 
 
 def _low(at: Column, bits: int) -> Column:
@@ -59,7 +57,7 @@ def _prefix(nodes: DataFrame, levels: int) -> DataFrame:
     levels of 256 children lead to one node per group; a task holds the children of one node at a time."""
     if not levels:
         return nodes.withColumn("before", F.lit(0).cast("long"))
-    kids = nodes.groupBy("g", F.shiftright("at", FAN_BITS).alias("up")).agg(F.collect_list(F.struct("at", "n")).alias("kids"), F.sum("n").alias("n"))
+    kids = save(nodes.groupBy("g", F.shiftright("at", FAN_BITS).alias("up")).agg(F.collect_list(F.struct("at", "n")).alias("kids"), F.sum("n").alias("n")), "directory")
     held = _prefix(kids.select("g", F.col("up").alias("at"), "n"), levels - 1).select("g", F.col("at").alias("up"), F.col("before").alias("base"))
     inside = lambda k: F.aggregate(F.filter("kids", lambda v: v["at"] < k["at"]), F.col("base"), lambda s, v: s + v["n"])
     opened = F.transform("kids", lambda k: F.struct(k["at"].alias("at"), k["n"].alias("n"), inside(k).alias("before")))
@@ -75,9 +73,13 @@ def _levels(least: int, most: int) -> int:
 
 
 def coordinates(rows: DataFrame) -> DataFrame:
-    """Rows (g, at, leaf, n and more; distinct) with ``idx``, the first of their places in ``g``, and
+    """Rows (g, doc_id, leaf, n and more; distinct) with ``idx``, the first of their places in ``g``, and
     ``total``, the rows of ``g``: rank queries against the group's bitmap."""
-    word = F.shiftright("at", WORD_BITS)
+    least, most = rows.agg(F.min("doc_id"), F.max("doc_id")).first()
+    none = 0 if least is None else max(least - 1, -(2**63))  # where rows without an id stand
+    # with the sign bit turned, ids are in the order of unsigned numbers, so that all share a node in the end
+    rows = rows.withColumn("at", F.coalesce("doc_id", F.lit(none).cast("long")).bitwiseXOR(F.lit(-(2**63))))
+    word = F.shiftrightunsigned("at", WORD_BITS)
     bit = F.expr(f"shiftleft(1L, cast(at & {(1 << WORD_BITS) - 1} as int))")
     words = save(rows.groupBy("g", word.alias("word")).agg(F.bit_or(bit).alias("bits"), F.sum("n").alias("n")), "bitmap-words")
     crowded = words.filter("n > bit_count(bits)").select("g", "word")
@@ -99,17 +101,17 @@ def coordinates(rows: DataFrame) -> DataFrame:
     below = lambda w: F.aggregate(F.filter("ws", lambda v: v["no"] < w["no"]), F.lit(0).cast("long"), lambda s, v: s + v["n"])
     directory = F.transform("ws", lambda w: F.struct(w["no"].alias("no"), w["bits"].alias("bits"), w["more"].alias("more"), below(w).alias("before")))
     held = save(held.select("g", "c", "n", directory.alias("ws")), "bitmaps")
-    ends = held.agg(F.min("c"), F.max("c")).first()
-    bases = _prefix(held.select("g", F.col("c").alias("at"), "n"), _levels(ends[0] or 0, ends[1] or 0))
+    ends = ((x + 2**63) >> (WORD_BITS + CONTAINER_BITS) for x in (none, none if most is None else most))
+    bases = _prefix(held.select("g", F.col("c").alias("at"), "n"), _levels(*ends))
     totals = held.groupBy("g").agg(F.sum("n").alias("total"))
     bitmaps = held.drop("n").join(bases.select("g", F.col("at").alias("c"), F.col("before").alias("base")), ["g", "c"]).join(totals, "g")
 
     low = _low(F.col("at"), WORD_BITS)
-    asked = rows.withColumn("c", F.shiftright("at", WORD_BITS + CONTAINER_BITS)).join(bitmaps, ["g", "c"])
-    own = asked.withColumn("w", F.filter("ws", lambda w: w["no"] == _low(F.shiftright("at", WORD_BITS), CONTAINER_BITS))[0]).drop("ws")
+    asked = rows.withColumn("c", F.shiftrightunsigned("at", WORD_BITS + CONTAINER_BITS)).join(bitmaps, ["g", "c"])
+    own = asked.withColumn("w", F.filter("ws", lambda w: w["no"] == _low(F.shiftrightunsigned("at", WORD_BITS), CONTAINER_BITS))[0]).drop("ws")
     under = F.bit_count(F.expr(f"w.bits & ~shiftleft(-1L, cast(at & {(1 << WORD_BITS) - 1} as int))"))
     extras = F.aggregate(F.filter("w.more", lambda m: m["low"] < low), F.lit(0).cast("long"), lambda s, m: s + m["extra"])
-    return own.withColumn("idx", F.col("base") + F.col("w.before") + under + extras + F.col("tie")).drop("c", "w", "base", "tie")
+    return own.withColumn("idx", F.col("base") + F.col("w.before") + under + extras + F.col("tie")).drop("c", "w", "base", "tie", "at")
 
 
 def _nodes(total: Column, level: int) -> Column:

@@ -30,7 +30,7 @@ SENTINEL = b"\n"
 PLAIN = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 TOKEN = re.compile(rb"[^ \n]+|\n")
 MOST_WORDS, LONGEST_WORD = 200_000, 64  # words that a task remembers; longer ones are never kept
-SLICE_ROWS, SLICE_BYTES = 512, 4_000_000  # a slice: so many rows, or so many bytes and one text more
+SLICE_ROWS, SLICE_BYTES = 128, 1_000_000  # a slice: so many rows, or so many bytes and one text more
 POLY = 0xEDB88320
 
 
@@ -50,30 +50,31 @@ def _appended(n: int) -> np.ndarray:
     return held
 
 
+class _Words(dict):
+    """CRC-32 of a word, and above it its length; -1 for the sentinel."""
+
+    def __missing__(self, word: bytes) -> int:
+        found = -1 if word == SENTINEL else zlib.crc32(word) | len(word) << 32
+        if len(word) <= LONGEST_WORD:
+            if len(self) >= MOST_WORDS:
+                self.clear()
+            self[word] = found
+        return found
+
+
 class Features:
     """Buckets of all features of a few documents at a time."""
 
     def __init__(self, buckets: int = BUCKETS):
         self.buckets = buckets
-        self.words: dict[bytes, int] = {}
+        self.words = _Words()
         self.shift = np.stack([_appended(n) for n in range(LONGEST_WORD + 1)])
 
-    def _known(self, word: bytes) -> int:
-        """CRC-32 of a word, and above it its length; -1 for the sentinel."""
-        found = self.words.get(word)
-        if found is None:
-            found = -1 if word == SENTINEL else zlib.crc32(word) | len(word) << 32
-            if len(word) <= LONGEST_WORD:
-                if len(self.words) >= MOST_WORDS:
-                    self.words.clear()
-                self.words[word] = found
-        return found
-
     def of(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(document, bucket) of every feature, single words first, and the words of each document."""
         joined = SENTINEL.join([t.translate(PLAIN) for t in texts])
         tokens = TOKEN.findall(joined)
-        packed = np.fromiter(map(self._known, tokens), np.int64, len(tokens))
+        packed = np.fromiter(map(self.words.__getitem__, tokens), np.int64, len(tokens))
         ends = np.flatnonzero(packed < 0)  # sentinels: document i is before the i-th
         doc = np.searchsorted(ends, np.arange(len(packed)), "left")
         real = packed >= 0
