@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.names import fresh
 from ..functions.text import split_words, strip_punct
+from ..sources.sinks import saved
 
 
 def redact_text(words: DataFrame, matches: DataFrame, style: str = "tag") -> DataFrame:
@@ -113,8 +114,10 @@ def srt_align(matches: DataFrame, cues: DataFrame, words: DataFrame, least: floa
     similarity (as a share) is above the match's score. A match in several such cues takes the first."""
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown strategy: {strategy}")
-    good = srt_diff(words, cues).filter(F.col("similarity") >= least)
-    spots = _in_cue(matches.select("doc_id", "start").distinct(), good)
+    # only cues in which a match starts are heard and compared
+    spots = saved(_in_cue(matches.select("doc_id", "start").distinct(), cues), "match-cues")
+    near = cues.join(spots.select("doc_id", "cue").distinct(), ["doc_id", "cue"], "left_semi")
+    good = srt_diff(words, near).filter(F.col("similarity") >= least)
     first = spots.join(good.select("doc_id", "cue", "similarity"), ["doc_id", "cue"]).groupBy("doc_id", "start").agg(F.min(F.struct("cue", "cue_start", "cue_end", "similarity")).alias("__cue"))
     taken = {"transcript_primary": F.lit(False), "srt_primary": F.lit(True), "highest_confidence": F.col("__cue.similarity") / 100 > F.coalesce("score", F.lit(0.0))}[strategy]
     use = F.col("__cue").isNotNull() & taken

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.clock import fmt_timestamp
 from ..functions.names import fresh
+from .scans import running
 
 
 def segment_assign(tracks: DataFrame, size: int) -> DataFrame:
@@ -60,21 +61,27 @@ def censor_log(resolved: DataFrame) -> DataFrame:
     return out.withColumns({c: F.round(c, 4) for c in ("start", "end", "padded_start", "padded_end")}).drop("ord")
 
 
-def merge_intervals(intervals: DataFrame, key: str = "doc_id") -> DataFrame:
+def merge_intervals(intervals: DataFrame, key: str = "doc_id", block_sec: float | None = None) -> DataFrame:
     """Merge overlapping or touching intervals (padded_start, padded_end) of each key. Order is by the
     start rounded to 4 places, and an island keeps the start of its first row in that order. Rows that
-    end before they start, or lack an end, are left out. One shuffle: both windows and the aggregate share
-    the key."""
+    end before they start, or lack an end, are left out.
+
+    An island is named by its first row, the latest so far that no earlier interval reaches. Without
+    ``block_sec`` both scans are windows over a key and share its shuffle. For keys with more rows than one
+    task should sort, ``block_sec`` cuts the time line into blocks of so many seconds, which are scanned in
+    parallel (``scans.running``); the rows are then read several times, so give a written table."""
     held = [key, "padded_start", "padded_end", *(["ord"] if "ord" in intervals.columns else [])]
     rows = intervals.filter("padded_end >= padded_start").select(*held)
     by = [F.round("padded_start", 4), *([F.col("ord")] if "ord" in held else [F.col("padded_start"), F.col("padded_end")])]
-    order = Window.partitionBy(key).orderBy(*by)
-    reach = F.max("padded_end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    new, n, island = (fresh(c, rows) for c in ("__new", "__n", "__island"))
-    rows = rows.withColumn(new, F.when(F.col("padded_start") <= reach, 0).otherwise(1)).withColumn(n, F.row_number().over(order))
-    rows = rows.withColumn(island, F.sum(new).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    merged = rows.groupBy(key, island).agg(F.min_by("padded_start", n).alias("interval_start"), F.max("padded_end").alias("interval_end"))
-    return merged.drop(island)
+    reach, first, block = (fresh(c, rows) for c in ("__reach", "__first", "__block"))
+    if block_sec:
+        rows = rows.withColumn(block, F.floor(by[0] / block_sec))
+    cut = block if block_sec else None
+    rows = running(rows, key, by, cut, -1, **{reach: (F.col("padded_end"), "max")})
+    free = F.when(F.coalesce(F.col("padded_start") > F.col(reach), F.lit(True)), F.struct(*[c.alias(f"k{i}") for i, c in enumerate(by)], "padded_start"))
+    rows = running(rows, key, by, cut, 0, **{first: (free, "max")})
+    merged = rows.groupBy(key, first).agg(F.max("padded_end").alias("interval_end"))
+    return merged.select(key, F.col(f"{first}.padded_start").alias("interval_start"), "interval_end")
 
 
 def interval_cover(points: DataFrame, intervals: DataFrame, key: str, t: str = "t", width: float = 600.0) -> DataFrame:

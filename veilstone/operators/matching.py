@@ -2,16 +2,17 @@
 
 A token's hit depends on its text alone, so classes are resolved on the distinct tokens: four equi-joins
 (theta joins become equi-joins on the substrings of the rules' lengths), then the smallest
-(class, line) wins, then one join back to the words. Phrases are a relational division.
+(class, line) wins, then one join back to the words. Phrases are runs of tokens, joined as texts.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.clock import fmt_timestamp
-from ..functions.text import strip_punct
+from ..functions.text import split_words, strip_punct
+from ..sources.sinks import saved
 
 EXACT_CI, EXACT_CS, PREFIX, CONTAINS = 1, 2, 3, 4
 
@@ -91,37 +92,73 @@ def first_hit(words: DataFrame, lexicon: DataFrame) -> DataFrame:
     )
 
 
-def _in_a_row(tokens: DataFrame, parts: DataFrame, query: str) -> DataFrame:
-    """Rows of ``tokens`` (doc_id, word_index, key and more) that stand where ``parts`` (query, span, j, key)
-    need them, for every place ``at`` at which the query's rarest token could put it, with the columns of
-    both. A whole place has ``span`` rows.
+BLOCK = 256  # words of a block in which runs are read
+LONG = 16  # words of a run; longer phrases wait at their rarest token
 
-    Each query waits at its rarest token alone, by the counts of query tokens in the words, so a frequent
-    word of many queries meets none of them; the other tokens are looked up by place."""
-    asked = parts.select("key").distinct()
-    counts = tokens.join(asked, "key", "left_semi").groupBy("key").agg(F.count("*").alias("n"))
+
+def _runs(tokens: DataFrame, spans: list[int], *held: str) -> DataFrame:
+    """All runs of consecutive word indices of the lengths ``spans`` in ``tokens`` (doc_id, word_index, kind, key
+    and ``held``): doc_id, word_index of the first, kind, span, text (the keys, joined by spaces) and run (structs
+    of word_index, key and ``held``).
+
+    Runs are read inside blocks of a document, each with the first words of the next block behind its own, so a
+    long document is many tasks' work and tokens are shuffled once."""
+    most, own = max(spans), F.floor(F.col("word_index") / BLOCK)
+    spread = F.when((F.col("word_index") % BLOCK < most - 1) & (own > 0), F.array(own, own - 1)).otherwise(F.array(own))
+    order = Window.partitionBy("doc_id", "block", "kind").orderBy("word_index").rowsBetween(0, most - 1)
+    ahead = F.collect_list(F.struct("word_index", "key", *held)).over(order)
+    read = tokens.withColumn("block", F.explode(spread)).withColumn("run", ahead).filter(own == F.col("block"))
+    whole = lambda n: (F.size("run") >= n) & (F.col("run")[n - 1]["word_index"] == F.col("word_index") + n - 1)
+    cut = lambda n: F.struct(F.lit(n).alias("span"), F.array_join(F.transform(F.slice("run", 1, n), lambda x: x["key"]), " ").alias("text"))
+    grams = F.filter(F.array(*[F.when(whole(n), cut(n)) for n in spans]), lambda g: g.isNotNull())
+    opened = read.select("doc_id", "word_index", "kind", "run", F.explode(grams).alias("g")).select("doc_id", "word_index", "kind", "g.*", "run")
+    return opened.withColumn("run", F.slice("run", F.lit(1), F.col("span")))
+
+
+def _at_rarest(tokens: DataFrame, parts: DataFrame, held: list[str]) -> DataFrame:
+    """As ``_runs`` for phrases of any length (``parts``: kind, text, span, j, key): each waits at its rarest
+    token, by the counts of the phrases' tokens in the words, and the other tokens are looked up by place."""
+    counts = tokens.groupBy("kind", "key").agg(F.count("*").alias("n"))
     rarest = F.min(F.struct("n", "j", "key")).alias("rare")
-    known = parts.join(counts, "key").groupBy(query, "span").agg(rarest, F.count("*").alias("held")).filter("held = span")
-    waiting = known.select(query, F.col("rare.key").alias("key"), F.col("rare.j").alias("anchor"))
-    starts = tokens.select("doc_id", "word_index", "key").join(waiting, "key").select("doc_id", query, (F.col("word_index") - F.col("anchor")).alias("at"))
-    needed = starts.filter("at >= 0").join(parts, query).withColumn("word_index", F.col("at") + F.col("j"))
-    return needed.join(tokens, ["doc_id", "word_index", "key"])
+    known = parts.join(counts, ["kind", "key"]).groupBy("kind", "text", "span").agg(rarest, F.count("*").alias("all")).filter(F.col("all") == F.col("span"))
+    waiting = known.select("kind", "text", F.col("rare.key").alias("key"), F.col("rare.j").alias("anchor"))
+    starts = tokens.select("doc_id", "word_index", "kind", "key").join(waiting, ["kind", "key"]).select("doc_id", "kind", "text", (F.col("word_index") - F.col("anchor")).alias("at"))
+    needed = starts.filter("at >= 0").join(parts, ["kind", "text"]).withColumn("word_index", F.col("at") + F.col("j"))
+    met = needed.join(tokens, ["doc_id", "word_index", "kind", "key"])
+    run = F.array_sort(F.collect_list(F.struct("word_index", "key", *held))).alias("run")
+    return met.groupBy("doc_id", F.col("at").alias("word_index"), "kind", "span", "text").agg(run).filter(F.size("run") == F.col("span"))
+
+
+def _in_a_row(tokens: DataFrame, phrases: DataFrame, *held: str) -> DataFrame:
+    """Places of ``phrases`` (kind, text: keys joined by spaces; distinct) in ``tokens`` (doc_id, word_index, kind,
+    key and ``held``): doc_id, word_index, kind, text, span, run. Only tokens that a phrase has are kept, cut down
+    before any of them is shuffled where the phrases are few. The distinct lengths of phrases reach the driver."""
+    parts = phrases.withColumn("keys", F.split("text", " ")).withColumn("span", F.size("keys"))
+    lengths = sorted(r[0] for r in parts.select("span").distinct().collect())
+    wanted = tokens.join(parts.select("kind", F.explode("keys").alias("key")).distinct(), ["kind", "key"], "left_semi")
+    short, long = [n for n in lengths if n <= LONG], lengths and lengths[-1] > LONG
+    found = _runs(wanted, short or [1], *held).join(phrases, ["kind", "text"], "left_semi")
+    if long:
+        far = parts.filter(F.col("span") > LONG).select("kind", "text", "span", F.posexplode("keys").alias("j", "key"))
+        found = found.unionByName(_at_rarest(saved(wanted, "wanted-tokens"), far, list(held)))
+    return found
 
 
 def phrase_matches(words: DataFrame, lexicon: DataFrame) -> DataFrame:
     """Phrases over consecutive word indices: every phrase at every place, overlaps included. The score
     is the smallest of the span, null counting as 0."""
-    rules = lexicon.filter(F.size("tokens") > 1).withColumn("span", F.size("tokens"))
-    rules = rules.select("line_no", "raw", "case_sensitive", "span", F.posexplode("tokens").alias("j", "root"))
-    # one key for both kinds of rules: the token as it is, or lower-cased, behind a letter for the kind
-    parts = _keyed(rules).select("line_no", "raw", "span", "j", F.concat(F.when(F.col("case_sensitive"), "s").otherwise("i"), "key").alias("key"))
-    keys = F.array(F.concat(F.lit("s"), "token"), F.concat(F.lit("i"), F.lower("token")))
-    tokens = candidates(words).select("doc_id", "word_index", "word", "start", "end", "score", F.explode(keys).alias("key"))
-    whole = _in_a_row(tokens, parts, "line_no").groupBy("doc_id", F.col("at").alias("word_index"), "line_no", "raw", "span").agg(
-        F.count("*").alias("n"), F.min(F.coalesce("score", F.lit(0.0))).alias("score"), F.min_by("start", "j").alias("start"), F.max_by("end", "j").alias("end"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("j", "word"))), lambda x: x["word"]), " ").alias("matched_text"),
+    rules = lexicon.filter(F.size("tokens") > 1)
+    text = F.array_join("tokens", " ")
+    # two kinds of keys: the token as it is (s), or lower-cased (i)
+    rules = rules.select("line_no", "raw", F.when(F.col("case_sensitive"), "s").otherwise("i").alias("kind"), F.when(F.col("case_sensitive"), text).otherwise(F.lower(text)).alias("text"))
+    keys = F.array(F.struct(F.lit("s").alias("kind"), F.col("token").alias("key")), F.struct(F.lit("i").alias("kind"), F.lower("token").alias("key")))
+    tokens = candidates(words).select("doc_id", "word_index", "word", "start", "end", "score", F.explode(keys).alias("k")).select("doc_id", "word_index", "k.*", "word", "start", "end", "score")
+    found = _in_a_row(tokens, rules.select("kind", "text").distinct(), "word", "start", "end", "score").join(rules, ["kind", "text"])
+    return found.select(
+        "doc_id", "word_index", "span", F.array_join(F.transform("run", lambda x: x["word"]), " ").alias("matched_text"), F.col("raw").alias("entry"), "line_no",
+        F.col("run")[0]["start"].alias("start"), F.element_at("run", -1)["end"].alias("end"),
+        F.array_min(F.transform("run", lambda x: F.coalesce(x["score"], F.lit(0.0)))).alias("score"),
     )
-    return whole.filter("n = span").select("doc_id", "word_index", "span", "matched_text", F.col("raw").alias("entry"), "line_no", "start", "end", "score")
 
 
 def find_matches(words: DataFrame, lexicon: DataFrame) -> DataFrame:
@@ -134,8 +171,6 @@ def find_matches(words: DataFrame, lexicon: DataFrame) -> DataFrame:
 def match_order(matches: DataFrame) -> DataFrame:
     """``matches`` with ``ordinal`` (from 1) inside their document: by word, single tokens first, then
     phrases by line."""
-    from pyspark.sql import Window
-
     order = Window.partitionBy("doc_id").orderBy("word_index", F.col("span") > 1, "line_no")
     return matches.withColumn("ordinal", F.row_number().over(order))
 
@@ -144,13 +179,11 @@ def phrase_search(words: DataFrame, queries: DataFrame, context: int = 6) -> Dat
     """Places of query texts (query_id, query): tokens compared in lower case, the words' stripped, the
     query's as written; a word needs a start time only. With ``context`` words on both sides. Queries
     without words find nothing; equal texts are searched once, whatever their ids."""
-    from ..functions.text import split_words
     from .review import with_context
 
-    asked = queries.select("query_id", "query", F.array_join(split_words(F.lower("query")), " ").alias("text"))
-    parts = asked.select("text").distinct().withColumn("q", split_words(F.col("text"))).withColumn("span", F.size("q"))
-    parts = parts.select("text", "span", F.posexplode("q").alias("j", "key"))
-    tokens = words.filter(F.col("start").isNotNull()).select("doc_id", "word_index", "start", F.lower(strip_punct(F.col("word"))).alias("key"))
-    found = _in_a_row(tokens, parts, "text").groupBy("doc_id", F.col("at").alias("word_index"), "text", "span")
-    hits = found.agg(F.count("*").alias("n"), F.min_by("start", "j").alias("start")).filter("n = span").drop("n")
+    asked = queries.select("query_id", "query", F.array_join(split_words(F.lower("query")), " ").alias("text")).filter("text <> ''")
+    one = F.lit("i").alias("kind")
+    tokens = words.filter(F.col("start").isNotNull()).select("doc_id", "word_index", one, F.lower(strip_punct(F.col("word"))).alias("key"), "start")
+    found = _in_a_row(tokens, asked.select(one, "text").distinct(), "start")
+    hits = found.select("doc_id", "word_index", "text", "span", F.col("run")[0]["start"].alias("start"))
     return with_context(hits.join(asked, "text").drop("text"), words, context)

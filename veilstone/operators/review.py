@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.sinks import saved
 from .matching import match_order
 
 
@@ -13,13 +14,17 @@ def with_context(spans: DataFrame, words: DataFrame, k: int, block: int = 64) ->
     after, clipped at the document's ends, between dots; null where the document has none of them.
 
     Words travel as blocks of ``block``, and a span asks for the one or two blocks that its words lie in,
-    so the join has a row for a block and not for a word. Equal spans are asked for once."""
+    so the join has a row for a block and not for a word. Equal spans are asked for once, and only blocks that
+    one asks for are made. ``spans`` are written, since they are used three times."""
+    spans = saved(spans, "spans")
     names = [c for c in spans.columns if c != "context"]
     lo, hi = F.greatest(F.lit(0), F.col("word_index") - k), F.col("word_index") + F.col("span") + k - 1
     need = spans.select("doc_id", "word_index", "span").distinct().withColumns({"lo": lo, "hi": hi})
     asked = need.withColumn("block", F.explode(F.sequence(F.floor(F.col("lo") / block), F.floor(F.col("hi") / block))))
     held = F.array_sort(F.collect_list(F.struct(F.col("word_index").alias("at"), "word"))).alias("held")
-    blocks = words.groupBy("doc_id", F.floor(F.col("word_index") / block).alias("block")).agg(held)
+    near = words.select("doc_id", "word_index", "word", F.floor(F.col("word_index") / block).alias("block"))
+    near = near.join(asked.select("doc_id", "block").distinct(), ["doc_id", "block"], "left_semi")
+    blocks = near.groupBy("doc_id", "block").agg(held)
     inside = F.filter("held", lambda w: (w["at"] >= F.col("lo")) & (w["at"] <= F.col("hi")))
     part = F.transform(inside, lambda w: w["word"])
     parts = asked.join(blocks, ["doc_id", "block"]).groupBy("doc_id", "word_index", "span").agg(F.array_sort(F.collect_list(F.struct("block", part.alias("part")))).alias("parts"))

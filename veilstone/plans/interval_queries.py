@@ -45,6 +45,12 @@ def merge_intervals(spark, sf):
     return intervals.merge_intervals(fx.resolved(spark, sf))
 
 
+@query("merge_intervals_blocks", sql("select doc_id, interval_start, interval_end from merged", "merged"))
+def merge_intervals_blocks(spark, sf):
+    """The same by blocks of 20 seconds, so that a document is many tasks' work."""
+    return intervals.merge_intervals(sinks.saved(fx.resolved(spark, sf), "resolved"), block_sec=20.0)
+
+
 @query("merge_touching", sql("select doc_id, interval_start, interval_end from merged", "merged", pad=62.5))
 def merge_touching(spark, sf):
     return intervals.merge_intervals(fx.resolved(spark, sf, 62.5))

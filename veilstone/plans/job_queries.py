@@ -8,8 +8,8 @@ from ..functions import clock, text
 from ..operators import integrity, intervals, ledger, media, progress
 from . import fixtures as fx
 from .fixtures import sql
-from .matching_queries import hms
-from .registry import query
+from .matching_queries import MATCH, bigint, hms
+from .registry import ORACLES, query
 
 
 @query("fmt_timestamp", f"select event_id, value, {hms('value * 37.03125')} as hms from events")
@@ -146,18 +146,18 @@ ETA = """e as (select user_id as job_id, event_id, row_number() over (partition
 
 @query("segment_eta", f"""with {ETA} select job_id, seg, dur * 1.1::double as estimate, case when spent > 0 then done / spent else 0 end as rate_reported, case when spent > 0 then done_run / spent else 0 end as rate_measured,
     case when spent > 0 and done > 0 then greatest(0, total - done) / (done / spent) end as remaining, case when total > 0 then done / total * 100 else 0 end as overall_pct from f""")
-def segment_eta(spark, sf):
+def segment_eta(spark, sf, block=None):
     from pyspark.sql import Window
 
     order = Window.partitionBy("user_id").orderBy("ts", "event_id")
     dur = F.floor("value").cast("double")
     runs = fx.table(spark, sf, "events").select(F.col("user_id").alias("job_id"), F.row_number().over(order).alias("seg"), (dur + 60).alias("dur"), (dur + 64).alias("wall"), (F.col("event_id") % 6 == 0).alias("skipped"))
-    return progress.segment_eta(runs)
+    return progress.segment_eta(runs, block=block)
 
 
 @query("progress_fold", f"""with b as (select user_id as job_id, n as seq, (n * 25 % 125)::int as pct, user_id % 4 + 1 as models from (select *, row_number() over (partition by user_id order by ts, event_id)::int as n from events)),
     s as (select *, least(models - 1, seq // 5)::int as model_index from b) select job_id, seq, model_index, pct as last_pct, least(1.0::double, (model_index + pct / 100.0::double) / models) as fraction, least(model_index + 1, models) || '/' || models as label from s""")
-def progress_fold(spark, sf):
+def progress_fold(spark, sf, block=None):
     """A log per user: a line that names the number of models (no such line for one), then a bar per event."""
     from pyspark.sql import Window
 
@@ -167,7 +167,17 @@ def progress_fold(spark, sf):
     bars = events.select(job, n.alias("seq"), F.format_string(" %d%%|####", n * 25 % 125).alias("line"))
     models = F.col("user_id") % 4 + 1
     heads = events.select("user_id").distinct().filter(models > 1).select(job, F.lit(0).alias("seq"), F.format_string("Selected model is a bag of %d models.", models).alias("line"))
-    return progress.progress_fold(bars.unionByName(heads))
+    return progress.progress_fold(bars.unionByName(heads), block=block)
+
+
+@query("segment_eta_blocks", ORACLES["segment_eta"])
+def segment_eta_blocks(spark, sf):
+    return segment_eta(spark, sf, block=50)
+
+
+@query("progress_fold_blocks", ORACLES["progress_fold"])
+def progress_fold_blocks(spark, sf):
+    return progress_fold(spark, sf, block=50)
 
 
 @query("ledger_fold", sql("select job_id, steps_completed from folded", "folded"))
@@ -249,3 +259,22 @@ def stream_flag(spark, sf):
     flag_stream(stream_words(spark, f"{folder}/in"), fx.rule_list(spark), f"{folder}/out", f"{folder}/state")
     found = spark.read.parquet(f"{folder}/out")
     return found.select("doc_id", F.col("word_index").cast("long").alias("word_index"), "matched_text", "entry")
+
+
+@query("stream_phrases", sql(f"select {MATCH} from phrase", "phrase"))
+def stream_phrases(spark, sf):
+    """Words written in bands of each document, one band after the other, and streamed a few files at a time:
+    phrases that cross bands are found from the words kept as state."""
+    import uuid
+
+    from ..sources.sinks import saved, shared_dir
+    from ..streaming.flag import phrase_stream, stream_words
+
+    folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    words = saved(fx.words(spark, sf).withColumn("band", F.floor(F.log2(F.col("word_index") / 64 + 1)).cast("int")), "bands")
+    for band in range((words.agg(F.max("band")).first()[0] or 0) + 1):
+        words.filter(F.col("band") == band).drop("band").write.parquet(f"{folder}/in/{band}")
+    rules = fx.rule_list(spark)
+    longest = rules.agg(F.max(F.size("tokens"))).first()[0]
+    phrase_stream(stream_words(spark, f"{folder}/in/*", 6), rules, f"{folder}/out", f"{folder}/state", longest)
+    return bigint(spark.read.parquet(f"{folder}/out/phrases").drop("batch"))

@@ -178,7 +178,7 @@ def review_summary(spark, sf):
 
 
 ASKED = """q0 as (select conv_id, list_filter(string_split_regex(coalesce(text, ''), '[ \\t\\r\\n\\f\\x0B]+'), lambda x: x <> '') as ws from conversations),
-    asked as (select min(conv_id) as query_id, query from (select conv_id, array_to_string(list_slice(ws, i, i + 2), ' ') as query from q0, unnest(range(1, len(ws) - 1, 3)) t(i)) group by query)"""
+    asked as (select min(conv_id) as query_id, query from (select conv_id, array_to_string(list_slice(ws, i, i + 2), ' ') as query from q0, unnest(range(1, greatest(2, len(ws) - 1))) t(i) where len(ws) > 0) group by query)"""
 
 
 @query("phrase_search", sql(f""", {ASKED}, q as (select query_id, query, list_filter(string_split_regex(lower(query), '[ \\t\\r\\n\\f\\x0B]+'), lambda x: x <> '') as q from asked),
@@ -186,13 +186,12 @@ ASKED = """q0 as (select conv_id, list_filter(string_split_regex(coalesce(text,
         from (select *, lower(trim(word, '!"#$%&''()*+,-./:;<=>?@[\\]^_`{{|}}~')) as k from words where "start" is not null) w join p using (k) group by doc_id, w.word_index - j, query_id, query, len(q)),
     m as (select * exclude (n) from hit where n = span) select doc_id, word_index::bigint as word_index, query_id, query, span, "start", context from ({context_sql('m', 6)})""", "words").replace(") ,", "),"))
 def phrase_search(spark, sf):
-    """Every three words in a row, from the first on, of every turn of the conversations; a text that occurs
-    several times is asked for once, under its smallest conversation."""
-    text = F.col("text")
-    said = fx.table(spark, sf, "conversations").select("conv_id", split_words(text).alias("ws"))
-    threes = F.transform(F.sequence(F.lit(1), F.size("ws") - 2, F.lit(3)), lambda i: F.array_join(F.slice("ws", i, 3), " "))
-    asked = said.filter(F.size("ws") > 2).select("conv_id", F.explode(threes).alias("query"))
-    asked = asked.groupBy("query").agg(F.min("conv_id").alias("query_id"))
+    """Every three words in a row of every turn of the conversations, and the whole of shorter turns; a text
+    that occurs several times is asked for once, under its smallest conversation."""
+    said = fx.table(spark, sf, "conversations").select("conv_id", split_words(F.col("text")).alias("ws")).filter(F.size("ws") > 0)
+    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("ws") - 2))
+    threes = F.transform(starts, lambda i: F.array_join(F.slice("ws", i, 3), " "))
+    asked = said.select("conv_id", F.explode(threes).alias("query")).groupBy("query").agg(F.min("conv_id").alias("query_id"))
     return bigint(matching.phrase_search(fx.words(spark, sf), asked, 6))
 
 
@@ -306,7 +305,7 @@ for _name, _taken in (("srt_align", "false"), ("srt_align_srt_primary", "true"),
     )
     def srt_align(spark, sf, strategy=_name.removeprefix("srt_align_").replace("srt_align", "transcript_primary")):
         w = ascii_words(spark, sf)
-        found = extras.srt_align(fx.matches(spark, sf), cues(w), w, strategy=strategy)
+        found = extras.srt_align(fx.kept_matches(spark, sf), cues(w), w, strategy=strategy)
         return bigint(found).select("doc_id", "word_index", "entry", "cue", "aligned_start", "aligned_end")
 
 

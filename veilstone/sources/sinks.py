@@ -40,10 +40,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
-    """``df`` published once in a folder of its own, and read back: what is used several times is made once."""
+    """``df`` written once to a folder of its own, and read back: what is used several times is made once."""
     folder = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    publish(df, folder)
-    return current(df.sparkSession, folder)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
 def bucketed(df: DataFrame, buckets: int = 64) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import split_words
+from ..operators.scans import running
 
 WORD = "struct<word:string,start:double,end:double,score:double>"
 TRANSCRIPT = f"language string, segment_index int, segment_start_offset double, words array<{WORD}>"
@@ -37,11 +38,13 @@ def words_from_text(docs: DataFrame) -> DataFrame:
 
 def rebase_merge(words: DataFrame) -> DataFrame:
     """Segment words on one clock: times plus the segment's offset, rounded to 4 places, nulls kept;
-    numbered densely in segment order. A window per document, since the numbering is the identity."""
-    order = Window.partitionBy("doc_id").orderBy("segment_index", "pos")
+    numbered densely in segment order. Words are numbered inside their segment, and the counts of a
+    document's segments are summed in a window of their own, so a task holds a segment's words and not a
+    document's. ``words`` is read twice."""
     shift = F.coalesce("segment_start_offset", F.lit(0.0))
-    return words.select(
-        "doc_id", (F.row_number().over(order) - 1).alias("word_index"), "word",
+    placed = running(words, "doc_id", [F.col("pos")], "segment_index", -1, word_index=(F.lit(1), "sum"))
+    return placed.select(
+        "doc_id", F.col("word_index").cast("int").alias("word_index"), "word",
         F.round(F.col("start") + shift, 4).alias("start"), F.round(F.col("end") + shift, 4).alias("end"), "score",
     )
 
