@@ -461,6 +461,14 @@ def test_items_in_parts_and_short_documents(spark, monkeypatch):
     assert got == want and {(20, 5), (21, 6)} <= got
 
 
+def test_a_smaller_similarity_holds_for_short_documents_too(spark):
+    words = [f"w{i}" for i in range(40)]
+    docs = spark.createDataFrame([(1, " ".join(words[:28])), (2, " ".join(words[:24])), (3, " ".join(words))], "doc_id long, text string")
+    items = spark.createDataFrame([(7, " ".join(words))], "item_id long, text string")
+    found = lambda least: {r.doc_id for r in decontaminate.contaminated(docs, items, least, 31).collect()}
+    assert found(0.8) == {3} and found(0.6) == {1, 3} and found(0.5) == {1, 2, 3}
+
+
 def test_edited_passages_are_found(spark):
     rng = np.random.default_rng(5)
     word = lambda: "".join(rng.choice(list("abcdefgh"), 6))

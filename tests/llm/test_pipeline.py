@@ -111,10 +111,16 @@ def test_rows_that_share_an_id_or_have_none_are_decided_by_their_own_text(spark)
 
 
 def test_odd_rows_pass_through(spark, odd, none):
-    docs = odd.select("doc_id", "text", "lang", "source", "n_chars")
+    """Columns of the user's, also of names that operators use, come back as they were."""
+    names = ["row_hash", "__row", "__digest", "__print", "__key", "__text", "kept", "component_id", "predicted", "n_removed", "own_0", "__spans"]
+    docs = odd.withColumns({c: F.lit(f"my {c}") for c in names})
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, docs, SF)
-        assert stage is corpus_pipeline.STAGES[-1][1] or out.columns == docs.columns
-        out.count()
+        if stage is not corpus_pipeline.STAGES[-1][1]:
+            assert out.columns == docs.columns
+            for r in out.collect():
+                assert (r.score, r.kept_text, r.n_words, r.lang) == (2.0, "k", 7, "en") and all(r[c] == f"my {c}" for c in names)
+        else:
+            out.count()
         assert stage(spark, docs.filter(F.lit(False)), SF).count() == 0
     assert quality.STATISTICS

@@ -15,11 +15,14 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session leaves it unset (tests on one machine) a new temporary folder is taken.
+    Only where the session leaves it unset a session on one machine takes a new temporary folder; on a cluster
+    that is an error, since executors can't see the driver's folders.
     """
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if sc.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="veilstone-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

@@ -117,9 +117,11 @@ class MultiIndex:
 
 
 class Scanner:
-    """Looks the windows of texts up in the multi-index of some items (size, number, print)."""
+    """Looks the windows of texts up in the multi-index of some items (size, number, print). A text shorter than
+    an item is looked up where its length allows a similarity of ``least``."""
 
-    def __init__(self, sizes: np.ndarray, numbers: np.ndarray, prints: np.ndarray, radius: int):
+    def __init__(self, sizes: np.ndarray, numbers: np.ndarray, prints: np.ndarray, radius: int, least: float = SIMILARITY):
+        self.least = least
         self.sizes = {int(s): MultiIndex(numbers[sizes == s], prints[sizes == s], radius) for s in np.unique(sizes)}
         self.longest = int(sizes.max())
 
@@ -137,7 +139,7 @@ class Scanner:
                 n = left[short]
                 whole = np.array([simhash(own[s : s + m - k + 1]) for s, m in zip(short.tolist(), n.tolist())], np.uint64)
                 for size in sizes:
-                    fit = np.flatnonzero((n < size) & (n - k + 1 >= SIMILARITY * (size - k + 1)))
+                    fit = np.flatnonzero((n < size) & (n - k + 1 >= self.least * (size - k + 1) - 1e-9))
                     for number, rows, bits in self.sizes[size].find(whole[fit]) if len(fit) else ():
                         yield number, short[fit[rows]], bits, size
 
@@ -176,7 +178,7 @@ def _lines(texts: Iterator[bytes | None]) -> Iterator[list[tuple[int, bytes]]]:
         yield held
 
 
-def candidates(docs: DataFrame, items: DataFrame, radius: int) -> DataFrame:
+def candidates(docs: DataFrame, items: DataFrame, radius: int, least: float = SIMILARITY) -> DataFrame:
     """Runs of windows of ``docs`` (doc_id, text) within ``radius`` of an item (item, size, print): a row for
     each document and item, with the first words of each run and the words from its first to its last
     window, joined by a space."""
@@ -188,10 +190,10 @@ def candidates(docs: DataFrame, items: DataFrame, radius: int) -> DataFrame:
         steady_heap()
         parts = -(-len(shared.value[0]) // ITEMS_AT_ONCE)
         cuts = [tuple(np.array_split(c, parts)[p] for c in shared.value) for p in range(parts)]
-        only = Scanner(*cuts[0], radius) if parts == 1 else None
+        only = Scanner(*cuts[0], radius, least) if parts == 1 else None
         for batch in batches:
             for cut in cuts:
-                scanner = only or Scanner(*cut, radius)
+                scanner = only or Scanner(*cut, radius, least)
                 for held in _lines(byte_texts(batch.column(1))):
                     yield _found(scanner, held, batch.column(0))
         release_memory()
@@ -283,7 +285,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARIT
     passes = blocks_for(items.count(), MOST_ITEMS, 1 << 30)  # one, up to four million items
     for n in range(passes):
         own = items.filter(F.pmod(F.xxhash64("item"), F.lit(passes)) == n)
-        got = candidates(narrow, own, radius).join(items.drop("size"), "item")
+        got = candidates(narrow, own, radius, least).join(items.drop("size"), "item")
         got = got.select("doc_id", "item_id", "item_text", "print", "firsts", "lasts", "texts").mapInArrow(_verified(least), HITS)
         found = got if found is None else found.unionByName(got)
     return found
