@@ -7,7 +7,7 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
-from veilstone.operators import intervals, matching, progress, scans
+from veilstone.operators import intervals, matching, progress, scans, worddiff
 from veilstone.sources import lexicon, sinks, subtitles, transcripts
 from veilstone.streaming.flag import phrase_stream, stream_words
 
@@ -149,3 +149,43 @@ def test_long_phrases_and_long_documents(spark):
 
 def test_the_name_of_a_saved_table_is_new_each_time(spark):
     assert sinks.saved(spark.range(3), f"t-{uuid.uuid4().hex}").count() == 3
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_word_edits_are_the_fewest_and_turn_one_text_into_the_other(seed):
+    r = random.Random(seed)
+    for _ in range(150):
+        a = [r.choice("abcde") for _ in range(r.randrange(25))]
+        b = [x for x in a if r.random() > 0.2] if r.random() < 0.5 else [r.choice("abcde") for _ in range(r.randrange(25))]
+        ops, i, j, made = worddiff.edits(a, b), 0, 0, []
+        for op in ops:
+            assert (op == "keep") == (op in ("keep", "replace") and a[i] == b[j])
+            made += [] if op == "delete" else [b[j]]
+            i, j = i + (op != "insert"), j + (op != "delete")
+        assert made == b and i == len(a) and sum(op != "keep" for op in ops) == distance(a, b)
+    assert worddiff.edits(list("ab"), list("axb")) == ["keep", "insert", "keep"] and worddiff.edits([], []) == []
+
+
+def test_word_operations_of_cues(spark):
+    said = [(1, i, w, 0.5 * i, 0.5 * i + 0.25, 0.5) for i, w in enumerate("The quick, brown fox jumps over it".split())]
+    words = spark.createDataFrame(said, "doc_id long, word_index int, word string, start double, end double, score double")
+    rows = [(1, 1, 0.0, 2.0, "the quick red fox", "mine"), (1, 2, 2.0, 4.0, "jumps it", "mine"), (1, 3, 4.0, 5.0, "gone", "mine"), (1, 4, 5.0, 6.0, None, "mine"), (2, 1, 0.0, 1.0, "x", "mine")]
+    cues = spark.createDataFrame(rows, f"{CUE}, a string")
+    ops = worddiff.word_diff(words, cues)
+    got = [tuple(x) for x in ops.orderBy("doc_id", "cue", "pos").collect()]
+    assert got == [
+        (1, 1, 0, "keep", "the", "The"), (1, 1, 1, "keep", "quick", "quick,"), (1, 1, 2, "replace", "red", "brown"), (1, 1, 3, "keep", "fox", "fox"),
+        (1, 2, 0, "keep", "jumps", "jumps"), (1, 2, 1, "insert", None, "over"), (1, 2, 2, "keep", "it", "it"), (1, 3, 0, "delete", "gone", None), (2, 1, 0, "delete", "x", None),
+    ]
+    new = {(x.doc_id, x.cue): x.new_text for x in worddiff.corrected_text(ops, ["replace", "insert"]).collect()}
+    assert new == {(1, 1): "the quick brown fox", (1, 2): "jumps over it", (1, 3): "gone", (2, 1): "x"}
+    assert worddiff.word_diff(words, cues.limit(0)).count() == 0
