@@ -7,7 +7,7 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
-from veilstone.operators import intervals, matching, progress, scans, worddiff
+from veilstone.operators import alignment, intervals, matching, progress, scans, worddiff
 from veilstone.sources import lexicon, sinks, subtitles, transcripts
 from veilstone.streaming.flag import phrase_stream, stream_words
 
@@ -189,3 +189,29 @@ def test_word_operations_of_cues(spark):
     new = {(x.doc_id, x.cue): x.new_text for x in worddiff.corrected_text(ops, ["replace", "insert"]).collect()}
     assert new == {(1, 1): "the quick brown fox", (1, 2): "jumps over it", (1, 3): "gone", (2, 1): "x"}
     assert worddiff.word_diff(words, cues.limit(0)).count() == 0
+
+
+def test_longest_chains():
+    r = random.Random(9)
+    for _ in range(300):
+        x = [r.randrange(12) for _ in range(r.randrange(10))]
+        got = alignment.longest_chain(x)
+        chosen = [[v for i, v in enumerate(x) if m >> i & 1] for m in range(1 << len(x))]
+        most = max(len(c) for c in chosen if all(p < q for p, q in zip(c, c[1:])))
+        assert len(got) == most and all(a < b and x[a] < x[b] for a, b in zip(got, got[1:]))
+
+
+def test_cues_on_a_shifted_or_drifting_clock_get_their_times_back(spark):
+    r = random.Random(4)
+    text = {d: [f"w{r.randrange(400)}" for _ in range(240)] for d in (1, 2, 3)} | {4: ["la"] * 24}
+    text[3][100:140] = text[3][140:180]  # repeated words give no anchors
+    words = spark.createDataFrame(words_of({d: " ".join(t) for d, t in text.items()}), "doc_id long, word_index int, word string, start double, end double, score double")
+    moved = {1: lambda t: t + 40, 2: lambda t: t * 1.02 + 5, 3: lambda t: t - 7.5 if t < 60 else t + 12.25, 4: lambda t: t + 1}
+    rows = [(d, k, moved[d](k * 6.0), moved[d](k * 6.0 + 5.999), " ".join(t[k * 12 : k * 12 + 12]), k * 6.0) for d, t in text.items() for k in range(len(t) // 12)]
+    cues = spark.createDataFrame([*rows, (None, 0, 1.0, 2.0, "x", 0.0), (1, 99, None, None, None, 0.0)], f"{CUE}, a double")
+    got = alignment.realign_cues(words, cues).filter("doc_id is not null and cue <> 99").collect()
+    assert len(got) == len(rows) and {x.doc_id for x in got if not x.anchored} == {4}
+    for x in got:
+        near = 0.02 if x.doc_id in (1, 2) else 1.5 if x.doc_id == 3 else 1.01
+        if not (x.doc_id == 3 and 54 <= x.a <= 66):
+            assert abs(x.cue_start - x.a) <= near, x
