@@ -41,7 +41,7 @@ def leaf(*fields: Column) -> Column:
 
 
 def _grouped(docs: DataFrame, group: str, ident: str, digest: Column, carry: dict[str, Column]) -> DataFrame:
-    """Distinct rows (g, at, leaf, carried columns, n): ``g`` is the group as a text that is never null and
+    """Distinct rows (g, doc_id, leaf, carried columns, n): ``g`` is the group as a text that is never null and
     sorts as the group does with null first; ``n`` counts equal rows."""
     g = F.when(F.col(group).isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col(group).cast("string")))
     named = [g.alias("g"), F.col(ident).cast("long").alias("doc_id"), digest.alias("leaf"), *[c.alias(k) for k, c in carry.items()]]
