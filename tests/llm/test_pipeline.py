@@ -96,6 +96,40 @@ def test_near_copies_match_brute_force_on_edited_texts(spark):
     assert {r.doc_id for r in rows if r.kept} == set(want.values())
 
 
+def test_crowded_keys_move_back_and_no_pair_is_lost(spark):
+    """A passage in every text, held by too many for a key; pairs of 0.8 and more, just over and just under."""
+    rng = np.random.default_rng(11)
+    passage, texts = [f"p{i}" for i in range(60)], {}
+    for family in range(40):
+        base = [f"w{x}" for x in rng.integers(0, 90000, int(rng.integers(20, 200)))]
+        for _ in range(4):
+            words = list(base)
+            for at in rng.integers(0, len(words), int(rng.integers(0, 1 + len(words) // 25))):
+                words[at] = f"v{rng.integers(0, 90000)}"
+            at = int(rng.integers(0, len(words)))
+            texts[len(texts)] = " ".join(words[:at] + passage + words[at:])
+    docs, want = spark.createDataFrame(list(texts.items()), "doc_id long, text string"), brute_near_copies(texts)
+    assert 40 <= len(set(want.values())) < 160
+    for crowd in (4, 40, 10**9):
+        assert {r.doc_id: r.component_id for r in nearcopies.near_copies(docs, crowd=crowd).collect()} == want
+    held = spark.createDataFrame(list(texts.items()), "id long, text string")
+    widest = lambda crowd: nearcopies._spread_keys(held, 5, 0.8, crowd).groupBy("key").count().agg(F.max("count")).first()[0]
+    nearcopies.SAMPLE, before = 1, nearcopies.SAMPLE  # too small a sample to know the passage
+    try:
+        assert 3 * widest(10) < widest(10**9) > 100
+    finally:
+        nearcopies.SAMPLE = before
+
+
+def test_bitmaps_differ_in_no_more_bits_than_the_sets_in_members():
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 5, 90, 3000):
+        a = rng.integers(0, 2**63, n).astype(np.uint64)
+        b = np.concatenate([a[: n - n // 5], rng.integers(0, 2**63, n // 6).astype(np.uint64)])
+        bits = sum(bin((int(x) ^ int(y)) & (2**64 - 1)).count("1") for x, y in zip(nearcopies.parities(a), nearcopies.parities(b)))
+        assert bits <= len(set(a.tolist()) ^ set(b.tolist())) and not (nearcopies.parities(a) ^ nearcopies.parities(a)).any()
+
+
 def test_rows_that_share_an_id_or_have_none_are_decided_by_their_own_text(spark):
     rng = np.random.default_rng(3)
     text = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 9999, n))

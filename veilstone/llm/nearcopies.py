@@ -7,9 +7,12 @@ of ``simhash`` proposes the first pairs, from fingerprints of the shingle sets.
 serve guarantees a similarity (0.8 is about 10 bits away), so a prefix filter, which loses none, proposes
 the rest: with the shingles of all texts in one order, two linked texts share a shingle among the first
 n - ceil(least * n) + 1 of the larger set and the first n - ceil(2 * least / (1 + least) * n) + 1 of the
-smaller one. Any order is right; shingles that are common in a sample stand last, so that few texts meet at
-a key. Candidates whose fingerprints differ in more than FAR bits are dropped: pairs of similarity 0.8 lie
-five deviations or more below that. The others are compared over the words themselves.
+smaller one. Any order is right; shingles that are common stand last, so that few texts meet at a key: those
+common in a sample, and then those that stand in the prefixes of more than ``crowd`` texts, which moves a
+passage behind the rest of its texts. Texts that meet must also pass a bitmap filter (Sandes, Teodoro and
+Melo, 2017), which loses none either: with a set's hashes counted by parity in 256 bits, the bits in which two
+bitmaps differ are at most the shingles that one set has and the other doesn't, and those are at most
+(1 - least) / (1 + least) of both sizes. What passes is compared over the words themselves.
 
 Texts with the same shingles are one node (a 128-bit digest of the sorted 64-bit shingle hashes), so exact
 copies are never paired. Once the first links have joined texts, each key's texts are compared with a few
@@ -38,8 +41,9 @@ from .wordhash import gram_hashes, mixed, word_hashes
 SHINGLE, SIMILARITY = 5, 0.8
 SAMPLE, MOST_COMMON = 20_000, 200_000  # they set the order of shingles, so the work, not the result
 TINY = 1e-9
-FAR = 28  # bits; at similarity 0.8 fingerprints differ in about 10 (12 in the smallest sets) with a deviation of 3
-ADDED = ("component_id", "kept", "__row", "__digest", "__print")
+CROWD, ROUNDS = 256, 3  # as do these
+BITS = ("b0", "b1", "b2", "b3")
+ADDED = ("component_id", "kept", "__row", "__digest", "__print", *[f"__{b}" for b in BITS])
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -66,6 +70,12 @@ def set_print(hashes: np.ndarray) -> int:
     return int(np.packbits(counts * 2 > len(hashes)).view("<i8")[0])
 
 
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """256 bits as four signed longs: whether an odd number of the hashes fell on each."""
+    counts = np.bincount((mixed(hashes) >> np.uint64(56)).astype(np.int64), minlength=256)
+    return np.packbits((counts & 1).astype(np.uint8)).view("<i8")
+
+
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list]]:
     """Small parts of the batches, and their texts as bytes."""
     steady_heap()
@@ -76,24 +86,26 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
 
 
 def _marked(docs: DataFrame, k: int) -> DataFrame:
-    """``docs`` with __row, __digest (of the shingle set) and __print (its fingerprint), saved."""
+    """``docs`` with __row, __digest (of the shingle set), __print (its fingerprint) and its bitmap, saved."""
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in _texts(batches):
             held = [shingle_hashes(t, k) for t in texts]
             made = [pa.array([xxhash.xxh3_128_digest(h.tobytes()) for h in held], pa.binary()), pa.array(list(map(set_print, held)), pa.int64())]
-            yield pa.RecordBatch.from_arrays([*part.columns, *made], names=[*part.schema.names, "__digest", "__print"])
+            bits = np.array([parities(h) for h in held], np.int64).reshape(-1, len(BITS))
+            made += [pa.array(bits[:, i]) for i in range(len(BITS))]
+            yield pa.RecordBatch.from_arrays([*part.columns, *made], names=[*part.schema.names, "__digest", "__print", *[f"__{b}" for b in BITS]])
         release_memory()
 
     taken = docs.select(*[c for c in docs.columns if c not in ADDED])
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in taken.schema)
-    made = taken.mapInArrow(mark, f"{kinds}, __digest binary, __print long")
+    made = taken.mapInArrow(mark, f"{kinds}, __digest binary, __print long, " + ", ".join(f"__{b} long" for b in BITS))
     return save(made.withColumn("__row", F.monotonically_increasing_id()), "near-rows")
 
 
-def _common(texts: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of shingles that several texts of a sample hold, and in how many. At most
-    MOST_COMMON reach the driver."""
+def _common(texts: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Sorted hashes of shingles that several texts of a sample hold, in how many, and for how many texts one
+    of the sample stands. At most MOST_COMMON reach the driver."""
     step = math.ceil(max(1, texts.count()) / SAMPLE)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,18 +117,18 @@ def _common(texts: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
     found = sample.mapInArrow(each, "key long").groupBy("key").count().filter("count > 2").orderBy(F.desc("count"), "key").limit(MOST_COMMON).toArrow()
     keys, counts = found.column(0).to_numpy().astype(np.int64).view(np.uint64), found.column(1).to_numpy()
     order = np.argsort(keys)
-    return keys[order], counts[order]
+    return keys[order], counts[order].astype(float), step
 
 
-def _keys(texts: DataFrame, k: int, least: float) -> DataFrame:
-    """The first shingles of each of ``texts`` (id, print, text): (key, id, print, n, pos, indexed)."""
-    shared = texts.sparkSession.sparkContext.broadcast(_common(texts, k))
+def _keys(texts: DataFrame, k: int, least: float, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """The first shingles of each of ``texts`` (id, text), those of ``common`` last: (key, id, n, pos, indexed)."""
+    shared = texts.sparkSession.sparkContext.broadcast(common)
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, counts = shared.value
         for part, held in _texts(batches):
-            columns: list[list[np.ndarray]] = [[], [], [], [], [], []]
-            for node, own_print, text in zip(part.column("id").to_pylist(), part.column("print").to_pylist(), held):
+            columns: list[list[np.ndarray]] = [[], [], [], [], []]
+            for node, text in zip(part.column("id").to_pylist(), held):
                 own = shingle_hashes(text, k)
                 if not (n := len(own)):
                     continue
@@ -126,22 +138,48 @@ def _keys(texts: DataFrame, k: int, least: float) -> DataFrame:
                 size = n - math.ceil(least * n - TINY) + 1
                 pos = np.arange(size)
                 indexed = pos < n - math.ceil(2 * least / (1 + least) * n - TINY) + 1
-                for column, value in zip(columns, (own[:size].view(np.int64), np.full(size, node), np.full(size, own_print), np.full(size, n), pos, indexed)):
+                for column, value in zip(columns, (own[:size].view(np.int64), np.full(size, node), np.full(size, n), pos, indexed)):
                     column.append(value)
-            kinds = (np.int64, np.int64, np.int64, np.int32, np.int32, bool)
+            kinds = (np.int64, np.int64, np.int32, np.int32, bool)
             made = [pa.array(np.concatenate(c).astype(t) if c else np.zeros(0, t)) for c, t in zip(columns, kinds)]
-            yield pa.RecordBatch.from_arrays(made, names=["key", "id", "print", "n", "pos", "indexed"])
-
-    return texts.mapInArrow(first, "key long, id long, print long, n int, pos int, indexed boolean")
+            yield pa.RecordBatch.from_arrays(made, names=["key", "id", "n", "pos", "indexed"])
+
+    return texts.select("id", "text").mapInArrow(first, "key long, id long, n int, pos int, indexed boolean")
+
+
+def _spread_keys(texts: DataFrame, k: int, least: float, crowd: int) -> DataFrame:
+    """``_keys`` at keys that several texts hold, once keys of more than ``crowd`` texts have moved back in the
+    order, to where their number puts them among the common shingles of the sample.
+
+    A key only moves back, and the others keep their order, so the prefix of a text that has none of the moved
+    keys in it stays what it is: only the other texts are read again. A round brings forward few new shingles
+    of a passage; after ROUNDS the rest stays. At most MOST_COMMON keys a round reach the driver."""
+    common, counts, step = _common(texts, k)
+    keys = save(_keys(texts, k, least, (common, counts)), "near-keys")
+    for last in (*[False] * ROUNDS, True):
+        held = save(keys.groupBy("key").agg(F.count("*").alias("texts")).filter("texts > 1"), "near-held")
+        top = None if last else held.filter(F.col("texts") > crowd).orderBy(F.desc("texts"), "key").limit(MOST_COMMON).toArrow()
+        found = top.column("key").to_numpy().astype(np.int64).view(np.uint64) if top is not None else np.zeros(0, np.uint64)
+        new = ~np.isin(found, common)
+        if not new.any():
+            return save(keys.join(held.select("key"), "key"), "near-hits")
+        common, counts = np.append(common, found[new]), np.append(counts, top.column("texts").to_numpy()[new] / step)
+        order = np.argsort(common)
+        common, counts = common[order], counts[order]
+        moved = texts.sparkSession.createDataFrame([(int(x),) for x in found[new].view(np.int64)], "key long")
+        ids = save(keys.join(moved, "key", "left_semi").select("id").distinct(), "near-moved")
+        again = _keys(texts.join(ids, "id", "left_semi"), k, least, (common, counts))
+        keys = save(keys.join(ids, "id", "left_anti").unionByName(again), "near-keys")
 
 
 def _fits(x: str, y: str, least: float) -> Column:
     """Whether the sets of rows x and y that meet at a key can be similar enough: by their sizes, by what can
-    follow the key, and by FAR bits of their fingerprints."""
+    follow the key, and by the bits in which their bitmaps differ."""
     n, m, pos, at = F.col(f"{x}n"), F.col(f"{y}n"), F.col(f"{x}pos"), F.col(f"{y}pos")
     most = F.least(n - pos, m - at)
-    bits = F.bit_count(F.col(f"{x}print").bitwiseXOR(F.col(f"{y}print")))
-    return (F.least(n, m) >= least * F.greatest(n, m) - TINY) & (most >= least / (1 + least) * (n + m) - TINY) & (bits <= FAR)
+    both = F.ceil(least / (1 + least) * (n + m) - TINY)
+    bits = sum((F.bit_count(F.col(f"{x}{b}").bitwiseXOR(F.col(f"{y}{b}"))) for b in BITS[1:]), F.bit_count(F.col(f"{x}b0").bitwiseXOR(F.col(f"{y}b0"))))
+    return (F.least(n, m) >= least * F.greatest(n, m) - TINY) & (most >= both) & (bits <= n + m - 2 * both)
 
 
 def _similar(pairs: DataFrame, texts: DataFrame, k: int, least: float) -> DataFrame:
@@ -173,19 +211,19 @@ def _similar(pairs: DataFrame, texts: DataFrame, k: int, least: float) -> DataFr
     return save(both.mapInArrow(compare, "a long, b long"), "similar")
 
 
-def _unconnected(hits: DataFrame, links: DataFrame) -> DataFrame:
-    """``hits`` with their root over ``links``, at the keys that still hold several roots."""
+def _unconnected(hits: DataFrame, links: DataFrame, bitmaps: DataFrame) -> DataFrame:
+    """``hits`` with their root over ``links`` and their bitmap, at the keys that still hold several roots."""
     roots = save(components(links), "near-roots")
     known = hits.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     mixed = known.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).filter("r < s").select("key")
-    return save(known.join(mixed, "key"), "near-open")
+    return save(known.join(mixed, "key").join(bitmaps, "id"), "near-open")
 
 
 def _to_centres(hits: DataFrame, seeds: tuple[int, ...], least: float) -> DataFrame:
     """Candidates (a, b): each node with one node of its keys for each of ``seeds``. An order of the ids by
     hash picks a centre of each key, and the first of the centres that fit for each node, so there are no
     more candidates than nodes times seeds."""
-    names, order = ("id", "print", "n", "pos", "root"), {i: F.xxhash64("id", F.lit(i)) for i in seeds}
+    names, order = ("id", "n", "pos", "root", *BITS), {i: F.xxhash64("id", F.lit(i)) for i in seeds}
     picked = hits.groupBy("key").agg(*[F.min_by(F.struct(*names), order[i]).alias(f"c{i}") for i in seeds])
     centres = F.explode(F.array(*[F.struct(F.lit(i).alias("seed"), *[F.col(f"c{i}.{c}").alias(c) for c in names]) for i in seeds])).alias("c")
     met = hits.join(picked, "key").select(*names, centres).filter(F.col("root") != F.col("c.root")).filter(_fits("", "c.", least))
@@ -204,24 +242,23 @@ def _by_print(nodes: DataFrame, radius: int) -> DataFrame:
     return same.unionByName(named).distinct()
 
 
-def near_copies(docs: DataFrame, least: float = SIMILARITY, shingle: int = SHINGLE, radius: int = simhash.RADIUS) -> DataFrame:
+def near_copies(docs: DataFrame, least: float = SIMILARITY, shingle: int = SHINGLE, radius: int = simhash.RADIUS, crowd: int = CROWD) -> DataFrame:
     """``docs`` (with doc_id and text) with ``component_id``, the smallest doc_id reachable over links, and
     ``kept``, true for one row of each component: the one of smallest doc_id, null ids last, the first such
     row. Texts without words are one node. Repeated rows and rows that share an id are rows of their own,
-    of which at most one is kept; a component of null ids alone has a null component_id."""
+    of which at most one is kept; a component of null ids alone has a null component_id. ``crowd`` bounds the
+    work, not the result."""
     marked = _marked(docs, shingle)
     rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("__row").alias("row"))
-    nodes = save(marked.groupBy("__digest").agg(F.min("__row").alias("id"), F.min(rank).alias("first"), F.min("__print").alias("print")), "near-nodes")
+    nodes = save(marked.groupBy("__digest").agg(F.min("__row").alias("id"), F.min(rank).alias("first"), F.min("__print").alias("print"), *[F.min(f"__{b}").alias(b) for b in BITS]), "near-nodes")
     first = nodes.select("__digest", "id")
     copies = save(marked.select("__row", "__digest").join(first, "__digest").filter("__row <> id").select(F.col("__row").alias("id")), "near-exact")
-    texts = marked.select(F.col("__row").alias("id"), F.col("__print").alias("print"), "text").join(copies, "id", "left_anti")
+    texts = marked.select(F.col("__row").alias("id"), "text").join(copies, "id", "left_anti")
 
     links = _similar(_by_print(nodes.select("id", "print"), radius), texts, shingle, least)
-    keys = save(_keys(texts, shingle, least), "near-keys")
-    shared = keys.groupBy("key").agg(F.min("id").alias("r"), F.max("id").alias("s")).filter("r < s").select("key")
-    hits = save(keys.join(shared, "key"), "near-hits")
-    links = links.unionByName(_similar(_to_centres(_unconnected(hits, links), (1, 2, 3), least), texts, shingle, least))
-    open_ = _unconnected(hits, links)
+    hits, bitmaps = _spread_keys(texts, shingle, least, crowd), nodes.select("id", *BITS)
+    links = links.unionByName(_similar(_to_centres(_unconnected(hits, links, bitmaps), (1, 2, 3), least), texts, shingle, least))
+    open_ = _unconnected(hits, links, bitmaps)
     x, y = open_.alias("x"), open_.filter("indexed").alias("y")
     smaller = (F.col("y.n") < F.col("x.n")) | ((F.col("y.n") == F.col("x.n")) & (F.col("y.id") < F.col("x.id")))
     fits = _fits("x.", "y.", least)
