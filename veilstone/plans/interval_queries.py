@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import intervals, media, overrides, review, series, stats
+from ..operators import asof, intervals, media, overrides, review, series, stats
 from ..sources import sinks
 from . import fixtures as fx
 from .fixtures import sql
@@ -220,3 +220,22 @@ def tile_of(spark, sf):
     """The tile of each sample in the track of its number; samples beyond the end are in the last."""
     both = fx.samples(spark, sf).join(fx.tracks(spark, sf), "track_id")
     return both.select("track_id", "event_id", "t", intervals.tile_of(F.col("t"), F.col("total_duration_sec"), 1800).alias("tile"))
+
+
+@query("adds_on_words", sql("""select a.doc_id, a.req, a."start", w.word_index::bigint as on_index, w.word as on_word, coalesce(a."start" < w."end", false) as sounding
+    from (select doc_id, i as req, doc_id % 10 + i * 7.5::double + 0.25 as "start" from documents, unnest(range(0, 4)) t(i)) a
+    asof left join words w on a."start" >= w."start" and w.doc_id = a.doc_id""", "words"))
+def adds_on_words(spark, sf):
+    """Four adds a document, with the word that each falls on."""
+    adds = fx.table(spark, sf, "documents").select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))).alias("req"))
+    adds = adds.withColumn("start", F.col("doc_id") % 10 + F.col("req") * 7.5 + 0.25)
+    return asof.adds_on_words(adds, fx.words(spark, sf)).withColumn("on_index", F.col("on_index").cast("long"))
+
+
+@query("asof_events", """select e.event_id, e.user_id, v.view_id from events e
+    asof left join (select user_id, ts, max(event_id) as view_id from events where event_type = 'view' group by user_id, ts) v on v.user_id = e.user_id and e.ts >= v.ts""")
+def asof_events(spark, sf):
+    """Every event with its user's last view up to then, by blocks of a day."""
+    events = fx.table(spark, sf, "events").select("event_id", "user_id", "ts", "event_type")
+    views = events.filter("event_type = 'view'")
+    return asof.asof(events, views, "user_id", "ts", "ts", {"view_id": "event_id"}, "event_id", block_sec=86400.0).select("event_id", "user_id", "view_id")

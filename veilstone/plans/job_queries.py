@@ -278,3 +278,18 @@ def stream_phrases(spark, sf):
     longest = rules.agg(F.max(F.size("tokens"))).first()[0]
     phrase_stream(stream_words(spark, f"{folder}/in/*", 6), rules, f"{folder}/out", f"{folder}/state", longest)
     return bigint(spark.read.parquet(f"{folder}/out/phrases").drop("batch"))
+
+
+@query("stream_intervals", sql("select doc_id, interval_start, interval_end from merged", "merged"))
+def stream_intervals(spark, sf):
+    """Padded intervals written as files, streamed and merged; none is late, since all times may be late by a
+    day and more."""
+    import uuid
+
+    from ..sources.sinks import shared_dir
+    from ..streaming.merge import interval_stream, merged_so_far, stream_spans
+
+    folder = f"{shared_dir(spark)}/spans-{uuid.uuid4().hex}"
+    fx.resolved(spark, sf).select("doc_id", "padded_start", "padded_end").write.parquet(f"{folder}/in")
+    interval_stream(stream_spans(spark, f"{folder}/in"), f"{folder}/out", f"{folder}/state", 100_000.0)
+    return merged_so_far(spark, f"{folder}/out").drop("closed")
