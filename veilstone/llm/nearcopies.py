@@ -212,11 +212,12 @@ def _similar(pairs: DataFrame, texts: DataFrame, k: int, least: float) -> DataFr
 
 
 def _unconnected(hits: DataFrame, links: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """``hits`` with their root over ``links`` and their bitmap, at the keys that still hold several roots."""
+    """``hits`` with their root over ``links`` and their bitmap, at the keys that still hold several roots.
+    Bitmaps, the widest part, are joined when the table is read."""
     roots = save(components(links), "near-roots")
     known = hits.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     mixed = known.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).filter("r < s").select("key")
-    return save(known.join(mixed, "key").join(bitmaps, "id"), "near-open")
+    return save(known.join(mixed, "key"), "near-open").join(bitmaps, "id")
 
 
 def _to_centres(hits: DataFrame, seeds: tuple[int, ...], least: float) -> DataFrame:
