@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.clock import parse_timestamp
+from ..sources import keyed
 
 
 def skip_antijoin(matches: DataFrame, overrides: DataFrame) -> DataFrame:
@@ -51,3 +52,15 @@ def apply_corrections(existing: DataFrame, skips: DataFrame, adds: DataFrame) ->
 def redo_review(existing: DataFrame, replacement: DataFrame, redone: DataFrame) -> DataFrame:
     """All overrides of the ``redone`` documents replaced, also by nothing."""
     return existing.join(redone.select("doc_id").distinct(), "doc_id", "left_anti").unionByName(replacement.select(*existing.columns).join(redone.select("doc_id").distinct(), "doc_id", "left_semi"))
+
+
+def correct_table(spark: SparkSession, folder: str, skips: DataFrame, adds: DataFrame) -> int:
+    """A request applied to the overrides kept in ``folder`` (``sources.keyed``); only the buckets of its
+    documents are read and written. Returns the new version."""
+    asked = skips.select("doc_id").unionByName(adds.select("doc_id"))
+    return keyed.rewrite(spark, folder, asked, lambda old: apply_corrections(old, skips, adds))
+
+
+def redo_table(spark: SparkSession, folder: str, replacement: DataFrame, redone: DataFrame) -> int:
+    """All kept overrides of the ``redone`` documents replaced, also by nothing."""
+    return keyed.replace(spark, folder, redone, replacement)

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from ..operators import asof, intervals, media, overrides, review, series, stats
-from ..sources import sinks
+from ..operators import asof, intervals, matching, media, overrides, review, series, stats
+from ..sources import keyed, sinks
 from . import fixtures as fx
 from .fixtures import sql
 from .job_queries import ENCODER_SQL
-from .matching_queries import bigint, decisions, hms, replay_sql
-from .registry import query
+from .matching_queries import MATCH, bigint, decisions, hms, replay_sql
+from .registry import ORACLES, query
 
 LOG_SQL = f"""select doc_id, source, word, entry, word_index::bigint as word_index, round("start", 4) as "start", round("end", 4) as "end", score, round(padded_start, 4) as padded_start, round(padded_end, 4) as padded_end,
     row_number() over (partition by doc_id order by round(padded_start, 4), k1, k2, k3, k4)::int as seq,
@@ -104,6 +106,43 @@ def redo_review(spark, sf):
     return bigint(overrides.redo_review(fx.overrides(spark, sf), new, docs.filter("doc_id % 4 = 0").select("doc_id")))
 
 
+def kept_overrides(spark, sf):
+    """The overrides as a bucketed table in a folder of its own."""
+    folder = f"{sinks.shared_dir(spark)}/overrides-{uuid.uuid4().hex}"
+    keyed.create(fx.overrides(spark, sf), folder, buckets=16)
+    return folder
+
+
+@query("correct_table", ORACLES["apply_corrections"])
+def correct_table(spark, sf):
+    """A request applied to a kept table, and once more: skips are there already, and no add is asked for."""
+    folder = kept_overrides(spark, sf)
+    skips, adds = requests(spark, sf)
+    overrides.correct_table(spark, folder, skips, adds)
+    overrides.correct_table(spark, folder, skips.filter("doc_id % 5 <> 0"), adds.limit(0))
+    return bigint(keyed.read(spark, folder))
+
+
+@query("redo_table", ORACLES["redo_review"])
+def redo_table(spark, sf):
+    folder, docs = kept_overrides(spark, sf), fx.table(spark, sf, "documents")
+    new = docs.filter("doc_id % 8 = 0").select("doc_id", F.lit(1).alias("seq"), F.lit("add").alias("action"), F.lit(None).cast("int").alias("word_index"), F.lit("manual").alias("text"), F.lit(1.0).alias("start"), F.lit(2.0).alias("end"))
+    overrides.redo_table(spark, folder, new, docs.filter("doc_id % 4 = 0").select("doc_id"))
+    return bigint(keyed.read(spark, folder))
+
+
+@query("rematch_documents", sql(f"select {MATCH} from matches", "matches"))
+def rematch_documents(spark, sf):
+    """Kept matches, of which every third document has only those of its first words, matched again for those
+    documents: their buckets alone are written."""
+    folder = f"{sinks.shared_dir(spark)}/matches-{uuid.uuid4().hex}"
+    stale = F.col("doc_id") % 3 == 0
+    keyed.create(fx.kept_matches(spark, sf).filter(~stale | (F.col("word_index") < 8)), folder, buckets=16)
+    words = fx.words(spark, sf).filter(stale)
+    keyed.replace(spark, folder, words.select("doc_id"), matching.find_matches(words, fx.rule_list(spark)))
+    return bigint(keyed.read(spark, folder)).select("doc_id", "word_index", "span", "matched_text", "entry", "line_no", "start", "end", "score")
+
+
 @query("mute_stats", sql("""select doc_id, coalesce(candidates, 0) as candidates, coalesce(skipped, 0) as skipped, coalesce(added, 0) as added, coalesce(muted_intervals, 0) as muted_intervals
     from (select doc_id, count(*) as candidates from matches group by doc_id) full join (select doc_id, count(distinct word_index) filter (where action = 'skip') as skipped, count(*) filter (where action = 'add') as added from overrides group by doc_id) using (doc_id)
     full join (select doc_id, count(*) as muted_intervals from merged group by doc_id) using (doc_id)""", "matches", "overrides", "merged"))

@@ -1,29 +1,36 @@
-"""Sinks: every write goes to a fresh versioned folder, and a pointer row makes it current."""
+"""Sinks: every write goes to a fresh versioned folder, and an entry in a numbered log makes it current."""
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from . import versions
 
 
 def publish(df: DataFrame, folder: str, fmt: str = "parquet", partition_by: list[str] | None = None) -> str:
-    """Write ``df`` below ``folder`` and append its path to the folder's list of versions. Readers see
-    the old version until the list has the new one, which a plain overwrite can't promise."""
-    spark = df.sparkSession
+    """Write ``df`` below ``folder`` and make it the next version in the folder's log. Readers see the old
+    version until the log has the new one, which a plain overwrite can't promise; of two writers the one that
+    takes the higher number is current, whatever their clocks say."""
     path = f"{folder}/v-{uuid.uuid4().hex}"
     writer = df.write.format(fmt)
     (writer.partitionBy(*partition_by) if partition_by else writer).save(path)
-    spark.range(1).select(F.lit(path).alias("path"), F.lit(fmt).alias("format"), F.current_timestamp().alias("at")).coalesce(1).write.mode("append").parquet(f"{folder}/versions")
+    versions.append(df.sparkSession, f"{folder}/versions", {"path": path, "format": fmt, "schema": df.schema.json()})
     return path
 
 
 def current(spark: SparkSession, folder: str) -> DataFrame:
     """The newest published version."""
-    last = spark.read.parquet(f"{folder}/versions").orderBy(F.desc("at"), "path").first()
-    return spark.read.format(last["format"]).load(last["path"])
+    number = versions.last(spark, f"{folder}/versions")
+    if not number:
+        raise FileNotFoundError(f"nothing is published in {folder}")
+    last = versions.entry(spark, f"{folder}/versions", number)
+    return spark.read.format(last["format"]).schema(StructType.fromJson(json.loads(last["schema"]))).load(last["path"])
 
 
 def shared_dir(spark: SparkSession) -> str:
