@@ -2,7 +2,7 @@
 
 import pytest
 
-from veilstone.plans import interval_queries, job_queries, matching_queries, subtitle_queries  # noqa: F401
+from veilstone.plans import interval_queries, job_queries, matching_queries, report_queries, subtitle_queries  # noqa: F401
 from veilstone.plans.registry import ORACLES, QUERIES
 
 from .duck import assert_same

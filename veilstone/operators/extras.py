@@ -42,6 +42,32 @@ def substitute_text(words: DataFrame, matches: DataFrame, substitutions: DataFra
     return shown.groupBy("doc_id").agg(_in_order("shown").alias("text"))
 
 
+STYLES = ("word", "tag", "stars", "first")
+
+
+def styled_text(words: DataFrame, matches: DataFrame, styles: DataFrame, fallback: str = "tag", tag: str = "[censored]") -> DataFrame:
+    """Document texts with every word of a match shown in its rule's style. ``styles`` (entry, style, substitute):
+    ``word`` shows the substitute (the tag if there is none), ``tag`` the tag, ``stars`` a star for each
+    character, ``first`` the first character and stars. Punctuation around the word stays. Rules without a row, or with an
+    unknown style, take ``fallback``; of several rows of a rule the smallest counts, of several matches of a word the
+    first, single words before phrases, then by line."""
+    if fallback not in STYLES:
+        raise ValueError(f"unknown style: {fallback}")
+    known = styles.filter(F.col("style").isin(*STYLES)).groupBy("entry").agg(F.min(F.struct("style", "substitute")).alias("__look"))
+    spread = F.explode(F.sequence("word_index", F.col("word_index") + F.col("span") - 1)).alias("at")
+    look = F.coalesce("__look", F.struct(F.lit(fallback).alias("style"), F.lit(None).cast("string").alias("substitute")))
+    flagged = matches.join(known, "entry", "left").select("doc_id", spread, "span", "line_no", look.alias("__look"))
+    first = flagged.groupBy("doc_id", F.col("at").alias("word_index")).agg(F.min_by("__look", F.struct(F.col("span") > 1, "line_no")).alias("__look"))
+    core = strip_punct(F.col("word"))
+    at, n = F.expr("instr(word, __core)"), F.length("__core")
+    style = F.col("__look.style")
+    new = F.when(style == "word", F.coalesce("__look.substitute", F.lit(tag))).when(style == "stars", F.repeat(F.lit("*"), n))
+    new = new.when(style == "first", F.concat(F.substring("__core", 1, 1), F.repeat(F.lit("*"), n - 1))).otherwise(F.lit(tag))
+    around = F.concat(F.substring("word", F.lit(1), at - 1), new, F.substring("word", at + n, F.length("word")))
+    shown = words.withColumn("__core", core).join(first, ["doc_id", "word_index"], "left").withColumn("shown", F.when(F.col("__look").isNull(), F.col("word")).otherwise(around))
+    return shown.groupBy("doc_id").agg(_in_order("shown").alias("text"))
+
+
 def substitute_cues(cues: DataFrame, matches: DataFrame, substitutions: DataFrame, fallback: str = "[censored]") -> DataFrame:
     """Cues (doc_id, cue, cue_start, cue_end, cue_text) with ``new_text``: words of the cue text that are
     words of a match that starts in the cue (compared stripped and in lower case) are replaced by the
@@ -63,6 +89,32 @@ def context_rules(matches: DataFrame, words: DataFrame, suppress: list[str], bef
     return matches.join(shadow, ["doc_id", "word_index"], "left_anti")
 
 
+def term_context(matches: DataFrame, words: DataFrame, rules: DataFrame) -> DataFrame:
+    """Matches that no context rule excuses. ``rules`` (entry, near, before, after): a match of ``entry`` (null: of any
+    rule) is excused if the words of ``near`` (one or more, compared stripped and in lower case, all in a row) end
+    within the ``before`` words ahead of it, or begin within the ``after`` words behind its last. Null or 0: not on
+    that side. Rules without a word in ``near`` excuse nothing.
+
+    Only words that a rule names are joined, so the work grows with those, not with the corpus."""
+    parts = F.filter(F.transform(split_words(F.col("near")), lambda w: F.lower(strip_punct(w))), lambda t: t != "")
+    numbered = rules.select(F.struct(F.col("entry").alias("entry"), parts.alias("parts"), F.col("before").alias("before"), F.col("after").alias("after")).alias("rule")).distinct()
+    wanted = numbered.select("rule", F.posexplode("rule.parts").alias("j", "token"))
+    said = words.select("doc_id", "word_index", F.lower(strip_punct(F.col("word"))).alias("token"))
+    places = said.join(wanted, "token").groupBy("doc_id", "rule", (F.col("word_index") - F.col("j")).alias("first")).agg(F.countDistinct("j").alias("n"))
+    found = places.filter(F.col("n") == F.size("rule.parts")).withColumn("last", F.col("first") + F.col("n") - 1)
+
+    def shadow(reach: str, lo: Column, hi: Column) -> DataFrame:
+        return found.filter(F.col(reach) > 0).select("doc_id", F.col("rule.entry").alias("entry"), F.explode(F.sequence(lo, hi)).alias("at")).distinct()
+
+    ahead = shadow("rule.before", F.col("last") + 1, F.col("last") + F.col("rule.before"))
+    behind = shadow("rule.after", F.col("first") - F.col("rule.after"), F.col("first") - 1)
+    out = matches
+    for side, place in ((ahead, F.col("m.word_index")), (behind, F.col("m.word_index") + F.col("m.span") - 1)):
+        same = (F.col("m.doc_id") == F.col("s.doc_id")) & (place == F.col("s.at")) & (F.col("s.entry").isNull() | (F.col("s.entry") == F.col("m.entry")))
+        out = out.alias("m").join(side.alias("s"), same, "left_anti")
+    return out
+
+
 def text_similarity(a: Column, b: Column) -> Column:
     """0 to 100 from the edit distance."""
     longest = F.greatest(F.length(a), F.length(b))
