@@ -65,19 +65,20 @@ def estimated_seconds(durations: DataFrame, rates: DataFrame) -> DataFrame:
     work = F.col("material_sec") * F.col("factor") + F.col("documents") * F.col("fixed_sec")
     # an equi-join on a constant: the totals are one row
     both = rates.withColumn("__one", F.lit(1)).join(known.withColumn("__one", F.lit(1)), "__one")
-    return both.select("step", "documents", "material_sec", F.round(work, 3).alias("estimated_sec"))
+    return both.select("step", "documents", "material_sec", work.alias("estimated_sec"))
 
 
 def analysis_report(matches: DataFrame, durations: DataFrame, rates: DataFrame, low: float) -> DataFrame:
     """What an analysis shows before any work is done, as (section, name, value): ``term`` with the matches of each
-    rule, ``low_confidence`` with those that score below ``low``, ``estimate`` with the seconds of each step and of
-    all (name null)."""
+    rule, ``low_confidence`` with those that score below ``low``, ``estimate`` with the seconds of each step,
+    rounded to a thousandth, and of all, as they are (name null)."""
     terms = matches.groupBy(F.col("entry").alias("name")).agg(F.count("*").cast("double").alias("value"), F.count_if(F.col("score") < low).alias("low"))
     none = F.lit(None).cast("string").alias("name")
     doubtful = terms.agg(F.coalesce(F.sum("low"), F.lit(0)).cast("double").alias("value"))
     steps = estimated_seconds(durations, rates).groupBy(F.col("step").alias("name")).agg(F.sum("estimated_sec").alias("value"))
+    rounded = steps.select(F.lit("estimate").alias("section"), "name", F.round("value", 3).alias("value"))
     parts = [
         terms.select(F.lit("term").alias("section"), "name", "value"), doubtful.select(F.lit("low_confidence").alias("section"), none, "value"),
-        steps.select(F.lit("estimate").alias("section"), "name", "value"), steps.agg(F.sum("value").alias("value")).select(F.lit("estimate").alias("section"), none, "value"),
+        rounded, steps.agg(F.sum("value").alias("value")).select(F.lit("estimate").alias("section"), none, "value"),
     ]
     return reduce(DataFrame.unionByName, parts)
