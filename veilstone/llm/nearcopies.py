@@ -100,7 +100,7 @@ def _marked(docs: DataFrame, k: int) -> DataFrame:
     taken = docs.select(*[c for c in docs.columns if c not in ADDED])
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in taken.schema)
     made = taken.mapInArrow(mark, f"{kinds}, __digest binary, __print long, " + ", ".join(f"__{b} long" for b in BITS))
-    return save(made.withColumn("__row", F.monotonically_increasing_id()), "near-rows")
+    return save(made.withColumn("__row", F.monotonically_increasing_id()), "near-rows", "zstd")
 
 
 def _common(texts: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray, int]:
