@@ -1,3 +1,4 @@
+import os
 from collections import Counter, defaultdict
 
 import corpus_pipeline
@@ -121,6 +122,29 @@ def test_crowded_keys_move_back_and_no_pair_is_lost(spark):
         nearcopies.SAMPLE = before
 
 
+def test_a_pair_meets_about_once_however_many_keys_it_shares(spark):
+    """Long texts that share half of their words: they share many keys, and bitmaps don't tell them apart."""
+    rng = np.random.default_rng(4)
+    text = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 90000, n))
+    texts = [(i, f"{shared} {text(400)}") for shared in (text(600), text(600)) for i in range(12)]
+    held = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "id long, text string")
+    none = np.zeros(0, np.uint64), np.zeros(0)
+    keys = nearcopies._keys(held, 5, 0.8, none).withColumns({"root": F.col("id"), **{b: F.lit(0).cast("long") for b in nearcopies.BITS}}).cache()
+    x, y = keys.alias("x"), keys.filter("indexed").alias("y")
+    together = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") > F.col("y.id"))).count()
+    fitting = nearcopies._meeting(keys, 0.25)
+    pairs, rows = fitting.distinct().count(), fitting.count()
+    assert pairs == 132 and 8 * rows < together, (pairs, rows, together)
+
+
+def test_near_dedup_leaves_only_the_tables_that_its_result_reads(spark, odd):
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir").removeprefix("file:")
+    before = set(os.listdir(shared))
+    out = nearcopies.near_copies(odd)
+    left = sorted(name.rsplit("-", 1)[0] for name in set(os.listdir(shared)) - before)
+    assert out.count() == odd.count() and left == ["near-named", "near-rows"]
+
+
 def test_bitmaps_differ_in_no_more_bits_than_the_sets_in_members():
     rng = np.random.default_rng(2)
     for n in (0, 1, 5, 90, 3000):

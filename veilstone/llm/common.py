@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import ctypes
 import gc
 import math
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,11 +35,34 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def save(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
+#: Paths that ``save`` wrote, by the ``passing`` blocks that are open, the innermost last.
+_PASSING: contextvars.ContextVar[tuple[list[str], ...]] = contextvars.ContextVar("passing", default=())
+
+
+@contextlib.contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """Tables saved inside are deleted at the end, but for those saved with ``lasting``. Nothing that is still
+    to be computed may read them then, so a result must be saved itself."""
+    held: list[str] = []
+    token = _PASSING.set((*_PASSING.get(), held))
+    try:
+        yield
+    finally:
+        _PASSING.reset(token)
+        for name in held:
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def save(df: DataFrame, name: str, codec: str | None = None, lasting: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and return the table that reads it: it cuts the lineage,
     and a lost executor costs no more than reading it again. ``codec`` is for tables of whole texts, which zstd
-    holds in about three quarters of the session's default."""
+    holds in about three quarters of the session's default. A ``lasting`` table outlives the innermost block of
+    ``passing``."""
     path = new_path(df.sparkSession, name)
+    scopes = _PASSING.get()[: -1 if lasting else None]
+    if scopes:
+        scopes[-1].append(path)
     (df.write.option("compression", codec) if codec else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -18,7 +18,9 @@ Texts with the same shingles are one node (a 128-bit digest of the sorted 64-bit
 copies are never paired. Once the first links have joined texts, each key's texts are compared with a few
 of them; then only texts that are not yet connected meet, at keys that hold more than one component. A
 tight group thus costs rows in about proportion to its size; a loose one, of which few are linked with the
-few, costs its pairs.
+few, costs its pairs. A pair has many keys in common, and the filters have to hold at the first of them only, so
+each key brings the EARLIER keys that stand before it in its text, and two texts that share one of them don't
+meet there: a pair is left about once rather than once for each common key.
 """
 
 from __future__ import annotations
@@ -29,11 +31,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import byte_texts, release_memory, save, steady_heap
+from .common import byte_texts, passing, release_memory, save, steady_heap
 from .components import components
 from .simhash import LOWER
 from .wordhash import gram_hashes, mixed, word_hashes
@@ -42,6 +44,7 @@ SHINGLE, SIMILARITY = 5, 0.8
 SAMPLE, MOST_COMMON = 20_000, 200_000  # they set the order of shingles, so the work, not the result
 TINY = 1e-9
 CROWD, ROUNDS = 256, 3  # as do these
+EARLIER = 4  # and this
 BITS = ("b0", "b1", "b2", "b3")
 ADDED = ("component_id", "kept", "__row", "__digest", "__print", *[f"__{b}" for b in BITS])
 
@@ -162,7 +165,7 @@ def _spread_keys(texts: DataFrame, k: int, least: float, crowd: int) -> DataFram
         found = top.column("key").to_numpy().astype(np.int64).view(np.uint64) if top is not None else np.zeros(0, np.uint64)
         new = ~np.isin(found, common)
         if not new.any():
-            return save(keys.join(held.select("key"), "key"), "near-hits")
+            return save(keys.join(held.select("key"), "key"), "near-hits", lasting=True)
         common, counts = np.append(common, found[new]), np.append(counts, top.column("texts").to_numpy()[new] / step)
         order = np.argsort(common)
         common, counts = common[order], counts[order]
@@ -232,6 +235,25 @@ def _to_centres(hits: DataFrame, seeds: tuple[int, ...], least: float) -> DataFr
     return best.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
 
 
+def _with_earlier(hits: DataFrame) -> DataFrame:
+    """``hits`` with ``earlier``, the keys that stand just before each key among its node's, in the order of
+    shingles."""
+    before = Window.partitionBy("id").orderBy("pos").rowsBetween(-EARLIER, -1)
+    return hits.withColumn("earlier", F.collect_list("key").over(before))
+
+
+def _meeting(open_: DataFrame, least: float) -> DataFrame:
+    """Candidates (a, b) among ``open_``: the nodes of other roots that fit at a key, less where they meet again
+    after one of the keys just before it. The first key that two sets have in common, at which ``_fits`` rejects no
+    linked pair, has no such key before it, so no link is lost."""
+    known = _with_earlier(open_)
+    x, y = known.alias("x"), known.filter("indexed").alias("y")
+    smaller = (F.col("y.n") < F.col("x.n")) | ((F.col("y.n") == F.col("x.n")) & (F.col("y.id") < F.col("x.id")))
+    fits = _fits("x.", "y.", least) & ~F.arrays_overlap("x.earlier", "y.earlier")
+    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & smaller & fits)
+    return met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+
+
 def _by_print(nodes: DataFrame, radius: int) -> DataFrame:
     """Candidates (a, b) of ``nodes`` (id, print): the nodes of one fingerprint with one of them, and the
     pigeonring's links to centres, for one node of each fingerprint."""
@@ -250,6 +272,14 @@ def near_copies(docs: DataFrame, least: float = SIMILARITY, shingle: int = SHING
     of which at most one is kept; a component of null ids alone has a null component_id. ``crowd`` bounds the
     work, not the result."""
     marked = _marked(docs, shingle)
+    with passing(docs.sparkSession):
+        named = _components_of(marked, least, shingle, radius, crowd)
+    out = marked.join(named, "__digest").withColumn("kept", F.col("__row") == F.col("__best"))
+    return out.select(*[c for c in marked.columns if c not in ADDED], "component_id", "kept")
+
+
+def _components_of(marked: DataFrame, least: float, shingle: int, radius: int, crowd: int) -> DataFrame:
+    """(__digest, component_id, __best) for each digest of ``marked``, saved: __best is the __row that is kept."""
     rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("__row").alias("row"))
     nodes = save(marked.groupBy("__digest").agg(F.min("__row").alias("id"), F.min(rank).alias("first"), F.min("__print").alias("print"), *[F.min(f"__{b}").alias(b) for b in BITS]), "near-nodes")
     first = nodes.select("__digest", "id")
@@ -257,18 +287,14 @@ def near_copies(docs: DataFrame, least: float = SIMILARITY, shingle: int = SHING
     texts = marked.select(F.col("__row").alias("id"), "text").join(copies, "id", "left_anti")
 
     links = _similar(_by_print(nodes.select("id", "print"), radius), texts, shingle, least)
-    hits, bitmaps = _spread_keys(texts, shingle, least, crowd), nodes.select("id", *BITS)
+    with passing(marked.sparkSession):
+        hits = _spread_keys(texts, shingle, least, crowd)
+    bitmaps = nodes.select("id", *BITS)
     links = links.unionByName(_similar(_to_centres(_unconnected(hits, links, bitmaps), (1, 2, 3), least), texts, shingle, least))
-    open_ = _unconnected(hits, links, bitmaps)
-    x, y = open_.alias("x"), open_.filter("indexed").alias("y")
-    smaller = (F.col("y.n") < F.col("x.n")) | ((F.col("y.n") == F.col("x.n")) & (F.col("y.id") < F.col("x.id")))
-    fits = _fits("x.", "y.", least)
-    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & smaller & fits)
-    more = _similar(met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), texts, shingle, least)
+    more = _similar(_meeting(_unconnected(hits, links, bitmaps), least).distinct(), texts, shingle, least)
 
     roots = components(links.unionByName(more))
     grouped = nodes.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     smallest = grouped.groupBy("root").agg(F.min("first").alias("best"))
     named = grouped.join(smallest, "root").select("__digest", F.col("best.doc_id").alias("component_id"), F.col("best.row").alias("__best"))
-    out = marked.join(save(named, "near-named"), "__digest").withColumn("kept", F.col("__row") == F.col("__best"))
-    return out.select(*[c for c in marked.columns if c not in ADDED], "component_id", "kept")
+    return save(named, "near-named", lasting=True)
