@@ -35,6 +35,20 @@ def test_chunks_give_the_ids_of_the_whole_text(path, keeps, width, spark, sf_dir
         assert np.frombuffer(got, code.kind).tolist() == tok.encode(text, add_special_tokens=False).ids, text[:60]
 
 
+def test_an_encoder_outlives_its_task_and_keeps_a_bounded_cache(monkeypatch):
+    code = tokens.encoder(WORD_BPE, False)
+    list(code.batches([b"one two three four five " + b"x" * 60]))
+    assert tokens.encoder(WORD_BPE, False) is code and set(code.known) >= {"one", "two", "three", "four", "five"}
+    monkeypatch.setattr(tokens, "CACHE_ROWS", 8)
+    text, tok = "six seven one two eight nine ten eleven " + "y" * 60, Tokenizer.from_file(WORD_BPE)
+    for _ in range(2):
+        (got,) = code.batches([text.encode()])
+        assert np.frombuffer(got, "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids
+        assert 5 < len(code.known) <= 8 and "y" * 60 not in code.known
+    tokens.encoder(BYTE_BPE, True, 2)
+    assert list(tokens._ENCODERS) == [(BYTE_BPE, True, 2)]  # a worker holds one
+
+
 # ---- 1 packing
 
 

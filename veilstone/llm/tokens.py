@@ -75,26 +75,24 @@ class Encoder:
         fresh = set()
         for chunks in held:
             fresh.update(chunks)
-        got = self.learn(fresh)
-        if len(self.known) + len(got) <= CACHE_ROWS:
-            self.known.update((k, v) for k, v in got.items() if len(k) <= CACHE_CHUNK)
-        known = self.known
-        for chunks in held:
-            yield b"".join([known[c] if c in known else got[c] for c in chunks])
+        got, known = self.learn(fresh), self.known
+        room = CACHE_ROWS - len(known)
+        known.update(got)  # one look-up a chunk; those that aren't kept go again
+        out = [b"".join(map(known.__getitem__, chunks)) for chunks in held]
+        for n, chunk in enumerate(got):
+            if n >= room or len(chunk) > CACHE_CHUNK:
+                del known[chunk]
+        return out
 
 
 _ENCODERS: dict[tuple, Encoder] = {}
 
 
 def encoder(path: str, keeps_space: bool, width: int = 4) -> Encoder:
-    """The encoder of this Python worker, made once for a task."""
+    """The encoder of this Python worker. It lives on from task to task with what it has learned, which costs
+    more than the look-ups; a worker holds one, so another kind takes its place."""
     key = (path, keeps_space, width)
     if key not in _ENCODERS:
+        _ENCODERS.clear()
         _ENCODERS[key] = Encoder(path, keeps_space, width)
     return _ENCODERS[key]
-
-
-def forget_encoders() -> None:
-    """Drop the vocabularies and what was learned at the end of a task: the worker lives on, and its next
-    task may be of another kind."""
-    _ENCODERS.clear()
