@@ -137,6 +137,27 @@ def test_a_pair_meets_about_once_however_many_keys_it_shares(spark):
     assert pairs == 132 and 8 * rows < together, (pairs, rows, together)
 
 
+def test_bitmaps_tell_texts_just_below_the_similarity_apart():
+    """150 shingles each, 20 of them other ones: similarity 0.76."""
+    rng = np.random.default_rng(6)
+    draw = lambda n: rng.integers(0, 2**63, n).astype(np.uint64)
+    allowed, met = 300 - 2 * int(np.ceil(0.8 / 1.8 * 300)), 0
+    for _ in range(300):
+        both = draw(130)
+        a, b = (nearcopies.parities(np.concatenate([both, draw(20)])) for _ in range(2))
+        met += int(np.bitwise_count((a ^ b).view(np.uint64)).sum()) <= allowed
+    assert met < 30, met
+
+
+def test_the_node_that_shares_most_keys_is_a_centre(spark):
+    """Node 0 meets all others, two at each of its keys; they have no other key in common."""
+    rows = [(k, i, 20, 0, i) for k in range(40) for i in (0, 2 * k + 1, 2 * k + 2)]
+    held = spark.createDataFrame(rows, "key long, id long, n int, pos int, root long")
+    bitmaps = held.select("id").distinct().withColumns({b: F.lit(0).cast("long") for b in nearcopies.BITS})
+    met = nearcopies._to_centres(held.join(nearcopies.folded(bitmaps), "id"), bitmaps, nearcopies.CENTRES, 0.8).collect()
+    assert {(0, i) for i in range(1, 81)} <= {(r.a, r.b) for r in met} and len(met) <= 3 * 81
+
+
 def test_near_dedup_leaves_only_the_tables_that_its_result_reads(spark, odd):
     shared = spark.sparkContext.getConf().get("spark.checkpoint.dir").removeprefix("file:")
     before = set(os.listdir(shared))

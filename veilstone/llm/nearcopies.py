@@ -10,15 +10,16 @@ n - ceil(least * n) + 1 of the larger set and the first n - ceil(2 * least / (1
 smaller one. Any order is right; shingles that are common stand last, so that few texts meet at a key: those
 common in a sample, and then those that stand in the prefixes of more than ``crowd`` texts, which moves a
 passage behind the rest of its texts. Texts that meet must also pass a bitmap filter (Sandes, Teodoro and
-Melo, 2017), which loses none either: with a set's hashes counted by parity in 256 bits, the bits in which two
+Melo, 2017), which loses none either: with a set's hashes counted by parity in 1024 bits, the bits in which two
 bitmaps differ are at most the shingles that one set has and the other doesn't, and those are at most
-(1 - least) / (1 + least) of both sizes. What passes is compared over the words themselves.
+(1 - least) / (1 + least) of both sizes. Where many rows meet a few, the bitmap folded to 256 bits, of which the
+same is true, goes first. What passes is compared over the words themselves.
 
 Texts with the same shingles are one node (a 128-bit digest of the sorted 64-bit shingle hashes), so exact
 copies are never paired. Once the first links have joined texts, each key's texts are compared with a few
-of them; then only texts that are not yet connected meet, at keys that hold more than one component. A
-tight group thus costs rows in about proportion to its size; a loose one, of which few are linked with the
-few, costs its pairs. A pair has many keys in common, and the filters have to hold at the first of them only, so
+of them that pass the filter; then only texts that are not yet connected meet, at keys that hold more than one
+component. A group thus costs rows in about proportion to its size, also where only some of its texts are linked:
+those just below ``least`` fail the filter, where folded bitmaps would pass most of them. A pair has many keys in common, and the filters have to hold at the first of them only, so
 each key brings the EARLIER keys that stand before it in its text, and two texts that share one of them don't
 meet there: a pair is left about once rather than once for each common key.
 """
@@ -27,6 +28,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +47,9 @@ SAMPLE, MOST_COMMON = 20_000, 200_000  # they set the order of shingles, so the
 TINY = 1e-9
 CROWD, ROUNDS = 256, 3  # as do these
 EARLIER = 4  # and this
-BITS = ("b0", "b1", "b2", "b3")
+CENTRES = 0, 1, 2  # and these
+BITS = tuple(f"b{i}" for i in range(16))
+FOLDED = ("f0", "f1", "f2", "f3")
 ADDED = ("component_id", "kept", "__row", "__digest", "__print", *[f"__{b}" for b in BITS])
 
 
@@ -74,8 +78,8 @@ def set_print(hashes: np.ndarray) -> int:
 
 
 def parities(hashes: np.ndarray) -> np.ndarray:
-    """256 bits as four signed longs: whether an odd number of the hashes fell on each."""
-    counts = np.bincount((mixed(hashes) >> np.uint64(56)).astype(np.int64), minlength=256)
+    """1024 bits as signed longs: whether an odd number of the hashes fell on each."""
+    counts = np.bincount((mixed(hashes) >> np.uint64(54)).astype(np.int64), minlength=64 * len(BITS))
     return np.packbits((counts & 1).astype(np.uint8)).view("<i8")
 
 
@@ -175,14 +179,26 @@ def _spread_keys(texts: DataFrame, k: int, least: float, crowd: int) -> DataFram
         keys = save(keys.join(ids, "id", "left_anti").unionByName(again), "near-keys")
 
 
-def _fits(x: str, y: str, least: float) -> Column:
+def folded(bitmaps: DataFrame) -> DataFrame:
+    """(id, FOLDED) of ``bitmaps`` (id, BITS): the parities of a quarter of the bits."""
+    quarters = [reduce(Column.bitwiseXOR, [F.col(b) for b in BITS[i :: len(FOLDED)]]).alias(f) for i, f in enumerate(FOLDED)]
+    return bitmaps.select("id", *quarters)
+
+
+def _alike(x: str, y: str, least: float, bits: tuple[str, ...]) -> Column:
+    """Whether the bitmaps of the sets of rows x and y differ in few enough bits."""
+    n, m = F.col(f"{x}n"), F.col(f"{y}n")
+    differ = reduce(Column.__add__, [F.bit_count(F.col(f"{x}{b}").bitwiseXOR(F.col(f"{y}{b}"))) for b in bits])
+    return differ <= n + m - 2 * F.ceil(least / (1 + least) * (n + m) - TINY)
+
+
+def _fits(x: str, y: str, least: float, bits: tuple[str, ...] = BITS) -> Column:
     """Whether the sets of rows x and y that meet at a key can be similar enough: by their sizes, by what can
     follow the key, and by the bits in which their bitmaps differ."""
     n, m, pos, at = F.col(f"{x}n"), F.col(f"{y}n"), F.col(f"{x}pos"), F.col(f"{y}pos")
     most = F.least(n - pos, m - at)
     both = F.ceil(least / (1 + least) * (n + m) - TINY)
-    bits = sum((F.bit_count(F.col(f"{x}{b}").bitwiseXOR(F.col(f"{y}{b}"))) for b in BITS[1:]), F.bit_count(F.col(f"{x}b0").bitwiseXOR(F.col(f"{y}b0"))))
-    return (F.least(n, m) >= least * F.greatest(n, m) - TINY) & (most >= both) & (bits <= n + m - 2 * both)
+    return (F.least(n, m) >= least * F.greatest(n, m) - TINY) & (most >= both) & _alike(x, y, least, bits)
 
 
 def _similar(pairs: DataFrame, texts: DataFrame, k: int, least: float) -> DataFrame:
@@ -223,15 +239,23 @@ def _unconnected(hits: DataFrame, links: DataFrame, bitmaps: DataFrame) -> DataF
     return save(known.join(mixed, "key"), "near-open").join(bitmaps, "id")
 
 
-def _to_centres(hits: DataFrame, seeds: tuple[int, ...], least: float) -> DataFrame:
-    """Candidates (a, b): each node with one node of its keys for each of ``seeds``. An order of the ids by
-    hash picks a centre of each key, and the first of the centres that fit for each node, so there are no
-    more candidates than nodes times seeds."""
-    names, order = ("id", "n", "pos", "root", *BITS), {i: F.xxhash64("id", F.lit(i)) for i in seeds}
-    picked = hits.groupBy("key").agg(*[F.min_by(F.struct(*names), order[i]).alias(f"c{i}") for i in seeds])
-    centres = F.explode(F.array(*[F.struct(F.lit(i).alias("seed"), *[F.col(f"c{i}.{c}").alias(c) for c in names]) for i in seeds])).alias("c")
-    met = hits.join(picked, "key").select(*names, centres).filter(F.col("root") != F.col("c.root")).filter(_fits("", "c.", least))
-    best = met.groupBy("id", "c.seed").agg(F.min_by("c.id", F.xxhash64("c.id", "c.seed")).alias("centre"))
+def _to_centres(hits: DataFrame, bitmaps: DataFrame, seeds: tuple[int, ...], least: float) -> DataFrame:
+    """Candidates (a, b): each node of ``hits``, which have the folded bitmaps, with one node of its keys for each
+    of ``seeds``. An order of the ids picks a centre of each key, and the first of the centres that fit, by whole
+    bitmaps too, for each node, so there are no more candidates than nodes times seeds. Seed 0 puts first the nodes
+    that share the most of their keys with others: those with which most of a loose group is linked. The other
+    orders are by hash."""
+    names = ("id", "n", "pos", "root", *FOLDED)
+    shared = hits.groupBy("id").agg(F.count("*").alias("shared"))
+    known = hits.join(shared, "id")
+    order = {i: F.struct((F.lit(0) if i else -F.col("shared")).cast("long").alias("shared"), F.xxhash64("id", F.lit(i)).alias("hash")) for i in seeds}
+    picked = known.groupBy("key").agg(*[F.min_by(F.struct(*names, order[i].alias("order")), order[i]).alias(f"c{i}") for i in seeds])
+    centres = F.explode(F.array(*[F.struct(F.lit(i).alias("seed"), *[F.col(f"c{i}.{c}").alias(c) for c in (*names, "order")]) for i in seeds])).alias("c")
+    met = hits.join(picked, "key").select(*names, centres).filter(F.col("root") != F.col("c.root")).filter(_fits("", "c.", least, FOLDED))
+    pairs = met.select("id", "n", "c.seed", F.col("c.id").alias("centre"), F.col("c.n").alias("m"), "c.order").distinct()
+    own, other = (bitmaps.select(F.col("id").alias(c), F.struct(*BITS).alias(x)) for c, x in (("id", "x"), ("centre", "y")))
+    held = pairs.join(own, "id").join(other, "centre").select("id", "seed", "centre", "order", F.struct("n", "x.*").alias("x"), F.struct(F.col("m").alias("n"), "y.*").alias("y"))
+    best = held.filter(_alike("x.", "y.", least, BITS)).groupBy("id", "seed").agg(F.min_by("centre", "order").alias("centre"))
     return best.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
 
 
@@ -290,7 +314,7 @@ def _components_of(marked: DataFrame, least: float, shingle: int, radius: int, c
     with passing(marked.sparkSession):
         hits = _spread_keys(texts, shingle, least, crowd)
     bitmaps = nodes.select("id", *BITS)
-    links = links.unionByName(_similar(_to_centres(_unconnected(hits, links, bitmaps), (1, 2, 3), least), texts, shingle, least))
+    links = links.unionByName(_similar(_to_centres(_unconnected(hits, links, folded(bitmaps)), bitmaps, CENTRES, least), texts, shingle, least))
     more = _similar(_meeting(_unconnected(hits, links, bitmaps), least).distinct(), texts, shingle, least)
 
     roots = components(links.unionByName(more))
