@@ -454,6 +454,32 @@ def test_the_lookup_alone_finds_the_item():
         assert found == {(n, r, (p ^ q).bit_count()) for n, p in held.items() for r, q in enumerate(asked) if (p ^ q).bit_count() <= 15} and len(found) >= 30
 
 
+def test_block_tables_name_the_least_bits_and_pass_few_other_prints():
+    rng = np.random.default_rng(3)
+    values = rng.integers(0, 1 << 16, 5).astype(np.uint16)
+    want = np.bitwise_count(np.arange(1 << 16, dtype=np.uint16)[:, None] ^ values).min(1)
+    assert (decontaminate.least_bits(values) == want).all()
+    for n in (1, 6, 7, 23, 50, 300):
+        draw = lambda n: rng.integers(0, 2**64, n, np.uint64)
+        index, asked = decontaminate.MultiIndex(np.arange(n), draw(n), 15), draw(20_000)
+        blocks, met = asked.view(np.uint16).reshape(-1, 4).T, 0
+        for tables in index.tables:
+            sums = sum(table[values] for table, values in zip(tables, blocks))
+            met += ((sums.view(np.uint8) & 128) == 0).sum()
+        assert met <= 20_000 * 0.01 * (n // 6 + 1)
+        near = index.prints ^ np.uint64(0x7FFF)
+        assert {(i, int(r)) for i, rows, _ in index.find(near) for r in rows} >= {(i, i) for i in range(n)}
+
+
+def test_sums_of_bits_in_runs():
+    hashes = np.random.default_rng(1).integers(0, 2**64, 1000, np.uint64)
+    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1)
+    for n in (0, 1, 31, 32, 33, 1000):
+        for kind in (np.uint8, np.int64):
+            want = np.concatenate([np.zeros((1, 64), kind), np.cumsum(bits[:n], axis=0, dtype=kind)])
+            assert (decontaminate.bit_sums(hashes[:n], kind) == want).all()
+
+
 def test_items_in_parts_and_short_documents(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "ITEMS_AT_ONCE", 3)
     monkeypatch.setattr(decontaminate, "STRETCH", 64)

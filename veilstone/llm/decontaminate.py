@@ -1,18 +1,19 @@
 """Benchmark decontamination by SimHash over item-sized windows.
 
 Every window of a document that has as many words as a benchmark item is fingerprinted: the 64-bit SimHash
-of its five-word shingles, from running bit counts. A multi-index over four 16-bit blocks finds the items:
-two fingerprints within ``radius`` bits have a block that differs in at most ``radius // 4`` bits, and each
-block value names the items of that size that are so near, so no item within the radius is missed. What
-it finds goes through the full Hamming check, and runs of windows that pass are compared exactly with
-their item: weighted (multiset) Jaccard of the shingles, over the words themselves.
+of its five-word shingles, from running bit counts. A multi-index over four 16-bit blocks finds the items: for a
+few items of that size, each block value names the least number of bits in which it differs from the block of
+one of them. The four numbers together are at most the bits in which a fingerprint differs from any of the items,
+so no item within the radius is missed. What it finds goes through the full Hamming check, and runs of windows
+that pass are compared exactly with their item: weighted (multiset) Jaccard of the shingles, over the words
+themselves.
 
 Radius: windows of similarity 0.8 have eight ninths of their shingles in common and differ in about 9.7
-bits with a deviation of 2.9, verbatim passages in none. Radius 15 is the largest that four blocks cover with
-at most three changed bits each.
+bits with a deviation of 2.9, verbatim passages in none.
 
-The documents are read once and not shuffled. Tasks hold an item's size, number and fingerprint alone; of
-a benchmark with more than ITEMS_AT_ONCE items, tables are made part by part for each batch of documents.
+The documents are read once and not shuffled. Tasks hold an item's size, number and fingerprint alone, and a
+worker keeps its tables from task to task; of a benchmark with more than ITEMS_AT_ONCE groups of items, they are
+made part by part for each batch of documents.
 Words that were found travel to the items' texts by a join on the item.
 
 Words are lower-cased (A-Z) runs of letters, digits and non-ASCII characters. An item with fewer than five
@@ -24,9 +25,10 @@ rows that share an id and rows with a null doc_id are each reported with what th
 from __future__ import annotations
 
 import string
+import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from itertools import accumulate, combinations
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -37,9 +39,10 @@ from .common import blocks_for, byte_texts, release_memory, save, steady_heap
 from .wordhash import gram_hashes, mixed, word_hashes
 
 SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 15
-BLOCKS, GROUP = 4, 8
-ITEMS_AT_ONCE, MOST_ITEMS = 256, 4_000_000  # tables of a task: 256 kB an item at most; broadcast: 20 bytes an item
-STRETCH, TEXT_BYTES = 32768, 1_000_000
+BLOCKS, GROUP, LANES = 4, 6, 8
+FAR = 31  # more bits than a block has; four of them and 127 fit a byte
+ITEMS_AT_ONCE, MOST_ITEMS = 256, 4_000_000  # tables of a task: 512 kB a group at most; broadcast: 20 bytes an item
+STRETCH, TEXT_BYTES, RUN = 8192, 1_000_000, 32
 HITS = "doc_id long, item_id long, first_word int, n_words int, bits int, similarity double"
 #: Byte table: A-Z to lower case, all that is no letter, digit or non-ASCII byte to a space.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b) in string.ascii_lowercase + string.digits else 32 for b in range(256))
@@ -56,9 +59,14 @@ def grams(hashes: np.ndarray, k: int) -> np.ndarray:
 
 def bit_sums(hashes: np.ndarray, kind=np.int64) -> np.ndarray:
     """Running counts of each of 64 bits: row i counts the first i hashes (modulo the size of ``kind``)."""
-    sums = np.zeros((len(hashes) + 1, 64), kind)
-    np.cumsum(np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1), axis=0, dtype=kind, out=sums[1:])
-    return sums
+    runs = -(-len(hashes) // RUN)
+    sums = np.zeros((runs * RUN + 1, 64), kind)
+    sums[1 : len(hashes) + 1] = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1)
+    part = sums[1:].reshape(runs, RUN, 64)
+    for i in range(1, RUN):  # whole rows at a time, in each run; then the runs before
+        part[:, i] += part[:, i - 1]
+    part[1:] += np.cumsum(part[:-1, -1], axis=0, dtype=kind)[:, None]
+    return sums[: len(hashes) + 1]
 
 
 def simhash(hashes: np.ndarray) -> int:
@@ -82,34 +90,49 @@ def similarity(a: list[bytes], b: list[bytes], k: int) -> float:
     return both / (sum(x.values()) + sum(y.values()) - both) if both else 0.0
 
 
-def flips(bits: int) -> np.ndarray:
-    """All changes of a 16-bit block in at most ``bits`` bits."""
-    return np.array([sum(1 << b for b in held) for n in range(bits + 1) for held in combinations(range(16), n)], np.uint16)
+def least_bits(values: np.ndarray) -> np.ndarray:
+    """For each 16-bit number, in how many bits it differs from the nearest of ``values``."""
+    out = np.full(1 << 16, FAR, np.uint8)
+    out[values] = 0
+    for bit in range(16):
+        low, high = out.reshape(-1, 2, 1 << bit).transpose(1, 0, 2)
+        nearer = np.minimum(high, low + 1)
+        np.minimum(low, high + 1, out=low)
+        high[:] = nearer
+    return out
 
 
 class MultiIndex:
-    """Block tables of some items of one size, GROUP items to a table: ``tables[g, block, value]`` says whether
-    the block of an item of group g is within ``radius // 4`` bits of the value."""
+    """Block tables of some items of one size, GROUP items to a byte and up to LANES bytes to an entry:
+    ``tables[t][block]`` holds ``least_bits`` of the block for each group of table t."""
 
     def __init__(self, numbers: np.ndarray, prints: np.ndarray, radius: int):
         self.numbers, self.prints, self.radius = numbers, prints, radius
-        near, blocks = flips(radius // BLOCKS), prints.view(np.uint16).reshape(-1, BLOCKS)
-        self.tables = np.zeros((-(-len(prints) // GROUP), BLOCKS, 1 << 16), bool)
-        for i in range(0, len(prints), GROUP):
-            for block in range(BLOCKS):
-                for value in blocks[i : i + GROUP, block]:
-                    self.tables[i // GROUP, block][value ^ near] = True
+        blocks, self.tables = prints.view(np.uint16).reshape(-1, BLOCKS), []
+        for first in range(0, len(prints), GROUP * LANES):
+            groups = [blocks[i : i + GROUP] for i in range(first, min(len(prints), first + GROUP * LANES), GROUP)]
+            lanes = 1 << (len(groups) - 1).bit_length()
+            table = np.full((BLOCKS, 1 << 16, lanes), FAR, np.uint8)
+            for lane, group in enumerate(groups):
+                for block in range(BLOCKS):
+                    table[block, :, lane] = least_bits(group[:, block])
+            table[0] += np.uint8(127 - radius)  # a byte of four entries' sum stays below 128 within the radius
+            self.tables.append(table.view(f"<u{lanes}")[:, :, 0])
 
     def find(self, prints: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(item number, rows of ``prints`` within the radius, their differing bits), items with any."""
         blocks = prints.view(np.uint16).reshape(-1, BLOCKS).T.astype(np.intp)
-        for g, tables in enumerate(self.tables):
-            held = tables[0].take(blocks[0])
+        for t, tables in enumerate(self.tables):
+            sums, more = np.empty((2, len(prints)), tables.dtype)
+            tables[0].take(blocks[0], out=sums, mode="clip")
             for table, values in zip(tables[1:], blocks[1:]):
-                held |= table.take(values)
-            at = np.flatnonzero(held)
+                table.take(values, out=more, mode="clip")
+                sums += more
+            over = sums.dtype.type(int.from_bytes(b"\x80" * sums.itemsize, "little"))
+            sums &= over
+            at = np.flatnonzero(sums != over)
             close = prints[at]
-            for i in range(g * GROUP, min(len(self.prints), (g + 1) * GROUP)):
+            for i in range(t * GROUP * LANES, min(len(self.prints), (t + 1) * GROUP * LANES)) if len(at) else ():
                 differ = np.bitwise_count(close ^ self.prints[i])
                 ok = np.flatnonzero(differ <= self.radius)
                 if len(ok):
@@ -157,7 +180,7 @@ class Scanner:
                 set_ = held.view(bool) if kind is np.uint8 else np.empty((STRETCH, 64), bool)
             np.subtract(sums[kind][n : n + starts], sums[kind][:starts], out=held[:starts])
             np.greater(held[:starts], n // 2, out=set_[:starts])
-            prints = np.packbits(set_[:starts].ravel()).view(np.uint64)
+            prints = np.packbits(set_[:starts].reshape(-1)).view(np.uint64)
             for number, rows, bits in self.sizes[size].find(prints):
                 inside = left[rows + lo] >= size  # a window ends in the text that it starts in
                 if inside.any():
@@ -178,6 +201,17 @@ def _lines(texts: Iterator[bytes | None]) -> Iterator[list[tuple[int, bytes]]]:
         yield held
 
 
+_KEPT: dict[str, Scanner] = {}
+
+
+def _kept_scanner(name: str, *made_of) -> Scanner:
+    """The scanner that this worker made for ``name``, the last one only."""
+    if name not in _KEPT:
+        _KEPT.clear()
+        _KEPT[name] = Scanner(*made_of)
+    return _KEPT[name]
+
+
 def candidates(docs: DataFrame, items: DataFrame, radius: int, least: float = SIMILARITY) -> DataFrame:
     """Runs of windows of ``docs`` (doc_id, text) within ``radius`` of an item (item, size, print): a row for
     each document and item, with the first words of each run and the words from its first to its last
@@ -186,11 +220,15 @@ def candidates(docs: DataFrame, items: DataFrame, radius: int, least: float = SI
     got = items.select("size", "item", "print").orderBy("size", "item").toArrow()  # MOST_ITEMS rows at most
     shared = spark.sparkContext.broadcast((got.column(0).to_numpy().astype(np.int32), got.column(1).to_numpy(), got.column(2).to_numpy().astype(np.int64).view(np.uint64)))
 
+    name = uuid.uuid4().hex
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         steady_heap()
-        parts = -(-len(shared.value[0]) // ITEMS_AT_ONCE)
-        cuts = [tuple(np.array_split(c, parts)[p] for c in shared.value) for p in range(parts)]
-        only = Scanner(*cuts[0], radius, least) if parts == 1 else None
+        sizes = shared.value[0]
+        place = np.arange(len(sizes)) - np.searchsorted(sizes, sizes)  # in the items of its size
+        part = (np.cumsum(place % GROUP == 0) - 1) // ITEMS_AT_ONCE
+        cuts = [tuple(c[part == p] for c in shared.value) for p in np.unique(part)]
+        only = _kept_scanner(name, *cuts[0], radius, least) if len(cuts) == 1 else None
         for batch in batches:
             for cut in cuts:
                 scanner = only or Scanner(*cut, radius, least)
