@@ -18,8 +18,9 @@ same is true, goes first. What passes is compared over the words themselves.
 Texts with the same shingles are one node (a 128-bit digest of the sorted 64-bit shingle hashes), so exact
 copies are never paired. Once the first links have joined texts, each key's texts are compared with a few
 of them that pass the filter; then only texts that are not yet connected meet, at keys that hold more than one
-component. A group thus costs rows in about proportion to its size, also where only some of its texts are linked:
-those just below ``least`` fail the filter, where folded bitmaps would pass most of them. A pair has many keys in common, and the filters have to hold at the first of them only, so
+component. A
+group whose texts are linked with a few thus costs rows in about proportion to its size; one without such texts costs
+its links. Pairs just below ``least`` mostly fail the filter, where folded bitmaps would pass most of them. A pair has many keys in common, and the filters have to hold at the first of them only, so
 each key brings the EARLIER keys that stand before it in its text, and two texts that share one of them don't
 meet there: a pair is left about once rather than once for each common key.
 """
