@@ -480,6 +480,38 @@ def test_sums_of_bits_in_runs():
             assert (decontaminate.bit_sums(hashes[:n], kind) == want).all()
 
 
+@pytest.mark.parametrize("lengths", [[1, 2, 37], [11, 254, 255, 256, 700], [300, 900, 66_000]])
+def test_prints_of_all_sizes_are_made_in_one_pass(lengths, monkeypatch):
+    """A run of any length serves all sizes: prints are those of the windows, whatever pieces they are made in."""
+    monkeypatch.setattr(decontaminate, "MOST_SUMS", 1024)
+    hashes = np.random.default_rng(6).integers(0, 2**64, lengths[-1] + 1500, np.uint64)
+    hashes[600:1000] = hashes[5]  # counts far from half of a window
+    for piece in (256, 1000, 4096):
+        monkeypatch.setattr(decontaminate, "PIECE", piece)
+        out = np.full((len(lengths), len(hashes)), 7, np.uint64)
+        decontaminate.window_prints(hashes, lengths, out)
+        for row, n in zip(out, lengths):
+            last = len(hashes) - n
+            for s in {0, 1, 255, 256, 257, 599, 700, 999, 1000, 1001, last - 1, last} & set(range(last + 1)):
+                assert int(row[s]) == decontaminate.simhash(hashes[s : s + n]), (piece, n, s)
+            assert (row[last + 1 :] == 7).all()
+
+
+def test_large_arrays_are_not_mapped_afresh_for_each_text(monkeypatch):
+    """Memory of counts, prints and look-ups is taken once, and given back when the task ends."""
+    rng = np.random.default_rng(4)
+    sizes = np.array([20, 33, 400], np.int32)
+    scanner = decontaminate.Scanner(sizes, np.arange(3), rng.integers(0, 2**64, 3, np.uint64), 15)
+    hashes = rng.integers(0, 2**64, 5000, np.uint64)
+    left, heads = np.arange(5000, 0, -1), np.array([0])
+    decontaminate._SPACE.clear()
+    list(scanner.find(hashes, left, heads))
+    held = {name: id(a) for name, a in decontaminate._SPACE.items()}
+    list(scanner.find(hashes[:4000], left[1000:], heads))
+    assert held and {name: id(a) for name, a in decontaminate._SPACE.items()} == held
+    decontaminate._SPACE.clear()
+
+
 def test_items_in_parts_and_short_documents(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "ITEMS_AT_ONCE", 3)
     monkeypatch.setattr(decontaminate, "STRETCH", 64)

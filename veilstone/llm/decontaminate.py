@@ -24,6 +24,7 @@ rows that share an id and rows with a null doc_id are each reported with what th
 
 from __future__ import annotations
 
+import math
 import string
 import uuid
 from collections import Counter, defaultdict
@@ -42,7 +43,9 @@ SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 15
 BLOCKS, GROUP, LANES = 4, 6, 8
 FAR = 31  # more bits than a block has; four of them and 127 fit a byte
 ITEMS_AT_ONCE, MOST_ITEMS = 256, 4_000_000  # tables of a task: 512 kB a group at most; broadcast: 20 bytes an item
-STRETCH, TEXT_BYTES, RUN = 8192, 1_000_000, 32
+TEXT_BYTES, RUN = 1_000_000, 32
+STRETCH, SIZES = 1 << 16, 64  # words, and item sizes, whose prints are held for the look-ups: 32 MB
+PIECE, MOST_SUMS = 4096, 1 << 16  # words counted at a time, words that sums are held of for long items
 HITS = "doc_id long, item_id long, first_word int, n_words int, bits int, similarity double"
 #: Byte table: A-Z to lower case, all that is no letter, digit or non-ASCII byte to a space.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b) in string.ascii_lowercase + string.digits else 32 for b in range(256))
@@ -57,11 +60,26 @@ def grams(hashes: np.ndarray, k: int) -> np.ndarray:
     return mixed(gram_hashes(hashes, k))
 
 
-def bit_sums(hashes: np.ndarray, kind=np.int64) -> np.ndarray:
-    """Running counts of each of 64 bits: row i counts the first i hashes (modulo the size of ``kind``)."""
+_SPACE: dict[str, np.ndarray] = {}
+
+
+def space(name: str, shape: tuple[int, ...], kind) -> np.ndarray:
+    """An array of any content, in memory kept under ``name`` until the task ends: mapping fresh memory for each large
+    array (see ``steady_heap``) takes longer than the work on it."""
+    size = math.prod(shape) * np.dtype(kind).itemsize
+    if name not in _SPACE or len(_SPACE[name]) < size:
+        _SPACE[name] = np.empty(size, np.uint8)
+    return _SPACE[name][:size].view(kind).reshape(shape)
+
+
+def bit_sums(hashes: np.ndarray, kind=np.int64, order: str = "big", keep: bool = False) -> np.ndarray:
+    """Running counts of each of 64 bits: row i counts the first i hashes (modulo the size of ``kind``).
+    ``order`` is that of a byte's bits; with ``keep`` the next call takes the same memory."""
     runs = -(-len(hashes) // RUN)
-    sums = np.zeros((runs * RUN + 1, 64), kind)
-    sums[1 : len(hashes) + 1] = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1)
+    shape = (runs * RUN + 1, 64)
+    sums = space("sums", shape, kind) if keep else np.empty(shape, kind)
+    sums[0], sums[len(hashes) + 1 :] = 0, 0
+    sums[1 : len(hashes) + 1] = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder=order)
     part = sums[1:].reshape(runs, RUN, 64)
     for i in range(1, RUN):  # whole rows at a time, in each run; then the runs before
         part[:, i] += part[:, i - 1]
@@ -75,6 +93,29 @@ def simhash(hashes: np.ndarray) -> int:
     return int(np.packbits(counts * 2 > len(hashes)).view(np.uint64)[0])
 
 
+def window_prints(hashes: np.ndarray, lengths: list[int], out: np.ndarray) -> None:
+    """Fingerprints of the windows of each of ``lengths`` hashes (ascending) into ``out``, a row for each length and a column
+    for each first place. Places whose window would end beyond the last hash stay as they are. Sums of a piece serve all
+    lengths while they are in the cache."""
+    starts = out.shape[1]
+    kinds = [np.uint8 if n < 256 else np.uint16 if n < 65536 else np.uint32 for n in lengths]
+    for kind in dict.fromkeys(kinds):
+        rows = [(row, n) for row, n in enumerate(lengths) if kinds[row] is kind]
+        most = rows[-1][1]
+        held = space("counts", (PIECE, 64), kind)
+        set_ = held.view(bool) if kind is np.uint8 else space("bits", (PIECE, 64), bool)
+        step = max(PIECE, min(most, MOST_SUMS) // PIECE * PIECE)
+        for first in range(0, starts, step):
+            sums = bit_sums(hashes[first : first + step + most], kind, "little", True)
+            for at in range(0, min(step, starts - first), PIECE):
+                for row, n in rows:
+                    if (m := min(PIECE, step - at, starts - first - at, len(sums) - n - at)) <= 0:
+                        break  # the longer ones don't fit either
+                    np.subtract(sums[at + n : at + n + m], sums[at : at + m], out=held[:m])
+                    np.greater(held[:m], n // 2, out=set_[:m])
+                    out[row, first + at : first + at + m] = np.packbits(set_[:m].reshape(-1), bitorder="little").view(np.uint64)
+
+
 def item_print(text: bytes | None) -> tuple[int, int]:
     """(words, fingerprint as a signed long) of an item."""
     if not (words := words_of(text)):
@@ -120,14 +161,15 @@ class MultiIndex:
             self.tables.append(table.view(f"<u{lanes}")[:, :, 0])
 
     def find(self, prints: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(item number, rows of ``prints`` within the radius, their differing bits), items with any."""
-        blocks = prints.view(np.uint16).reshape(-1, BLOCKS).T.astype(np.intp)
+        """(item number, rows of ``prints`` within the radius, their differing bits), items with any. One
+        search at a time: the next one takes the same memory."""
+        blocks = space("blocks", (BLOCKS, len(prints)), np.intp)
+        blocks[:] = prints.view(np.uint16).reshape(-1, BLOCKS).T
         for t, tables in enumerate(self.tables):
-            sums, more = np.empty((2, len(prints)), tables.dtype)
-            tables[0].take(blocks[0], out=sums, mode="clip")
+            sums = space("least", (len(prints),), tables.dtype)
+            sums[:] = tables[0][blocks[0]]
             for table, values in zip(tables[1:], blocks[1:]):
-                table.take(values, out=more, mode="clip")
-                sums += more
+                sums += table[values]
             over = sums.dtype.type(int.from_bytes(b"\x80" * sums.itemsize, "little"))
             sums &= over
             at = np.flatnonzero(sums != over)
@@ -155,7 +197,8 @@ class Scanner:
             sizes = [s for s in self.sizes if min(SHINGLE, s) == k]
             own = grams(hashes, k) if len(hashes) >= k else hashes[:0]
             for lo in range(0, len(own), STRETCH):
-                yield from self._windows(own[lo : lo + STRETCH + max(sizes)], lo, left, sizes, k)
+                for i in range(0, len(sizes), SIZES):
+                    yield from self._windows(own[lo : lo + STRETCH + max(sizes)], lo, left, sizes[i : i + SIZES], k)
             # texts shorter than an item, as one window
             short = heads[(left[heads] < max(sizes)) & (left[heads] >= k)]
             if len(short):
@@ -167,21 +210,10 @@ class Scanner:
                         yield number, short[fit[rows]], bits, size
 
     def _windows(self, own: np.ndarray, lo: int, left: np.ndarray, sizes: list[int], k: int):
-        sums: dict = {}
-        for size in sizes:
-            n = size - k + 1  # shingles of a window
-            starts = min(STRETCH, len(own) - n + 1)
-            if starts <= 0:
-                continue
-            kind = np.uint8 if n < 256 else np.uint16 if n < 65536 else np.uint32
-            if kind not in sums:
-                sums[kind] = bit_sums(own, kind)
-                held = np.empty((STRETCH, 64), kind)
-                set_ = held.view(bool) if kind is np.uint8 else np.empty((STRETCH, 64), bool)
-            np.subtract(sums[kind][n : n + starts], sums[kind][:starts], out=held[:starts])
-            np.greater(held[:starts], n // 2, out=set_[:starts])
-            prints = np.packbits(set_[:starts].reshape(-1)).view(np.uint64)
-            for number, rows, bits in self.sizes[size].find(prints):
+        prints = space("prints", (len(sizes), min(STRETCH, len(own))), np.uint64)
+        window_prints(own, [size - k + 1 for size in sizes], prints)
+        for size, held in zip(sizes, prints):
+            for number, rows, bits in self.sizes[size].find(held[: max(0, len(own) - size + k)]):
                 inside = left[rows + lo] >= size  # a window ends in the text that it starts in
                 if inside.any():
                     yield number, rows[inside] + lo, bits[inside], size
@@ -234,6 +266,7 @@ def candidates(docs: DataFrame, items: DataFrame, radius: int, least: float = SI
                 scanner = only or Scanner(*cut, radius, least)
                 for held in _lines(byte_texts(batch.column(1))):
                     yield _found(scanner, held, batch.column(0))
+        _SPACE.clear()
         release_memory()
 
     return docs.mapInArrow(scan, "doc_id long, item long, firsts array<int>, lasts array<int>, texts array<binary>")
