@@ -251,6 +251,22 @@ def test_near_duplicates_of_odd_rows(odd, none):
     assert simhash.near_duplicates(none).count() == 0
 
 
+def test_keys_are_merged_although_their_nodes_would_fit_a_broadcast(spark, monkeypatch):
+    nodes = spark.range(2000).select(F.xxhash64("id").alias("fingerprint"))
+    plans = []
+
+    def kept(df, name, *args, **more):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return df
+
+    monkeypatch.setattr(simhash, "save", kept)
+    simhash.meetings(nodes)
+    plans.append(("links", simhash.links(nodes)._jdf.queryExecution().executedPlan().toString()))
+    assert [name for name, _ in plans] == ["meetings", "links"]
+    for _, plan in plans:
+        assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
+
+
 # ---- 4 quality
 
 

@@ -99,7 +99,8 @@ def chain_length(n: int, radius: int) -> int:
 
 def chains(nodes: DataFrame, radius: int, length: int) -> tuple[DataFrame, DataFrame]:
     """Keys of distinct ``nodes.fingerprint``: an index (seg, key, a), a row for each segment, and probes
-    (seg, key, b), a row for each segment and change within the budgets."""
+    (seg, key, b), a row for each segment and change within the budgets. Spark takes them to be about as
+    large as ``nodes``, so their join asks for a merge: as a broadcast they wouldn't fit the driver."""
     made = [(i, *chain_probes(radius, i, length)) for i in range(radius + 1)]
 
     def keys(node: str, rows: list[tuple[int, int, int]]) -> DataFrame:
@@ -132,7 +133,7 @@ def linked(pairs: DataFrame, radius: int) -> DataFrame:
 def links(nodes: DataFrame, radius: int = RADIUS, length: int | None = None) -> DataFrame:
     """All pairs (a, b), a < b, of distinct ``nodes.fingerprint`` within ``radius`` bits."""
     index, probes = chains(nodes, radius, length or chain_length(nodes.count(), radius))
-    met = index.join(probes, ["seg", "key"]).filter("a < b")
+    met = index.hint("merge").join(probes, ["seg", "key"]).filter("a < b")
     return linked(met, radius).select("a", "b").distinct()
 
 
@@ -142,7 +143,7 @@ def meetings(nodes: DataFrame, radius: int = RADIUS, length: int | None = None)
     index, probes = chains(nodes, radius, length or chain_length(nodes.count(), radius))
     picked = [F.min_by("a", F.xxhash64("a", F.lit(seed))).alias(f"c{seed}") for seed in (1, 2)]
     centres = index.groupBy("seg", "key").agg(*picked)  # combines before the shuffle
-    met = probes.join(centres, ["seg", "key"]).filter("c1 <> b or c2 <> b")
+    met = probes.hint("merge").join(centres, ["seg", "key"]).filter("c1 <> b or c2 <> b")
     return save(met.select("seg", "key", "b", F.array_distinct(F.array("c1", "c2")).alias("centres")), "meetings")
 
 
