@@ -147,3 +147,13 @@ def test_current_is_the_last_number(spark, folder):
 @pytest.mark.parametrize("name", ["correct_table", "redo_table", "rematch_documents", "matches_sink", "censor_log_sink"])
 def test_kept_table_queries_match_sql(name, spark, sf_dir):
     assert_same(QUERIES[name](spark, sf_dir), ORACLES[name], sf_dir)
+
+
+@pytest.mark.parametrize("name", ["apply_corrections", "correct_table"])
+def test_corrections_of_documents_in_several_partitions(name, spark, sf_dir, tmp_path):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").filter("doc_id < 60")
+    docs.repartition(3, "doc_id").write.parquet(f"{tmp_path}/documents.parquet")
+    skips, _ = interval_queries.requests(spark, str(tmp_path))
+    assert skips.rdd.getNumPartitions() > 1 and all(r.req == r.word_index for r in skips.collect())
+    got = QUERIES[name](spark, str(tmp_path)).filter("action = 'skip' and word_index = 5000").collect()
+    assert sorted(r.doc_id for r in got) == [i for i in range(60) if i % 3 == 0 and i % 5]

@@ -78,7 +78,7 @@ def correction_text(spark, sf):
 
 def requests(spark, sf):
     docs = fx.table(spark, sf, "documents").filter("doc_id % 3 = 0")
-    skips = docs.select("doc_id", F.explode(F.array(F.lit(5), F.lit(11), F.lit(11), F.lit(5000))).alias("word_index")).withColumn("req", F.monotonically_increasing_id().cast("int") * 0 + F.col("word_index")).withColumn("text", F.lit(None).cast("string"))
+    skips = docs.select("doc_id", F.explode(F.array(F.lit(5), F.lit(11), F.lit(11), F.lit(5000))).alias("word_index")).withColumn("req", F.col("word_index")).withColumn("text", F.lit(None).cast("string"))
     bad = F.when(F.col("doc_id") % 5 == 0, "x:1").otherwise("0:00:12.5")
     adds = docs.select("doc_id", F.lit(1).alias("req"), F.lit("beep").alias("text"), F.format_string("%d.25", F.col("doc_id") % 10).alias("start_raw"), bad.alias("end_raw"))
     return skips, adds
