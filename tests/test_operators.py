@@ -374,3 +374,14 @@ def test_stream_gives_the_batch_result_once(spark, tmp_path):
     flag_stream(stream_words(spark, str(tmp_path / "in")), *args)
     got = spark.read.parquet(str(tmp_path / "out")).select("doc_id", "word_index", "entry").collect()
     assert sorted(map(tuple, got)) == [(1, 1, "x"), (1, 2, "y*"), (2, 0, "x"), (2, 1, "x")]
+
+
+def test_pending_segments_are_merged_and_compared_by_all_artifacts(spark):
+    segs = spark.createDataFrame([(1, 0), (1, 0), (1, 1), (1, 2), (2, 0), (None, 0)], "job_id long, seg int")
+    rows = [(1, 0, "a"), (1, 0, "b"), (1, 1, "a"), (1, 1, "a"), (1, 1, "z"), (2, 0, None), (None, 0, "a"), (None, 0, "b")]
+    there = spark.createDataFrame(rows, "job_id long, seg int, artifact string")
+    found = ledger.pending_segments(segs, there, ["a", "b"])
+    assert sorted(map(tuple, found.collect()), key=str) == sorted([(1, 1), (1, 2), (2, 0), (None, 0)], key=str)
+    assert ledger.pending_segments(segs, there, []).count() == 0
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan

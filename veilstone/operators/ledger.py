@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.names import fresh
+
 #: The steps that can be redone, in order.
 STEPS = ("4b_flag", "4b_review", "5_mute", "6_recombine", "6b_encode", "7_mux")
 #: Artifacts and the class that decides how long they stay.
@@ -88,9 +92,13 @@ def retention_plan(artifacts: DataFrame) -> DataFrame:
 
 
 def pending_segments(segments: DataFrame, inventory: DataFrame, artifacts: list[str]) -> DataFrame:
-    """Segments (job_id, seg) of which an artifact is missing."""
-    wanted = segments.withColumn("artifact", F.explode(F.array(*[F.lit(a) for a in artifacts])))
-    return wanted.join(inventory, ["job_id", "seg", "artifact"], "left_anti").select("job_id", "seg").distinct()
+    """Segments (job_id, seg) of which an artifact is missing. The inventory becomes a row a segment, and is merged with the
+    segments: both may come from an explode, after which Spark takes tables for small and would broadcast them."""
+    there = [fresh(f"there{i}", segments) for i in range(len(artifacts))]
+    has = [F.bool_or(F.col("artifact") == a).alias(c) for a, c in zip(artifacts, there)]
+    held = inventory.filter(F.col("artifact").isin(*artifacts)).groupBy("job_id", "seg").agg(F.count("*").alias(fresh("n", segments)), *has)
+    missing = reduce(Column.__or__, [~F.coalesce(F.col(c), F.lit(False)) for c in there], F.lit(False))
+    return segments.join(held.hint("merge"), ["job_id", "seg"], "left").filter(missing).select("job_id", "seg").distinct()
 
 
 def ledger_find(jobs: DataFrame, wanted: DataFrame) -> DataFrame:
