@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from veilstone.functions import clock, text
-from veilstone.operators import extras, integrity, intervals, ledger, matching, media, overrides, progress, review, series, stats
+from veilstone.operators import extras, integrity, intervals, ledger, matching, media, overrides, progress, review, series, sieve, stats
 from veilstone.plans import fixtures, matching_queries
 from veilstone.sources import lexicon, sinks, transcripts
 
@@ -385,3 +385,21 @@ def test_pending_segments_are_merged_and_compared_by_all_artifacts(spark):
     assert ledger.pending_segments(segs, there, []).count() == 0
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
+
+
+def test_a_sieve_loses_no_row_that_a_join_would_keep(spark):
+    df = spark.range(20000).select(F.col("id"), F.concat(F.lit("t"), "id").alias("h"), F.lit(1).alias("at"))
+    known = df.filter("id % 50 = 0").select(F.col("id").cast("int").alias("id"), "h")
+    got = sieve.sifted(df, known, "id", "h")
+    assert got.columns == df.columns and got.join(known, ["id", "h"]).count() == 400 and 400 <= got.count() < 420
+    assert sieve.sifted(df, known.limit(0), "id").count() == 0
+
+
+def test_runs_and_words_are_sifted_before_they_are_shuffled(spark):
+    words = spark.range(4).select(F.col("id").alias("doc_id"), F.posexplode(F.split(F.lit("a b c d " * 200), " ")).alias("word_index", "word"))
+    words = words.filter("word <> ''").select("*", F.col("word_index").cast("double").alias("start"))
+    asked = spark.createDataFrame([(1, "a b"), (2, "b c x")], "query_id long, query string")
+    found = matching.phrase_search(words, asked, 1)
+    assert found.count() == 800 and {r.context for r in found.select("context").distinct().collect()} == {"...d a b c...", "...a b c..."}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "sieve" in plan and "LeftSemi" not in plan  # what no span asks for isn't shuffled to a join

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..sources.sinks import saved
 from .matching import match_order
+from .sieve import sifted
 
 
 def with_context(spans: DataFrame, words: DataFrame, k: int, block: int = 64) -> DataFrame:
@@ -23,8 +24,8 @@ def with_context(spans: DataFrame, words: DataFrame, k: int, block: int = 64) ->
     asked = need.withColumn("block", F.explode(F.sequence(F.floor(F.col("lo") / block), F.floor(F.col("hi") / block))))
     held = F.array_sort(F.collect_list(F.struct(F.col("word_index").alias("at"), "word"))).alias("held")
     near = words.select("doc_id", "word_index", "word", F.floor(F.col("word_index") / block).alias("block"))
-    near = near.join(asked.select("doc_id", "block").distinct(), ["doc_id", "block"], "left_semi")
-    blocks = near.groupBy("doc_id", "block").agg(held)
+    # the words of other blocks are sifted out before the shuffle, and the join leaves out what slips through
+    blocks = sifted(near, asked, "doc_id", "block").groupBy("doc_id", "block").agg(held)
     inside = F.filter("held", lambda w: (w["at"] >= F.col("lo")) & (w["at"] <= F.col("hi")))
     part = F.transform(inside, lambda w: w["word"])
     parts = asked.join(blocks, ["doc_id", "block"]).groupBy("doc_id", "word_index", "span").agg(F.array_sort(F.collect_list(F.struct("block", part.alias("part")))).alias("parts"))
