@@ -227,7 +227,8 @@ def _similar(pairs: DataFrame, texts: DataFrame, k: int, least: float) -> DataFr
     ids = save(near.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "near-ids")
     wanted = texts.join(ids, "id", "left_semi")
     s, t = (wanted.select(F.col("id").alias(c), F.col("text").alias(n)) for c, n in (("a", "s"), ("b", "t")))
-    both = near.join(s, "a").join(t, "b").select("a", "b", "s", "t")
+    # Spark takes whole texts for short strings, and would broadcast them
+    both = near.join(s, "a").join(t.hint("merge"), "b").select("a", "b", "s", "t")
     return save(both.mapInArrow(compare, "a long, b long"), "similar")
 
 
