@@ -403,3 +403,32 @@ def test_runs_and_words_are_sifted_before_they_are_shuffled(spark):
     assert found.count() == 800 and {r.context for r in found.select("context").distinct().collect()} == {"...d a b c...", "...a b c..."}
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "sieve" in plan and "LeftSemi" not in plan  # what no span asks for isn't shuffled to a join
+
+
+@pytest.mark.parametrize("width", [30.0, 7.0, 1.0])
+def test_words_of_cues_that_lie_in_one_or_several_blocks(spark, width):
+    said = [(d, i, f"w{i}" if i % 9 else None, None if i % 7 == 3 else (i * 5 % 31) * 2.0, i / 8 if i % 4 else None) for d in (1, 2) for i in range(31)]
+    words = spark.createDataFrame(said, "doc_id long, word_index int, word string, start double, score double")
+    spans = [(1, 0, 0.0, 30.0), (1, 1, 29.0, 30.5), (1, 2, 10.0, 60.0), (1, 3, 5.0, 5.0), (1, 4, 9.0, 2.0), (1, 5, None, 3.0), (2, 0, 30.0, 60.0), (2, 1, 0.0, 61.0), (3, 0, 0.0, 9.0)]
+    cues = spark.createDataFrame([(*x, "t") for x in spans], "doc_id long, cue long, cue_start double, cue_end double, cue_text string")
+    got = {(r.doc_id, r.cue): (r.heard, r.confidence) for r in extras.cue_texts(words, cues, width).collect()}
+    for d, cue, lo, hi in spans:
+        inside = [x for x in said if x[0] == d and x[3] is not None and lo is not None and lo <= x[3] < hi]
+        want = " ".join(x[2] for x in inside if x[2]), sum(x[4] or 0.0 for x in inside) / len(inside) if inside else 0.0
+        assert got[d, cue] == (want[0], pytest.approx(want[1])), (d, cue)
+
+
+def test_texts_with_marks_need_no_join_of_words(spark):
+    rows = [(1, 0, "a"), (1, 1, "b"), (1, 1, "b"), (1, 2, "c"), (None, 1, "n"), (2, 1, "x")]
+    words = spark.createDataFrame(rows, "doc_id long, word_index int, word string")
+    found = spark.createDataFrame([(1, 1, 1, "r", 1), (None, 1, 1, "r", 1), (2, 5, 1, "r", 1)], "doc_id long, word_index long, span int, entry string, line_no int")
+    out = extras.redact_text(words, found)
+    assert dict(map(tuple, out.collect())) == {1: "a [redacted] [redacted] c", None: "n", 2: "x"}
+    subs = spark.createDataFrame([("r", "s")], "entry string, substitute string")
+    assert dict(map(tuple, extras.substitute_text(words, found, subs).collect())) == {1: "a s s c", None: "n", 2: "x"}
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_cues_are_cut_from_the_text_without_a_shuffle(spark, sf_dir):
+    plan = matching_queries.cues(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
