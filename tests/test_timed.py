@@ -215,3 +215,16 @@ def test_cues_on_a_shifted_or_drifting_clock_get_their_times_back(spark):
         near = 0.02 if x.doc_id in (1, 2) else 1.5 if x.doc_id == 3 else 1.01
         if not (x.doc_id == 3 and 54 <= x.a <= 66):
             assert abs(x.cue_start - x.a) <= near, x
+
+
+def test_subtitle_files_are_written_by_the_tasks_with_the_folders_of_spark(spark, tmp_path, monkeypatch):
+    names = ["a b", "a/b:c%", "=", None, "é"]
+    rows = [(n, c, c * 1.0, c + 0.5, f"{n} {c}") for n in names for c in (1, 0)]
+    cues = spark.createDataFrame(rows, CUE.replace("doc_id long", "doc_id string"))
+    subtitles.write_srt(cues, f"{tmp_path}/own")
+    subtitles.write_srt(cues, f"{tmp_path}/own")  # again, in its place
+    held = lambda top: {os.path.basename(d): open(f"{d}/{f}", "rb").read() for d, _, fs in os.walk(top) for f in fs if f.startswith("part-")}
+    assert not any(f.startswith(".") for _, _, fs in os.walk(f"{tmp_path}/own/doc_id=é") for f in fs)
+    monkeypatch.setattr(subtitles.versions, "local_path", lambda *_: None)
+    subtitles.write_srt(cues, f"{tmp_path}/theirs")
+    assert held(f"{tmp_path}/own") == held(f"{tmp_path}/theirs") and len(held(f"{tmp_path}/own")) == 5
